@@ -152,9 +152,14 @@ def entity(
 ) -> Column:
     """Canonical name of the first alias, in declared order, found in the text."""
     lowered = F.lower(question)
+
+    def found(words: list[str]) -> Column:
+        # A substring test is far cheaper than the pattern, and rules most out.
+        return contains_any(lowered, words) & lowered.rlike(word_pattern(words))
+
     return first_match(
         (
-            (lowered.rlike(word_pattern([alias for alias, _ in group])), F.lit(canonical))
+            (found([alias for alias, _ in group]), F.lit(canonical))
             for canonical, group in groupby(aliases, key=lambda pair: pair[1])
         ),
         F.lit(default).cast("string"),

@@ -8,11 +8,13 @@ terms, aliases or rules is broadcast only after a count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD_CHAR
-from ..session import broadcast_if_small
+from ..functions.text import WORD_CHAR, entity, intent_by_keywords
+from ..session import MAX_FOLDED_ROWS, broadcast_if_small, small_rows
 
 GRAM = 3
 
@@ -83,26 +85,33 @@ def contains_pairs(terms: DataFrame, values: DataFrame, term: str, value: str) -
     )
 
 
+def _keyed(texts: DataFrame, key: str, text: str, keys: Callable[[Column], Column]) -> DataFrame:
+    """(key, _text, _key): the folded text beside each of its distinct keys.
+
+    The text is folded below the explode, once per text and not once per key.
+    """
+    folded = texts.select(key, F.lower(text).alias("_text"))
+    return folded.select(key, "_text", F.explode(F.array_distinct(keys(F.col("_text")))).alias("_key"))
+
+
 def word_pairs(texts: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """(key, alias columns) for every alias that is a whole word of the text.
 
     Join key: the first run of letters, digits or underscores in the alias. In
     a true match that run is bounded on both sides, so it is one of the runs of
-    the text.
+    the text. An alias without any such run is tested against every text.
     """
-    run = f"[{WORD_CHAR}]+"
-    keyed = aliases.withColumn("_key", F.regexp_extract("alias", run, 0))
-    lowered = F.lower(text)
-    runs = F.array_append(F.regexp_extract_all(lowered, F.lit(f"({run})")), F.lit(""))
-    split = texts.select(
-        key, lowered.alias("_text"), F.explode(F.array_distinct(runs)).alias("_key")
+    run = f"([{WORD_CHAR}]+)"
+    named = aliases.withColumn("_key", F.regexp_extract("alias", run, 1))
+    split = _keyed(
+        texts, key, text, lambda t: F.array_append(F.regexp_extract_all(t, F.lit(run)), F.lit(""))
     )
     quoted = F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E"))
     pattern = F.concat(
         F.lit(f"(^|[^{WORD_CHAR}])("), quoted, F.lit(f")($|[^{WORD_CHAR}])")
     )
     return (
-        split.join(broadcast_if_small(keyed), "_key")
+        split.join(broadcast_if_small(named), "_key")
         .where(F.rlike(F.col("_text"), pattern))
         .drop("_text", "_key")
     )
@@ -114,16 +123,19 @@ def keyword_pairs(texts: DataFrame, rules: DataFrame, key: str, text: str) -> Da
     Join key: the first three characters of the keyword (the whole keyword if
     shorter) against the grams of the text.
     """
-    keyed = rules.withColumn("_key", F.substring("keyword", 1, GRAM))
-    lowered = F.lower(text)
+    named = rules.where(F.length("keyword") > 0).withColumn("_key", F.substring("keyword", 1, GRAM))
+    lengths = [row["n"] for row in named.select(F.length("_key").alias("n")).distinct().collect()]
 
-    def grams(n: int) -> Column:
-        return F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    def grams(lowered: Column) -> Column:
+        none = F.array().cast("array<string>")
+        found = (
+            F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sorted(lengths)
+        )
+        return F.concat(none, *found)
 
-    every = F.array_distinct(F.concat(*(grams(n) for n in range(1, GRAM + 1))))
-    split = texts.select(key, lowered.alias("_text"), F.explode(every).alias("_key"))
     return (
-        split.join(broadcast_if_small(keyed), "_key")
+        _keyed(texts, key, text, grams)
+        .join(broadcast_if_small(named), "_key")
         .where(F.col("_text").contains(F.col("keyword")))
         .drop("_text", "_key")
     )
@@ -143,8 +155,25 @@ def entities_by_gazetteer(
     key: str = "qid",
     text: str = "question",
     default_commodity: str | None = None,
+    max_folded: int = MAX_FOLDED_ROWS,
 ) -> DataFrame:
-    """(key, commodity, location) of every question from an alias table."""
+    """(key, commodity, location) of every question from an alias table.
+
+    A small table is folded into the projection; a larger one is joined.
+    """
+    rows = small_rows(gazetteer, max_folded)
+    if rows is not None:
+        rows.sort(key=lambda row: row["ord"])
+        names = {
+            kind: [(row["alias"], row["canonical"]) for row in rows if row["kind"] == kind]
+            for kind in ("commodity", "location")
+        }
+        question = F.col(text)
+        return questions.select(
+            key,
+            entity(question, names["commodity"], default_commodity).alias("commodity"),
+            entity(question, names["location"]).alias("location"),
+        )
     found = word_pairs(questions, gazetteer, key, text)
 
     def first(kind: str) -> Column:
@@ -165,8 +194,18 @@ def intent_by_rules(
     default: str,
     key: str = "qid",
     text: str = "question",
+    max_folded: int = MAX_FOLDED_ROWS,
 ) -> DataFrame:
-    """(key, intent) of every question from a rule table."""
+    """(key, intent) of every question from a rule table.
+
+    A small table is folded into the projection; a larger one is joined.
+    """
+    rows = small_rows(rules, max_folded)
+    if rows is not None:
+        folded = [(row["priority"], row["keyword"], row["label"]) for row in rows]
+        return questions.select(
+            key, intent_by_keywords(F.col(text), folded, default).alias("intent")
+        )
     found = first_by(keyword_pairs(questions, rules, key, text), [key], "priority", "label")
     return questions.select(key).join(found, key, "left").select(
         key, F.coalesce("label", F.lit(default)).alias("intent")

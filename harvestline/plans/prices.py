@@ -39,10 +39,13 @@ class PairMap:
 
     ``scopes``: (term, loc, stats_scope, series_loc) per pair; a located pair
     that no fact matches reads the all-region series of its term.
-    ``members``: (term, series_loc, commodity, market, state) per series.
+    ``lines``: (line, term, series_loc, commodity, shown market and state) per
+    stored commodity of a series; ``line`` is a number.
+    ``members``: (commodity, market, state, line): the lines a fact adds to.
     """
 
     scopes: DataFrame
+    lines: DataFrame
     members: DataFrame
 
 
@@ -74,26 +77,39 @@ def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
         F.when(F.col("_hit"), F.lit(LOCATED)).otherwise(F.lit(ALL)).alias("stats_scope"),
         F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
     )
-    scopes = stage(scopes, "scopes")
     whole = scopes.where(F.col("stats_scope") == ALL).select("term").distinct()
     everywhere = good_dims.join(whole, "term").select(
         "term", F.lit(None).cast("string").alias("series_loc"), *DIMS
     )
-    members = located.select("term", F.col("loc").alias("series_loc"), *DIMS).unionByName(
-        everywhere
+    named = located.select("term", F.col("loc").alias("series_loc"), *DIMS).unionByName(everywhere)
+    # The shown place is the smallest pair (or state), as no row is preferred.
+    lines = named.groupBy(*SERIES, "commodity").agg(
+        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state")
+    )
+    is_located = F.col("series_loc").isNotNull()
+    lines = stage(
+        lines.select(
+            F.monotonically_increasing_id().alias("line"),
+            *SERIES,
+            "commodity",
+            F.when(is_located, F.col("_place.market")).alias("market"),
+            F.when(is_located, F.col("_place.state")).otherwise(F.col("_state")).alias("state"),
+        ),
+        "lines",
     )
-    return PairMap(scopes, stage(members, "members"))
+    numbered = join_same(named, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
+    return PairMap(scopes, lines, stage(numbered.select(*DIMS, "line"), "members"))
 
 
 def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
-    """(term, series_loc, commodity, date) with the sum and count of prices.
+    """(line, date) with the sum and count of prices; fixed-width throughout.
 
     Raw rows are summed, so later averages weigh every row alike. A member map
     beyond the broadcast bound meets facts already reduced to one row per
     commodity, market, state and date.
     """
     members = pair_map.members
-    wanted = small_rows(members.select("commodity").distinct())
+    wanted = small_rows(pair_map.lines.select("commodity").distinct())
     facts = prices.select(*DIMS, "date", "modal_price")
     if wanted is not None:
         facts = facts.where(F.col("commodity").isin([row["commodity"] for row in wanted]))
@@ -110,7 +126,7 @@ def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
             F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n")
         )
     joined = join_same(facts, members, DIMS, small=small)
-    return joined.groupBy(*SERIES, "commodity", "date").agg(
+    return joined.groupBy("line", "date").agg(
         F.sum("_sum").alias("price_sum"), F.sum("_n").alias("price_n")
     )
 
@@ -119,9 +135,10 @@ def _mean() -> Column:
     return F.sum("price_sum") / F.nullif(F.sum("price_n"), F.lit(0))
 
 
-def asked_series(daily: DataFrame) -> DataFrame:
+def asked_series(daily: DataFrame, pair_map: PairMap) -> DataFrame:
     """(term, series_loc, date, modal_price): all commodities of a term together."""
-    return daily.groupBy(*SERIES, "date").agg(_mean().alias("modal_price"))
+    named = daily.join(pair_map.lines.select("line", *SERIES), "line")
+    return named.groupBy(*SERIES, "date").agg(_mean().alias("modal_price"))
 
 
 def pair_stats(series: DataFrame, pair_map: PairMap) -> DataFrame:
@@ -143,21 +160,10 @@ def pair_headlines(daily: DataFrame, pair_map: PairMap) -> DataFrame:
     """(term, loc, commodity, market, state, modal_price) per stored commodity.
 
     A located pair without facts has no headline; only its series falls back.
-    The shown place is the smallest pair (or state) of the member map, so facts
-    need not carry text through the aggregate.
     """
-    shown = pair_map.members.groupBy(*SERIES, "commodity").agg(
-        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state")
-    )
-    averages = daily.groupBy(*SERIES, "commodity").agg(_mean().alias("modal_price"))
-    located = F.col("series_loc").isNotNull()
-    rows = join_same(averages, shown, [*SERIES, "commodity"]).select(
-        "term",
-        F.col("series_loc").alias("loc"),
-        "commodity",
-        F.when(located, F.col("_place.market")).alias("market"),
-        F.when(located, F.col("_place.state")).otherwise(F.col("_state")).alias("state"),
-        "modal_price",
+    averages = daily.groupBy("line").agg(_mean().alias("modal_price"))
+    rows = averages.join(pair_map.lines, "line").select(
+        "term", F.col("series_loc").alias("loc"), "commodity", "market", "state", "modal_price"
     )
     answered = pair_map.scopes.where(
         F.col("loc").isNull() | (F.col("stats_scope") == LOCATED)
@@ -185,7 +191,7 @@ def price_records(prices: DataFrame, asked: DataFrame) -> DataFrame:
     pair_map = resolve_pairs(asked, prices)
     daily = stage(daily_sums(prices, pair_map), "daily")
     stats = S.stats_record(
-        pair_stats(asked_series(daily), pair_map), PAIR, "stats_scope", "n"
+        pair_stats(asked_series(daily, pair_map), pair_map), PAIR, "stats_scope", "n"
     ).withColumnRenamed("n", "series_rows")
     summary = headline_summary(pair_headlines(daily, pair_map))
     pairs = pair_map.scopes.select(*PAIR)

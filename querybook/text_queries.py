@@ -65,6 +65,14 @@ def intent_keywords_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intent_rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a table too large to fold: matched by the gram join."""
+    rules = spark.createDataFrame(ALL_RULES, schema.RULES)
+    return M.intent_by_rules(
+        V.all_messages(spark, sf_dir), rules, lexicon.SCHEME_ROUTE, max_folded=0
+    )
+
+
+def intent_rules_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(ALL_RULES, schema.RULES)
     return M.intent_by_rules(V.all_messages(spark, sf_dir), rules, lexicon.SCHEME_ROUTE)
 
@@ -86,18 +94,33 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entities_gazetteer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gazetteer(spark: SparkSession) -> DataFrame:
     rows = [
         (kind, ord_, alias, name)
         for kind, aliases in ALL_ALIASES.items()
         for ord_, (alias, name) in enumerate(aliases)
     ]
-    gazetteer = spark.createDataFrame(rows, schema.GAZETTEER)
+    return spark.createDataFrame(rows, schema.GAZETTEER)
+
+
+def _by_gazetteer(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return M.entities_by_gazetteer(
-        V.all_messages(spark, sf_dir), gazetteer, default_commodity=lexicon.DEFAULT_COMMODITY
+        V.all_messages(spark, sf_dir),
+        _gazetteer(spark),
+        default_commodity=lexicon.DEFAULT_COMMODITY,
+        **options,
     )
 
 
+def entities_gazetteer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases as a table too large to fold: matched by the word-run join."""
+    return _by_gazetteer(spark, sf_dir, max_folded=0)
+
+
+def entities_gazetteer_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_gazetteer(spark, sf_dir)
+
+
 def finder_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pickers: nation and market segment, some of them not picked."""
     customer = V.table(spark, sf_dir, "customer")
@@ -202,3 +225,5 @@ QUERIES = {
     ),
 }
 QUERIES["entities_gazetteer_join"] = Query(entities_gazetteer_join, QUERIES["entities"].sql)
+QUERIES["entities_gazetteer_folded"] = Query(entities_gazetteer_folded, QUERIES["entities"].sql)
+QUERIES["intent_rules_folded"] = Query(intent_rules_folded, QUERIES["intent_rules_join"].sql)
