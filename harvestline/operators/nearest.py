@@ -10,7 +10,9 @@ Two ways, chosen by the measured size of the index; both give the same rows.
   that the triangle or bisector inequality puts farther away, and only the
   remaining cells are searched. Cells and the questions that visit them are both
   split into blocks of bounded size, so a hot cell spreads over many tasks, and
-  a block passes on k rows per question, never its pairs.
+  a block passes on k rows per question, never its pairs. Of copies of one
+  vector only the k lowest ids can be an answer, so the others are left out
+  before the search.
 
 Distances are squared L2, summed in component order in doubles; ties go to the
 lower chunk id.
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +38,11 @@ from ..session import MAX_BROADCAST_BYTES, stage
 
 VECTOR = "embedding"
 MAX_PIVOTS = 1024
-BLOCK_BYTES = 8 << 20
+PIVOT_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 SCRATCH_BYTES = 64 << 20
+# An index row takes at least this much, so more rows than bytes allow are too many.
+MIN_ROW_BYTES = 24
 
 
 # --- per-task kernels -----------------------------------------------------
@@ -113,24 +119,55 @@ def _best(
 class IndexSize:
     rows: int
     width: int
-    bytes: int
+    small: bool
 
 
-def measure(index: DataFrame) -> IndexSize:
-    """Rows, vector width and in-memory bytes of an index, in one pass."""
+@dataclass(frozen=True)
+class OpenIndex:
+    """An index that was measured, and shipped to the workers if it is small."""
+
+    table: DataFrame
+    id_col: str
+    size: IndexSize
+    shipped: Broadcast | None
+
+
+def measure(index: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> IndexSize:
+    """Rows and vector width, and whether the whole index stays in ``max_bytes``.
+
+    Counting rows of a stored table reads no column. Texts are only sized when
+    there are few enough rows for the index to be small at all.
+    """
+    rows = index.count()
+    if rows == 0:
+        return IndexSize(0, 0, True)
+    if rows * MIN_ROW_BYTES > max_bytes:
+        return IndexSize(rows, index.select(F.size(VECTOR)).first()[0], False)
     texts = [f.name for f in index.schema.fields if isinstance(f.dataType, T.StringType)]
     row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16))
-    found = index.agg(
-        F.count("*"),
-        F.min(F.size(VECTOR)),
-        F.max(F.size(VECTOR)),
-        F.sum(row_bytes + 8 * F.size(VECTOR)),
+    low, high, total = index.agg(
+        F.min(F.size(VECTOR)), F.max(F.size(VECTOR)), F.sum(row_bytes + 8 * F.size(VECTOR))
     ).first()
-    if found[0] == 0:
-        return IndexSize(0, 0, 0)
-    if found[1] != found[2] or found[1] < 1:
-        raise ValueError(f"index vectors differ in width: {found[1]} to {found[2]}")
-    return IndexSize(found[0], found[1], found[3])
+    if low != high or low < 1:
+        raise ValueError(f"index vectors differ in width: {low} to {high}")
+    return IndexSize(rows, low, total <= max_bytes)
+
+
+def open_index(
+    index: DataFrame, id_col: str = "chunk_id", max_index_bytes: int = MAX_BROADCAST_BYTES
+) -> OpenIndex:
+    """Measure an index once, for any number of :func:`retrieve` calls."""
+    size = measure(index, max_index_bytes)
+    shipped = None
+    if size.small and size.rows:
+        table = index.orderBy(id_col).toArrow()
+        shipped = index.sparkSession.sparkContext.broadcast(
+            (
+                _vectors(_column(table, VECTOR), size.width),
+                {c: _column(table, c) for c in _payload(index)},
+            )
+        )
+    return OpenIndex(index, id_col, size, shipped)
 
 
 # --- small index ----------------------------------------------------------
@@ -152,19 +189,11 @@ def _hits_type(index: DataFrame) -> T.ArrayType:
     )
 
 
-def _retrieve_small(
-    questions: DataFrame, index: DataFrame, k: int, size: IndexSize, id_col: str
-) -> DataFrame:
-    """Stream questions past a shipped copy of a size-checked index."""
-    table = index.orderBy(id_col).toArrow()
-    payload = _payload(index)
-    width = size.width
-    shipped = questions.sparkSession.sparkContext.broadcast(
-        (
-            _vectors(_column(table, VECTOR), width),
-            {c: _column(table, c) for c in payload},
-        )
-    )
+def _retrieve_small(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
+    """Stream questions past the shipped copy of a size-checked index."""
+    payload = _payload(opened.table)
+    width = opened.size.width
+    shipped = opened.shipped
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (chunk_rows, chunks), columns = shipped.value
@@ -188,7 +217,7 @@ def _retrieve_small(
                 [*batch.columns, hits], [*batch.schema.names, "hits"]
             )
 
-    out = T.StructType([*questions.schema.fields, T.StructField("hits", _hits_type(index))])
+    out = T.StructType([*questions.schema.fields, T.StructField("hits", _hits_type(opened.table))])
     return questions.mapInArrow(search, out)
 
 
@@ -197,7 +226,7 @@ def _retrieve_small(
 
 def _pivots(index: DataFrame, size: IndexSize, id_col: str) -> np.ndarray:
     """A bounded, repeatable spread of index vectors; any choice is exact."""
-    n = max(1, min(MAX_PIVOTS, BLOCK_BYTES // (8 * size.width), math.isqrt(size.rows)))
+    n = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * size.width), math.isqrt(size.rows)))
     chosen = index.orderBy(F.xxhash64(id_col), id_col).limit(n).select(VECTOR).toArrow()
     return _vectors(_column(chosen, VECTOR), size.width)[1]
 
@@ -214,8 +243,10 @@ def _in_cells(index: DataFrame, pivots: np.ndarray, width: int, id_col: str) ->
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, vectors = _vectors(batch.column(VECTOR), width)
+            if len(rows) < batch.num_rows:
+                raise ValueError(f"index vectors must be {width} finite numbers wide")
             cell, to_pivot = _nearest_pivot(vectors, pivots)
-            kept = batch.take(pa.array(rows))
+            kept = batch
             yield pa.RecordBatch.from_arrays(
                 [
                     *kept.columns,
@@ -283,10 +314,8 @@ def _blocks_per_cell(rows: DataFrame, block_rows: int) -> dict[int, int]:
 
 def _per_cell(blocks: dict[int, int]) -> Column:
     """Blocks of ``cell`` as a column; cells without rows get none."""
-    if not blocks:
-        return F.lit(0)
-    entries = [F.lit(x) for pair in sorted(blocks.items()) for x in pair]
-    return F.coalesce(F.create_map(*entries)[F.col("cell")], F.lit(0))
+    table = [blocks.get(cell, 0) for cell in range(max(blocks, default=0) + 1)]
+    return F.coalesce(F.get(F.lit(table), F.col("cell")), F.lit(0))
 
 
 def _search_cells(
@@ -346,12 +375,22 @@ def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
     )
 
 
-def nearest_by_cells(
-    questions: DataFrame, index: DataFrame, k: int, size: IndexSize, id_col: str = "chunk_id"
-) -> DataFrame:
+def _without_spare_copies(index: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The k lowest ids of each distinct vector.
+
+    The limit is applied before the shuffle too, so a vector that a third of
+    all rows share sends k rows per task.
+    """
+    copies = W.partitionBy(VECTOR).orderBy(id_col)
+    numbered = index.select(id_col, VECTOR).withColumn("_copy", F.row_number().over(copies))
+    return numbered.where(F.col("_copy") <= k).drop("_copy")
+
+
+def nearest_by_cells(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
     """(qid, id, distance, rank) by the cell join; ``qid`` must be unique."""
-    width = size.width
-    pivots = _pivots(index, size, id_col)
+    id_col, width = opened.id_col, opened.size.width
+    index = stage(_without_spare_copies(opened.table, k, id_col), "vectors")
+    pivots = _pivots(index, opened.size, id_col)
     chunks = stage(_in_cells(index, pivots, width, id_col), "cells")
     block_rows = max(1, BLOCK_BYTES // (8 * width))
     radius = np.full(len(pivots), -1.0)
@@ -376,11 +415,10 @@ def nearest_by_cells(
     return _ranked(home.unionByName(others), k, id_col)
 
 
-def _retrieve_large(
-    questions: DataFrame, index: DataFrame, k: int, size: IndexSize, id_col: str
-) -> DataFrame:
-    found = nearest_by_cells(questions, index, k, size, id_col)
+def _retrieve_large(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
+    index, id_col = opened.table, opened.id_col
     payload = _payload(index)
+    found = nearest_by_cells(questions, opened, k)
     # A chunk near many questions is a hot key of this join; AQE splits it.
     hits = (
         found.join(index.select(*payload), id_col)
@@ -396,30 +434,32 @@ def _retrieve_large(
 
 def retrieve(
     questions: DataFrame,
-    index: DataFrame,
+    index: DataFrame | OpenIndex,
     k: int = lexicon.TOP_K,
     id_col: str = "chunk_id",
     max_index_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Questions with ``hits``: their k nearest index rows, nearest first.
 
-    ``questions`` has ``qid`` and ``embedding``; ``index`` has ``id_col``,
+    ``questions`` has ``qid`` and ``embedding``; the index has ``id_col``,
     ``embedding`` and any columns to pass on. A question without a vector of
     the index's width, or an empty index, gives an empty array.
     """
-    size = measure(index)
-    if size.rows == 0:
-        return questions.withColumn("hits", F.array().cast(_hits_type(index)))
-    if size.bytes <= max_index_bytes:
-        return _retrieve_small(questions, index, k, size, id_col)
-    return _retrieve_large(questions, index, k, size, id_col)
+    opened = (
+        index if isinstance(index, OpenIndex) else open_index(index, id_col, max_index_bytes)
+    )
+    if opened.size.rows == 0 or k < 1:
+        return questions.withColumn("hits", F.array().cast(_hits_type(opened.table)))
+    if opened.size.small:
+        return _retrieve_small(questions, opened, k)
+    return _retrieve_large(questions, opened, k)
 
 
 def retrieve_by_cells(
     questions: DataFrame, index: DataFrame, k: int = lexicon.TOP_K, id_col: str = "chunk_id"
 ) -> DataFrame:
     """:func:`retrieve` for an index of any size, without shipping it."""
-    return retrieve(questions, index, k, id_col, max_index_bytes=-1)
+    return retrieve(questions, index, k, id_col, max_index_bytes=0)
 
 
 def neighbours(retrieved: DataFrame, id_col: str = "chunk_id") -> DataFrame:

@@ -156,7 +156,7 @@ def _joined(questions: DataFrame, table: DataFrame | None, column: str, type_: s
 def answer_questions(
     questions: DataFrame,
     prices: DataFrame | None = None,
-    index: DataFrame | None = None,
+    index: DataFrame | N.OpenIndex | None = None,
     vectors: DataFrame | None = None,
     labels: DataFrame | None = None,
     model_answers: DataFrame | None = None,

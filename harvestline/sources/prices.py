@@ -75,15 +75,18 @@ def write_prices(prices: DataFrame, path: str) -> None:
     )
 
 
-def open_prices(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table; the declared schema keeps partition values as text."""
-    return spark.read.schema(schema.PRICES).parquet(path)
+def open_prices(
+    spark: SparkSession, path: str, columns: T.StructType = schema.PRICES
+) -> DataFrame:
+    """The stored table; the declared columns keep partition values as text."""
+    return spark.read.schema(columns).parquet(path).select(*columns.names)
 
 
 def load_prices(spark: SparkSession, csv_path: str, table_path: str, **options) -> DataFrame:
-    """CSV to price table; returns the stored table."""
-    write_prices(to_prices(read_price_text(spark, csv_path), **options), table_path)
-    return open_prices(spark, table_path)
+    """CSV to price table, further columns included; returns the stored table."""
+    prices = to_prices(read_price_text(spark, csv_path), **options)
+    write_prices(prices, table_path)
+    return open_prices(spark, table_path, prices.schema)
 
 
 def row_count(table: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators import nearest as N
 from ..plans import answers as A
 
 
@@ -35,6 +36,10 @@ def batch_answerer(path: str, **inputs) -> Callable[[DataFrame, int], None]:
     failure leaves one copy of its answers.
     """
 
+    index = inputs.get("index")
+    if isinstance(index, DataFrame):  # measured and shipped once, not per batch
+        inputs["index"] = N.open_index(index)
+
     def answer(batch: DataFrame, batch_id: int) -> None:
         A.answer_questions(batch, **inputs).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}"
