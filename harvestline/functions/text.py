@@ -84,8 +84,8 @@ def language_by_script(text: Column) -> Column:
         ),
         F.lit(scripts[-1][0]),
     )
-    words = "|".join(lexicon.ROMANISED_HINDI)
-    romanised = F.lower(text).rlike(f"(^|[^a-z])({words})($|[^a-z])")
+    words = F.split(F.lower(text), "[^a-z]+")
+    romanised = F.arrays_overlap(words, F.lit(list(lexicon.ROMANISED_HINDI)))
     return (
         F.when(text.rlike(f"[{_class_of(scripts)}]"), by_script)
         .when(romanised, F.lit("hi"))

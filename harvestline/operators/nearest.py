@@ -192,6 +192,7 @@ def _hits_type(index: DataFrame) -> T.ArrayType:
 def _retrieve_small(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
     """Stream questions past the shipped copy of a size-checked index."""
     payload = _payload(opened.table)
+    passed = [c for c in questions.columns if c != VECTOR]
     width = opened.size.width
     shipped = opened.shipped
 
@@ -214,10 +215,12 @@ def _retrieve_small(questions: DataFrame, opened: OpenIndex, k: int) -> DataFram
                 ),
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, hits], [*batch.schema.names, "hits"]
+                [*(batch.column(c) for c in passed), hits], [*passed, "hits"]
             )
 
-    out = T.StructType([*questions.schema.fields, T.StructField("hits", _hits_type(opened.table))])
+    out = T.StructType(
+        [*(questions.schema[c] for c in passed), T.StructField("hits", _hits_type(opened.table))]
+    )
     return questions.mapInArrow(search, out)
 
 
@@ -426,7 +429,11 @@ def _retrieve_large(questions: DataFrame, opened: OpenIndex, k: int) -> DataFram
         .agg(F.array_sort(F.collect_list(F.struct("rank", "distance", *payload))).alias("hits"))
     )
     none = F.array().cast(_hits_type(index))
-    return questions.join(hits, "qid", "left").withColumn("hits", F.coalesce("hits", none))
+    return (
+        questions.drop(VECTOR)
+        .join(hits, "qid", "left")
+        .withColumn("hits", F.coalesce("hits", none))
+    )
 
 
 # --- entry points ---------------------------------------------------------
@@ -439,7 +446,7 @@ def retrieve(
     id_col: str = "chunk_id",
     max_index_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Questions with ``hits``: their k nearest index rows, nearest first.
+    """Questions, less their vector, with ``hits``: their k nearest index rows.
 
     ``questions`` has ``qid`` and ``embedding``; the index has ``id_col``,
     ``embedding`` and any columns to pass on. A question without a vector of
@@ -449,7 +456,7 @@ def retrieve(
         index if isinstance(index, OpenIndex) else open_index(index, id_col, max_index_bytes)
     )
     if opened.size.rows == 0 or k < 1:
-        return questions.withColumn("hits", F.array().cast(_hits_type(opened.table)))
+        return questions.drop(VECTOR).withColumn("hits", F.array().cast(_hits_type(opened.table)))
     if opened.size.small:
         return _retrieve_small(questions, opened, k)
     return _retrieve_large(questions, opened, k)

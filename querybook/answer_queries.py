@@ -9,6 +9,7 @@ from harvestline.functions import render
 from harvestline.plans import answers as A
 from harvestline.session import new_folder
 from harvestline.sources import conversations as G
+from harvestline.sources import questions as I
 from harvestline.streaming import answers as R
 
 from . import Query
@@ -111,6 +112,20 @@ def answer_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def question_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages written as JSON requests, read back and understood."""
+    requests = new_folder(spark, "requests")
+    messages = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    messages.select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"),
+        F.col("text").alias("question"),
+        F.when(F.col("turn") == 2, F.lit("de")).alias("language"),
+    ).write.json(requests)
+    return A.understand(I.read_questions(spark, requests), V.SAMPLE).select(
+        "qid", "question", "language", "routed_to", "term", "loc"
+    )
+
+
 def conversation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.replay(V.table(spark, sf_dir, "conversations"))
 
@@ -213,6 +228,18 @@ QUERIES = {
     "answer_batch": Query(answer_batch, _ANSWERED),
     "answer_stream": Query(answer_stream, _STREAMED),
     "answer_stream_batches": Query(answer_stream_batches, _ANSWERED),
+    "question_intake": Query(
+        question_intake,
+        f"WITH messages AS (SELECT conv_id * 1000000 + turn AS qid, turn, trim(text,"
+        f" {V.sql_string(Q.X.WHITESPACE)}) AS question FROM conversations WHERE role = 'user'),"
+        " routed AS (SELECT *, CASE WHEN turn = 2 THEN 'de' ELSE"
+        f" {V.letter_language_sql('question')} END AS language,"
+        f" {V.keyword_case('question', V.SAMPLE_RULES)} AS routed_to FROM messages)"
+        " SELECT qid, question, language, routed_to, CASE WHEN routed_to = 'price_agent' THEN"
+        f" {V.alias_case('question', V.SAMPLE_COMMODITIES, chr(39) + 'ECONOMY' + chr(39))} END"
+        " AS term, CASE WHEN routed_to = 'price_agent' THEN"
+        f" {V.alias_case('question', V.SAMPLE_LOCATIONS, 'NULL')} END AS loc FROM routed",
+    ),
     "answer_badge": Query(
         answer_badge,
         f"WITH {_PLAIN}, {_ROUTED} SELECT qid, routed_to, {_BADGE} AS badge,"

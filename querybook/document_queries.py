@@ -10,6 +10,7 @@ from harvestline.functions import text as X
 from harvestline.operators import chunking as K
 from harvestline.operators import context as C
 from harvestline.operators import nearest as N
+from harvestline.session import new_folder
 from harvestline.sources import documents as D
 
 from . import Query
@@ -66,6 +67,14 @@ def index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index checked, written and opened again."""
+    built = D.build_index(
+        V.document_chunks(spark, sf_dir), V.chunk_vectors(spark, sf_dir), new_folder(spark, "index")
+    )
+    return built.select("chunk_id", "scheme", "text", F.size("embedding").cast("bigint").alias("width"))
+
+
 def index_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.missing_vectors(
         V.document_chunks(spark, sf_dir), V.chunk_vectors(spark, sf_dir)
@@ -179,6 +188,11 @@ _INDEX = (
     " split_part(text, E'\\n', 1) AS scheme, text, doc_id FROM documents)"
 )
 
+_JOINED = (
+    "SELECT chunk_id, scheme, text, CAST(len(embedding) AS bigint) AS width"
+    f"{_INDEX} JOIN embeddings ON doc_id = vec_id"
+)
+
 QUERIES = {
     "doc_chunks": Query(
         doc_chunks,
@@ -194,11 +208,8 @@ QUERIES = {
         )
         + " FROM listed",
     ),
-    "index_join": Query(
-        index_join,
-        "SELECT chunk_id, scheme, text, CAST(len(embedding) AS bigint) AS width"
-        f"{_INDEX} JOIN embeddings ON doc_id = vec_id",
-    ),
+    "index_join": Query(index_join, _JOINED),
+    "index_build": Query(index_build, _JOINED),
     "index_missing_vectors": Query(
         index_missing_vectors,
         f"SELECT chunk_id, scheme{_INDEX} WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
