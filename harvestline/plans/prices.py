@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,18 +20,22 @@ from .. import lexicon
 from ..functions import render
 from ..operators import series as S
 from ..operators.matching import contains_pairs, join_same
-from ..session import MAX_BROADCAST_ROWS, small_rows, stage
+from ..session import MAX_BROADCAST_ROWS, stage
 
 DIMS = ["commodity", "market", "state"]
 PAIR = ["term", "loc"]
 SERIES = ["term", "series_loc"]
 LOCATED, ALL = "located", "all"
+MAX_LINES = 10_000
 
 
 def asked_pairs(spark: SparkSession, commodities: list[str], locations: list[str]) -> DataFrame:
     """Every pair a gazetteer can produce, the missing location included."""
     rows = [(term, loc) for term in commodities for loc in [*locations, None]]
-    return spark.createDataFrame(rows, "term string, loc string")
+    terms, places = zip(*rows)
+    return spark.createDataFrame(
+        pa.table({"term": pa.array(terms, pa.string()), "loc": pa.array(places, pa.string())})
+    )
 
 
 @dataclass(frozen=True)
@@ -42,19 +47,19 @@ class PairMap:
     ``lines``: (line, term, series_loc, commodity, shown market and state) per
     stored commodity of a series; ``line`` is a number.
     ``members``: (commodity, market, state, line): the lines a fact adds to.
+    ``commodities``: the stored commodities in question, if they are few.
     """
 
     scopes: DataFrame
     lines: DataFrame
     members: DataFrame
+    member_rows: int
+    commodities: list[str] | None
 
 
-def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
-    """Match asked (term, loc) pairs to the stored dimension values."""
-    pairs = asked.select("term", F.nullif("loc", F.lit("")).alias("loc")).distinct()
-    pairs = stage(pairs.where(F.col("term").isNotNull()), "pairs")
-    dims = stage(prices.select(*DIMS).distinct(), "dims")
-
+def _match_dims(pairs: DataFrame, dims: DataFrame) -> DataFrame:
+    """(term, series_loc, commodity, market, state) of every asked term as a
+    whole (``series_loc`` NULL) and of every asked pair with a location."""
     goods = contains_pairs(pairs, dims, "term", "commodity")
     place_names = dims.select(F.explode(F.array_distinct(F.array("market", "state"))).alias("value"))
     places = contains_pairs(pairs, place_names, "loc", "value")
@@ -67,38 +72,55 @@ def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
         .union(spots.join(at_state, "state").select("loc", "market", "state"))
         .distinct()
     )
-    good_dims = dims.join(goods, "commodity")
-    at_place = join_same(good_dims, placed, ["market", "state"]).select(*PAIR, *DIMS)
-    located = stage(at_place.join(pairs, PAIR, "left_semi"), "located")
-
-    hit = located.select(*PAIR).distinct().withColumn("_hit", F.lit(True))
-    scopes = join_same(pairs, hit, PAIR, "left").select(
-        *PAIR,
-        F.when(F.col("_hit"), F.lit(LOCATED)).otherwise(F.lit(ALL)).alias("stats_scope"),
-        F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
-    )
-    whole = scopes.where(F.col("stats_scope") == ALL).select("term").distinct()
-    everywhere = good_dims.join(whole, "term").select(
-        "term", F.lit(None).cast("string").alias("series_loc"), *DIMS
+    everywhere = dims.join(goods, "commodity")
+    located = join_same(everywhere, placed, ["market", "state"]).join(pairs, PAIR, "left_semi")
+    nowhere = F.lit(None).cast("string")
+    return everywhere.select("term", nowhere.alias("series_loc"), *DIMS).unionByName(
+        located.select("term", F.col("loc").alias("series_loc"), *DIMS)
     )
-    named = located.select("term", F.col("loc").alias("series_loc"), *DIMS).unionByName(everywhere)
+
+
+def _numbered(lines: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Lines with a fixed ``line`` number, and their commodities if they are few.
+
+    Few lines become a literal table, so later joins need no job for them.
+    """
+    found = lines.limit(MAX_LINES + 1).toArrow()
+    if found.num_rows > MAX_LINES:
+        return stage(lines.withColumn("line", F.monotonically_increasing_id()), "lines"), None
+    numbered = found.append_column("line", pa.array(range(found.num_rows), pa.int64()))
+    commodities = sorted(set(found.column("commodity").to_pylist()))
+    return lines.sparkSession.createDataFrame(numbered), commodities
+
+
+def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
+    """Match asked (term, loc) pairs to the stored dimension values."""
+    pairs = asked.select("term", F.nullif("loc", F.lit("")).alias("loc")).distinct()
+    pairs = stage(pairs.where(F.col("term").isNotNull()), "pairs")
+    dims = stage(prices.select(*DIMS).distinct(), "dims")
+    matched = stage(_match_dims(pairs, dims), "matched")
+
     # The shown place is the smallest pair (or state), as no row is preferred.
-    lines = named.groupBy(*SERIES, "commodity").agg(
+    is_located = F.col("series_loc").isNotNull()
+    smallest = matched.groupBy(*SERIES, "commodity").agg(
         F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state")
     )
-    is_located = F.col("series_loc").isNotNull()
-    lines = stage(
-        lines.select(
-            F.monotonically_increasing_id().alias("line"),
+    lines, commodities = _numbered(
+        smallest.select(
             *SERIES,
             "commodity",
             F.when(is_located, F.col("_place.market")).alias("market"),
             F.when(is_located, F.col("_place.state")).otherwise(F.col("_state")).alias("state"),
-        ),
-        "lines",
+        )
+    )
+    hit = lines.where(is_located).select("term", F.col("series_loc").alias("loc")).distinct()
+    scopes = join_same(pairs, hit.withColumn("_hit", F.lit(True)), PAIR, "left").select(
+        *PAIR,
+        F.when(F.col("_hit"), F.lit(LOCATED)).otherwise(F.lit(ALL)).alias("stats_scope"),
+        F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
     )
-    numbered = join_same(named, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
-    return PairMap(scopes, lines, stage(numbered.select(*DIMS, "line"), "members"))
+    members = join_same(matched, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
+    return PairMap(scopes, lines, members.select(*DIMS, "line"), matched.count(), commodities)
 
 
 def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
@@ -108,12 +130,10 @@ def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
     beyond the broadcast bound meets facts already reduced to one row per
     commodity, market, state and date.
     """
-    members = pair_map.members
-    wanted = small_rows(pair_map.lines.select("commodity").distinct())
     facts = prices.select(*DIMS, "date", "modal_price")
-    if wanted is not None:
-        facts = facts.where(F.col("commodity").isin([row["commodity"] for row in wanted]))
-    small = members.count() <= MAX_BROADCAST_ROWS
+    if pair_map.commodities is not None:
+        facts = facts.where(F.col("commodity").isin(pair_map.commodities))
+    small = pair_map.member_rows <= MAX_BROADCAST_ROWS
     if small:
         facts = facts.select(
             *DIMS,
@@ -125,7 +145,7 @@ def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
         facts = facts.groupBy(*DIMS, "date").agg(
             F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n")
         )
-    joined = join_same(facts, members, DIMS, small=small)
+    joined = join_same(facts, pair_map.members, DIMS, small=small)
     return joined.groupBy("line", "date").agg(
         F.sum("_sum").alias("price_sum"), F.sum("_n").alias("price_n")
     )

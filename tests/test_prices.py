@@ -169,9 +169,10 @@ ASKED = [("wheat", None), ("Wheat", "indore"), ("Onion", "Punjab"), ("Rice", "pu
          ("Rice", ""), ("Tomato", None), ("Wheat Durum", "MP"), ("Wheat", "indore")]
 
 
-@pytest.mark.parametrize("bound", [0, P.MAX_BROADCAST_ROWS])
-def test_asked_pairs(spark, prices, monkeypatch, bound):
-    monkeypatch.setattr(P, "MAX_BROADCAST_ROWS", bound)
+@pytest.mark.parametrize("members, lines", [(P.MAX_BROADCAST_ROWS, P.MAX_LINES), (0, 0), (0, 99)])
+def test_asked_pairs(spark, prices, monkeypatch, members, lines):
+    monkeypatch.setattr(P, "MAX_BROADCAST_ROWS", members)
+    monkeypatch.setattr(P, "MAX_LINES", lines)
     asked = spark.createDataFrame(ASKED, "term string, loc string")
     pair_map = P.resolve_pairs(asked, prices)
     daily = P.daily_sums(prices, pair_map)
@@ -199,6 +200,19 @@ def test_asked_pairs(spark, prices, monkeypatch, bound):
     )
 
 
+def test_scan_reads_asked_commodities_only(spark, prices):
+    table = new_folder(spark, "prices")
+    columns = [F.lit(None).cast("double").alias(c) for c in ("min_price", "max_price")]
+    L.write_prices(prices.select("*", *columns), table)
+    stored = L.open_prices(spark, table)
+    asked = spark.createDataFrame([("wheat", None)], "term string, loc string")
+    daily = P.daily_sums(stored, P.resolve_pairs(asked, stored))
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [commodity" in plan and "Wheat Durum" in plan
+    assert "min_price" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_records(spark, prices):
     asked = spark.createDataFrame(ASKED, "term string, loc string")
     records = {(r["term"], r["loc"]): r for r in P.price_records(prices, asked).collect()}
