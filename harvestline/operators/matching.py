@@ -103,9 +103,13 @@ def word_pairs(texts: DataFrame, aliases: DataFrame, key: str, text: str) -> Dat
     """
     run = f"([{WORD_CHAR}]+)"
     named = aliases.withColumn("_key", F.regexp_extract("alias", run, 1))
-    split = _keyed(
-        texts, key, text, lambda t: F.array_append(F.regexp_extract_all(t, F.lit(run)), F.lit(""))
-    )
+    bare = not named.where(F.col("_key") == "").isEmpty()
+
+    def runs(lowered: Column) -> Column:
+        found = F.regexp_extract_all(lowered, F.lit(run))
+        return F.array_append(found, F.lit("")) if bare else found
+
+    split = _keyed(texts, key, text, runs)
     quoted = F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E"))
     pattern = F.concat(
         F.lit(f"(^|[^{WORD_CHAR}])("), quoted, F.lit(f")($|[^{WORD_CHAR}])")

@@ -49,6 +49,11 @@ def daily_average(
     return prices.groupBy(*keys, date_col).agg(F.avg(price_col).alias(price_col))
 
 
+def in_date_order(series: DataFrame, keys: list[str], date_col: str = "date") -> DataFrame:
+    """Series sorted for output; windows and statistics do not need it."""
+    return series.orderBy(*keys, date_col)
+
+
 def moving_average(
     series: DataFrame,
     keys: list[str],

@@ -117,6 +117,8 @@ def finish(answered: DataFrame) -> DataFrame:
         "market",
         "state",
         "modal_price",
+        "result",
+        "columns",
         "percent_change",
         F.when(
             found,

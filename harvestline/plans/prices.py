@@ -192,14 +192,31 @@ def pair_headlines(daily: DataFrame, pair_map: PairMap) -> DataFrame:
 
 
 def headline_summary(headlines: DataFrame) -> DataFrame:
-    """(term, loc, n_rows, and the row's values where there is just one)."""
+    """(term, loc): row count, the row's values where there is just one, the
+    rows as a JSON array, and their column names.
+
+    A pair has one row per stored commodity it matches. Without a location
+    there is no market column.
+    """
     one = F.count("*") == 1
-    return headlines.groupBy(*PAIR).agg(
-        F.count("*").alias("n_rows"),
-        *(
-            F.when(one, F.min(c)).alias(c)
-            for c in ("commodity", "market", "state", "modal_price")
-        ),
+    shown = ["commodity", "market", "state", "modal_price"]
+    plain = [c for c in shown if c != "market"]
+    located = F.col("loc").isNotNull()
+
+    def json(columns: list[str]) -> Column:
+        picked = F.transform("_rows", lambda row: F.struct(*(row[c].alias(c) for c in columns)))
+        return F.to_json(picked, {"ignoreNullFields": "false"})
+
+    return (
+        headlines.groupBy(*PAIR)
+        .agg(
+            F.count("*").alias("n_rows"),
+            *(F.when(one, F.min(c)).alias(c) for c in shown),
+            F.array_sort(F.collect_list(F.struct(*shown))).alias("_rows"),
+        )
+        .withColumn("result", F.when(located, json(shown)).otherwise(json(plain)))
+        .withColumn("columns", F.when(located, F.lit(shown)).otherwise(F.lit(plain)))
+        .drop("_rows")
     )
 
 
@@ -218,6 +235,8 @@ def price_records(prices: DataFrame, asked: DataFrame) -> DataFrame:
     joined = join_same(join_same(pairs, stats, PAIR, "left"), summary, PAIR, "left")
     records = (
         joined.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+        .withColumn("result", F.coalesce("result", F.lit("[]")))
+        .withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
         .withColumn("explanation", render.explanation(F.col("term"), F.col("loc")))
         .withColumn("query", query_label(F.col("loc")))
     )

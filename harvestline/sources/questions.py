@@ -38,18 +38,3 @@ def stream_questions(spark: SparkSession, path: str, files_per_trigger: int = 10
 
 def write_answers(answers: DataFrame, path: str, mode: str = "overwrite") -> None:
     answers.write.mode(mode).parquet(path)
-
-
-def records_json(group: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One JSON array of records and the column names per key.
-
-    Null fields are written out. A group is one answer's result rows, whose
-    number is that of the distinct commodities it matched.
-    """
-    row = F.struct(*columns)
-    return group.groupBy(*keys).agg(
-        F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias(
-            "records"
-        ),
-        F.array(*(F.lit(c) for c in columns)).alias("columns"),
-    )

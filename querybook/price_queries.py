@@ -10,7 +10,6 @@ from harvestline.operators import series as S
 from harvestline.plans import prices as P
 from harvestline.session import new_folder
 from harvestline.sources import prices as L
-from harvestline.sources.questions import records_json
 
 from . import Query
 from . import views as V
@@ -65,7 +64,7 @@ def _stats_sql(view: str, keys: str, select: str) -> str:
 
 def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = S.daily_average(V.prices_star(spark, sf_dir), ["commodity"])
-    return _rounded(series, modal_price=4)
+    return _rounded(S.in_date_order(series, ["commodity"]), modal_price=4)
 
 
 def price_series_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +166,8 @@ headlines AS (
 
 def price_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
-    return _rounded(P.price_records(prices, asked), modal_price=4)
+    records = P.price_records(prices, asked).drop("result", "columns")
+    return _rounded(records, modal_price=4)
 
 
 def price_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +203,8 @@ def answer_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, asked = _asked(spark, sf_dir)
     pair_map = P.resolve_pairs(asked, prices)
     rows = P.pair_headlines(P.daily_sums(prices, pair_map), pair_map)
-    shown = _rounded(rows, modal_price=4)
-    grouped = records_json(shown, P.PAIR, ["commodity", "market", "state", "modal_price"])
-    return grouped.withColumn("columns", F.array_join("columns", ","))
+    summary = P.headline_summary(_rounded(rows, modal_price=4))
+    return summary.select(*P.PAIR, "result", F.array_join("columns", ",").alias("columns"))
 
 
 def delta_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,10 +411,13 @@ QUERIES = {
     "answer_records_json": Query(
         answer_records_json,
         f"WITH {V.STAR}, {V.ASKED}, {HEADLINES} SELECT term, loc, '[' || string_agg("
-        "CAST(to_json({'commodity': commodity, 'market': market, 'state': state,"
-        " 'modal_price': round(modal_price + 3.183e-8, 4)}) AS varchar), ',' ORDER BY commodity) || ']'"
-        " AS records, 'commodity,market,state,modal_price' AS columns"
-        " FROM headlines GROUP BY term, loc",
+        "CASE WHEN loc IS NULL THEN CAST(to_json({'commodity': commodity, 'state': state,"
+        " 'modal_price': round(modal_price + 3.183e-8, 4)}) AS varchar)"
+        " ELSE CAST(to_json({'commodity': commodity, 'market': market, 'state': state,"
+        " 'modal_price': round(modal_price + 3.183e-8, 4)}) AS varchar) END,"
+        " ',' ORDER BY commodity) || ']' AS result, CASE WHEN loc IS NULL"
+        " THEN 'commodity,state,modal_price' ELSE 'commodity,market,state,modal_price' END"
+        " AS columns FROM headlines GROUP BY term, loc",
     ),
     "delta_badge": Query(
         delta_badge,

@@ -13,7 +13,6 @@ from harvestline.operators import series as S
 from harvestline.plans import prices as P
 from harvestline.session import new_folder
 from harvestline.sources import prices as L
-from harvestline.sources.questions import records_json
 
 DAY = dt.date(2024, 1, 1)
 
@@ -219,6 +218,7 @@ def test_records(spark, prices):
     assert len(records) == 7
     tomato = records["Tomato", None]
     assert tomato["n_rows"] == 0 and tomato["latest_price"] is None
+    assert tomato["result"] == "[]" and tomato["columns"] == []
     onion = records["Onion", "Punjab"]
     assert (onion["n_rows"], onion["stats_scope"], onion["latest_price"]) == (0, "all", 7.0)
     assert onion["explanation"] == "Query executed for commodity='Onion', location='Punjab'."
@@ -283,8 +283,17 @@ def test_chat_text_variants(spark):
     assert text(1, row, "hi", "boom") == "⚠️ क्वेरी में त्रुटि: boom"
 
 
-def test_records_json_writes_nulls(spark):
-    df = spark.createDataFrame([(1, "b", None), (1, "a", 2.5)], "k int, c string, p double")
-    found = records_json(df, ["k"], ["c", "p"]).first()
-    assert found["records"] == '[{"c":"a","p":2.5},{"c":"b","p":null}]'
-    assert found["columns"] == ["c", "p"]
+def test_result_json_writes_nulls(spark):
+    headlines = spark.createDataFrame(
+        [("t", "x", "b", "m", None, None), ("t", "x", "a", None, "s", 2.5), ("t", None, "a", None, "s", 1.0)],
+        "term string, loc string, commodity string, market string, state string, modal_price double",
+    )
+    found = {row["loc"]: row for row in P.headline_summary(headlines).collect()}
+    assert found["x"]["result"] == (
+        '[{"commodity":"a","market":null,"state":"s","modal_price":2.5},'
+        '{"commodity":"b","market":"m","state":null,"modal_price":null}]'
+    )
+    assert found["x"]["columns"] == ["commodity", "market", "state", "modal_price"]
+    assert found["x"]["n_rows"] == 2 and found["x"]["state"] is None
+    assert found[None]["result"] == '[{"commodity":"a","state":"s","modal_price":1.0}]'
+    assert found[None]["columns"] == ["commodity", "state", "modal_price"]
