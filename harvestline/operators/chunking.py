@@ -36,15 +36,20 @@ def chunk_documents(
     different documents may share a slug, so they carry the document id unless
     ``prefix_id`` is off, as for a single file.
     """
-    unix_lines = F.regexp_replace(F.col(text), "\r\n?", "\n")
+    unix_lines = F.replace(
+        F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")
+    )
     sections = documents.select(
         F.col(doc_id).alias("doc_id"),
         F.explode(_filled_parts(strip(unix_lines), section_break)).alias("_section"),
     )
     has_body = F.instr("_section", "\n") > 0
-    titled = sections.select(
+    named = sections.withColumn("scheme", strip(F.substring_index("_section", "\n", 1)))
+    # The slug is made once per section, below the explode into paragraphs.
+    titled = named.select(
         "doc_id",
-        strip(F.substring_index("_section", "\n", 1)).alias("scheme"),
+        "scheme",
+        slug(F.col("scheme")).alias("_slug"),
         F.when(has_body, F.expr("substr(_section, instr(_section, '\n') + 1)"))
         .otherwise("")
         .alias("_body"),
@@ -52,12 +57,13 @@ def chunk_documents(
     paragraphs = titled.select(
         "doc_id",
         "scheme",
+        "_slug",
         F.posexplode(_filled_parts(F.col("_body"), paragraph_break)).alias("ordinal", "text"),
     )
     prefix = [F.col("doc_id").cast("string")] if prefix_id else []
     return paragraphs.select(
         "doc_id",
-        F.concat_ws("_", *prefix, slug(F.col("scheme")), F.col("ordinal").cast("string")).alias(
+        F.concat_ws("_", *prefix, "_slug", F.col("ordinal").cast("string")).alias(
             "chunk_id"
         ),
         "scheme",

@@ -44,6 +44,7 @@ class Vocabulary:
 
 
 DEFAULT = Vocabulary()
+MAX_LISTED_PAIRS = 20_000
 
 
 def understand(questions: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
@@ -75,15 +76,23 @@ def understand(questions: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFr
     )
 
 
-def vocabulary_records(prices: DataFrame, questions: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def crossable(vocabulary: Vocabulary) -> bool:
+    """Whether all pairs of the gazetteer are few enough to list."""
+    return len(vocabulary.terms()) * (len(vocabulary.places()) + 1) <= MAX_LISTED_PAIRS
+
+
+def vocabulary_records(
+    prices: DataFrame, questions: DataFrame | None, vocabulary: Vocabulary = DEFAULT
+) -> DataFrame:
     """Price records for every pair the questions can ask.
 
     A gazetteer small enough is crossed as plain lists, which spares a pass over
     the questions; otherwise the pairs are read off the questions.
     """
-    terms, places = vocabulary.terms(), vocabulary.places()
-    if len(terms) * (len(places) + 1) <= MAX_BROADCAST_ROWS // 10:
-        asked = P.asked_pairs(prices.sparkSession, terms, places)
+    if crossable(vocabulary):
+        asked = P.asked_pairs(prices.sparkSession, vocabulary.terms(), vocabulary.places())
+    elif questions is None:
+        raise ValueError("this vocabulary has too many pairs; pass the questions")
     else:
         asked = understand(questions, vocabulary).select("term", "loc")
     return P.price_records(prices, asked)

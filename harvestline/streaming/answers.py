@@ -32,13 +32,16 @@ def price_answers(
 def batch_answerer(path: str, **inputs) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the batch plan on each micro-batch.
 
-    Every batch replaces its own folder, so a batch that is run again after a
-    failure leaves one copy of its answers.
+    The index is measured and shipped, and the price records are computed, once
+    and not per batch; start the stream anew to see later data. Every batch
+    replaces its own folder, so a batch that is run again after a failure leaves
+    one copy of its answers.
     """
-
-    index = inputs.get("index")
-    if isinstance(index, DataFrame):  # measured and shipped once, not per batch
-        inputs["index"] = N.open_index(index)
+    if isinstance(inputs.get("index"), DataFrame):
+        inputs["index"] = N.open_index(inputs["index"])
+    vocabulary = inputs.get("vocabulary", A.DEFAULT)
+    if inputs.get("records") is None and A.crossable(vocabulary):
+        inputs["records"] = A.vocabulary_records(inputs.pop("prices"), None, vocabulary)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         A.answer_questions(batch, **inputs).write.mode("overwrite").parquet(

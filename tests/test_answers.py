@@ -7,7 +7,6 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from harvestline import lexicon
 from harvestline.plans import answers as A
@@ -46,7 +45,9 @@ def inputs(spark, prices):
     )
     return {
         "index": index,
-        "vectors": spark.createDataFrame([(2, [1.0, 0.1]), (0, [1.0, 0.0])], "qid long, embedding array<float>"),
+        "vectors": spark.createDataFrame(
+            [(2, [1.0, 0.1]), (0, [1.0, 0.0])], "qid long, embedding array<float>"
+        ),
         "labels": spark.createDataFrame(
             [(5, ' "price_agent"\n'), (0, "not_a_real_label")], "qid long, raw_label string"
         ),
@@ -108,7 +109,9 @@ def test_answers_without_models_or_index(spark, asked, prices):
 
 def test_large_gazetteer_reads_pairs_off_the_questions(spark, asked, prices, monkeypatch):
     small = A.vocabulary_records(prices, asked, A.DEFAULT)
-    monkeypatch.setattr(A, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(A, "MAX_LISTED_PAIRS", 0)
+    with pytest.raises(ValueError, match="pass the questions"):
+        A.vocabulary_records(prices, None, A.DEFAULT)
     large = A.vocabulary_records(prices, asked, A.DEFAULT)
     assert rows(large) and all(row in rows(small) for row in rows(large))
     answered = A.answer_questions(asked, records=large)

@@ -135,7 +135,8 @@ def test_bad_dates(spark, tmp_path):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
         L.to_prices(raw).collect()
     assert L.to_prices(raw, strict=False).where("date is null").count() == 2
-    slashed = L.read_price_text(spark, write(tmp_path, CSV.replace("2024-01-02", "02/01/2024").replace("2024-01-01", "01/01/2024")))
+    text = CSV.replace("2024-01-02", "02/01/2024").replace("2024-01-01", "01/01/2024")
+    slashed = L.read_price_text(spark, write(tmp_path, text))
     assert L.to_prices(slashed, "dd/MM/yyyy").agg(F.max("date")).first()[0] == day(1)
 
 
