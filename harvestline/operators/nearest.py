@@ -21,13 +21,14 @@ lower chunk id.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,9 @@ from pyspark.sql import Window as W
 from .. import lexicon
 from ..session import MAX_BROADCAST_BYTES, stage
 
+# Tasks get the functions of this module by value, so workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VECTOR = "embedding"
 MAX_PIVOTS = 1024
 PIVOT_BYTES = 8 << 20

@@ -1,10 +1,12 @@
 """Chunking, the index, retrieval, context, prompts."""
 
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import ROOT, rows
 from pyspark.sql import functions as F
 
 from harvestline import lexicon
@@ -194,6 +196,26 @@ def test_size_check(spark):
     assert not N.measure(table, 71).small  # too many rows to be small
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The driver's path is not the workers'; run from elsewhere to tell."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from harvestline.session import local_session
+from harvestline.operators import nearest as N
+spark = local_session(1, shuffle_partitions=1)
+table = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "chunk_id int, embedding array<float>")
+asked = table.withColumnRenamed("chunk_id", "qid")
+for search in (N.retrieve, N.retrieve_by_cells):
+    assert N.neighbours(search(asked, table, 2)).count() == 4
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=env, timeout=180, capture_output=True, text=True
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_self_is_left_out(spark):
     table = vectors(spark, [(1, [0.0]), (2, [0.0]), (3, [1.0])], "int")
     questions = table.withColumnRenamed("chunk_id", "qid")
