@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, simhash
+from . import decontamination, mixing, quality, simhash, token_files
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +32,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_source_mixing": (op3_source_mixing, None),
+    "op6_token_files": (op6_token_files, None),
     "op7_decontamination": (op7_decontamination, decontamination.SQL),
     "op9_simhash_near_duplicates": (op9_simhash_near_duplicates, None),
     "op10_quality": (op10_quality, None),
