@@ -76,8 +76,8 @@ def _search(k: int):
         if not queries.num_rows or not vectors.num_rows:
             return pa.table([pa.array([], kind) for kind in kinds], names)
         q_row, q_id = (column_of(queries, c).to_numpy() for c in ("row", "id"))
-        v_row, v_id = (column_of(vectors, c).to_numpy() for c in ("row", "id"))
-        asked, given = _matrix(column_of(queries, "vector")), _matrix(column_of(vectors, "vector"))
+        v_row, v_id = (column_of(vectors, c).to_numpy() for c in ("of_row", "of_id"))
+        asked, given = _matrix(column_of(queries, "vector")), _matrix(column_of(vectors, "of_vector"))
         q_code, q_scale, q_norm, q_back, q_rest = quantised(asked)
         v_code, v_scale, v_norm, v_back, v_rest = quantised(given)
         found: list[tuple] = []
@@ -132,9 +132,9 @@ def nearest(
     queries = rows.where("asks").withColumn("block", to(blocks)).withColumn("stripe", every(stripes))
     vectors = rows.withColumn("stripe", to(stripes)).withColumn("block", every(blocks))
     keys = ["width", "block", "stripe"]
-    tiles = queries.select(*keys, "row", "id", "vector").groupBy(*keys).cogroup(
-        vectors.select(*keys, "row", "id", "vector").groupBy(*keys)
-    )
+    # Both sides come from one table; columns of their own keep them apart in the plan.
+    given = [F.col(c).alias(f"of_{c}") for c in ("row", "id", "vector")]
+    tiles = queries.select(*keys, "row", "id", "vector").groupBy(*keys).cogroup(vectors.select(*keys, *given).groupBy(*keys))
     heaps = tiles.applyInArrow(_search(k), "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = heaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

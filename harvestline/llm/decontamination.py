@@ -102,7 +102,7 @@ def _scan_one(text: str | None, machine, symbols: dict[bytes, str]) -> tuple:
     coded = "".join([look(word, _UNKNOWN) for word in words])
     edges = None
     found: set = set()
-    for last, (width, ids) in machine.iter(coded):
+    for last, (width, ids) in machine.iter(coded) if symbols else ():  # no items make no automaton
         if edges is None:
             edges = np.zeros(len(words) + 1, np.int64)
         edges[last - width + 1] += 1

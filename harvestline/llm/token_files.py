@@ -44,7 +44,7 @@ ROUNDS = 5
 LEAST_USES = 6
 # A round that shortens the block by less than this share is the last one.
 LEAST_GAIN = 0.02
-MAX_REMEMBERED = 600_000
+MAX_REMEMBERED = 1_200_000
 
 # Letters, digits, punctuation and blanks that every Unicode version classes alike.
 _ODD = re.compile(r"[^\n\x20-\x7e\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]")
@@ -91,11 +91,13 @@ class Encoder:
         # A chunk begins with the line feed that it was cut at, or the blank before it,
         # so in one run of chunks each starts where an id starts with one of these.
         asked = [chunk if chunk[:1] == "\n" else " " + chunk for chunk in chunks]
-        ids = np.frombuffer(self._encode("".join(asked)), "<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(chunks):  # an id that holds more than its own start's blank
+        found = self.tokenizer.encode_batch_fast(["".join(asked)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        edges = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(edges) != len(chunks):  # an id that holds more than its own start's blank
             return [self._encode(text) for text in asked]
-        return [part.tobytes() for part in np.split(ids, starts[1:])]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)])]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
