@@ -85,13 +85,20 @@ def contains_pairs(terms: DataFrame, values: DataFrame, term: str, value: str) -
     )
 
 
-def _keyed(texts: DataFrame, key: str, text: str, keys: Callable[[Column], Column]) -> DataFrame:
-    """(key, _text, _key): the folded text beside each of its distinct keys.
+def _candidates(
+    texts: DataFrame, named: DataFrame, key: str, text: str, keys: Callable[[Column], Column]
+) -> DataFrame:
+    """(key, columns of ``named``, _text) of texts that share a key with a named row.
 
-    The text is folded below the explode, once per text and not once per key.
+    Only ids and keys are exploded and joined; ``named`` then leaves few pairs,
+    which meet their text again by id. The text is folded once and not per key,
+    and texts without a candidate are not shuffled for one. ``key`` is unique.
     """
     folded = texts.select(key, F.lower(text).alias("_text"))
-    return folded.select(key, "_text", F.explode(F.array_distinct(keys(F.col("_text")))).alias("_key"))
+    exploded = folded.select(key, F.explode(F.array_distinct(keys(F.col("_text")))).alias("_key"))
+    pairs = exploded.join(broadcast_if_small(named), "_key").drop("_key")
+    other = folded.withColumnRenamed(key, "_id")
+    return pairs.join(other, pairs[key].eqNullSafe(other["_id"])).drop("_id")
 
 
 def word_pairs(texts: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,48 +116,46 @@ def word_pairs(texts: DataFrame, aliases: DataFrame, key: str, text: str) -> Dat
         found = F.regexp_extract_all(lowered, F.lit(run))
         return F.array_append(found, F.lit("")) if bare else found
 
-    split = _keyed(texts, key, text, runs)
     quoted = F.concat(F.lit("\\Q"), F.col("alias"), F.lit("\\E"))
     pattern = F.concat(
         F.lit(f"(^|[^{WORD_CHAR}])("), quoted, F.lit(f")($|[^{WORD_CHAR}])")
     )
-    return (
-        split.join(broadcast_if_small(named), "_key")
-        .where(F.rlike(F.col("_text"), pattern))
-        .drop("_text", "_key")
-    )
+    found = _candidates(texts, named, key, text, runs)
+    return found.where(F.rlike(F.col("_text"), pattern)).drop("_text")
 
 
 def keyword_pairs(texts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule columns) for every rule whose keyword occurs in the text.
 
     Join key: the first three characters of the keyword (the whole keyword if
-    shorter) against the grams of the text.
+    shorter) against the grams of the text. An empty keyword occurs in every
+    text, a NULL one in none.
     """
-    named = rules.where(F.length("keyword") > 0).withColumn("_key", F.substring("keyword", 1, GRAM))
+    named = rules.where(F.col("keyword").isNotNull()).withColumn("_key", F.substring("keyword", 1, GRAM))
     lengths = [row["n"] for row in named.select(F.length("_key").alias("n")).distinct().collect()]
 
     def grams(lowered: Column) -> Column:
         none = F.array().cast("array<string>")
         found = (
-            F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sorted(lengths)
+            F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+            if n
+            else F.when(lowered.isNotNull(), F.array(F.lit("")))
+            for n in sorted(lengths)
         )
         return F.concat(none, *found)
 
-    return (
-        _keyed(texts, key, text, grams)
-        .join(broadcast_if_small(named), "_key")
-        .where(F.col("_text").contains(F.col("keyword")))
-        .drop("_text", "_key")
-    )
+    found = _candidates(texts, named, key, text, grams)
+    return found.where(F.col("_text").contains(F.col("keyword"))).drop("_text")
 
 
 def first_by(matches: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """The value with the lowest order per key.
+    """The value with the lowest order per key; the smallest value among equals.
 
     Only matched rows reach this; each key has at most one row per rule.
     """
-    return matches.groupBy(*keys).agg(F.min_by(value, order).alias(value))
+    return matches.groupBy(*keys).agg(F.min(F.struct(order, value)).alias("_first")).select(
+        *keys, F.col("_first")[value].alias(value)
+    )
 
 
 def entities_by_gazetteer(
@@ -163,11 +168,12 @@ def entities_by_gazetteer(
 ) -> DataFrame:
     """(key, commodity, location) of every question from an alias table.
 
-    A small table is folded into the projection; a larger one is joined.
+    A small table is folded into the projection; a larger one is joined. Both
+    take the lowest ``ord``, and the smallest canonical name among equals.
     """
     rows = small_rows(gazetteer, max_folded)
     if rows is not None:
-        rows.sort(key=lambda row: row["ord"])
+        rows.sort(key=lambda row: (row["ord"], row["canonical"]))
         names = {
             kind: [(row["alias"], row["canonical"]) for row in rows if row["kind"] == kind]
             for kind in ("commodity", "location")
@@ -181,8 +187,7 @@ def entities_by_gazetteer(
     found = word_pairs(questions, gazetteer, key, text)
 
     def first(kind: str) -> Column:
-        mine = F.when(F.col("kind") == kind, F.col("ord"))
-        return F.min_by(F.when(mine.isNotNull(), F.col("canonical")), mine)
+        return F.min(F.when(F.col("kind") == kind, F.struct("ord", "canonical")))["canonical"]
 
     named = found.groupBy(key).agg(
         first("commodity").alias("commodity"), first("location").alias("location")
@@ -202,11 +207,13 @@ def intent_by_rules(
 ) -> DataFrame:
     """(key, intent) of every question from a rule table.
 
-    A small table is folded into the projection; a larger one is joined.
+    A small table is folded into the projection; a larger one is joined. Both
+    take the lowest priority, and the smallest label among equals.
     """
     rows = small_rows(rules, max_folded)
     if rows is not None:
-        folded = [(row["priority"], row["keyword"], row["label"]) for row in rows]
+        folded = [(row["priority"], row["keyword"], row["label"]) for row in rows if row["keyword"] is not None]
+        folded.sort(key=lambda rule: (rule[0], rule[2]))
         return questions.select(
             key, intent_by_keywords(F.col(text), folded, default).alias("intent")
         )

@@ -4,7 +4,7 @@ Two ways, chosen by the measured size of the index; both give the same rows.
 
 * A small index is shipped once to every worker and questions stream past it.
   Questions are not shuffled at all.
-* A large index is cut into cells around pivot vectors (a k-nearest-neighbour
+* A large index is cut, once when it is opened, into cells around pivot vectors (a k-nearest-neighbour
   join in the manner of Lu et al., PVLDB 2012). A question first searches the
   cell of its nearest pivot; the k-th distance found there rules out every cell
   that the triangle or bisector inequality puts farther away, and only the
@@ -43,6 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VECTOR = "embedding"
 MAX_PIVOTS = 1024
 PIVOT_BYTES = 8 << 20
+# Equal vectors that an opened index keeps; a search for more hits cuts it anew.
+COPIES = 16
 BLOCK_BYTES = 32 << 20
 SCRATCH_BYTES = 64 << 20
 # An index row takes at least this much, so more rows than bytes allow are too many.
@@ -126,51 +128,85 @@ class IndexSize:
     small: bool
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A large index, cut into cells and stored once."""
+
+    chunks: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    blocks: dict[int, int]
+    copies: int
+
+
 @dataclass(frozen=True)
 class OpenIndex:
-    """An index that was measured, and shipped to the workers if it is small."""
+    """A measured index: shipped to the workers if it is small, cut into cells if not."""
 
     table: DataFrame
     id_col: str
     size: IndexSize
     shipped: Broadcast | None
+    cells: Cells | None = None
+
+    def close(self) -> None:
+        """Release the copies that workers hold."""
+        if self.shipped is not None:
+            self.shipped.destroy()
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector is there, not empty, and all finite: others are no index rows."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & finite
 
 
 def measure(index: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> IndexSize:
     """Rows and vector width, and whether the whole index stays in ``max_bytes``.
 
-    Counting rows of a stored table reads no column. Texts are only sized when
-    there are few enough rows for the index to be small at all.
+    Counting rows of a stored table reads no column. Rows are only sized when
+    there are few enough of them for the index to be small at all; then every
+    column counts, nested and binary ones by their JSON.
     """
-    rows = index.count()
+    low, high, rows = index.agg(
+        F.min(F.size(VECTOR)), F.max(F.size(VECTOR)), F.count("*")
+    ).first()
     if rows == 0:
         return IndexSize(0, 0, True)
-    if rows * MIN_ROW_BYTES > max_bytes:
-        return IndexSize(rows, index.select(F.size(VECTOR)).first()[0], False)
-    texts = [f.name for f in index.schema.fields if isinstance(f.dataType, T.StringType)]
-    row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16))
-    low, high, total = index.agg(
-        F.min(F.size(VECTOR)), F.max(F.size(VECTOR)), F.sum(row_bytes + 8 * F.size(VECTOR))
-    ).first()
-    if low != high or low < 1:
+    if low != high:
         raise ValueError(f"index vectors differ in width: {low} to {high}")
+    if rows * MIN_ROW_BYTES > max_bytes:
+        return IndexSize(rows, low, False)
+    rest = F.octet_length(F.to_json(F.struct(*_payload(index))))
+    total = index.agg(F.sum(rest + 8 * F.size(VECTOR))).first()[0]
     return IndexSize(rows, low, total <= max_bytes)
 
 
 def open_index(
     index: DataFrame, id_col: str = "chunk_id", max_index_bytes: int = MAX_BROADCAST_BYTES
 ) -> OpenIndex:
-    """Measure an index once, for any number of :func:`retrieve` calls."""
+    """Check and measure an index once, for any number of :func:`retrieve` calls.
+
+    Whatever the size, rows without a usable vector are left out, vectors of
+    different widths are refused, and so are ids that are NULL or repeated.
+    """
+    index = index.where(usable(F.col(VECTOR)))
+    repeated = index.groupBy(id_col).agg(F.count("*").alias("n"))
+    bad = repeated.where((F.col("n") > 1) | F.col(id_col).isNull()).head()
+    if bad is not None:
+        raise ValueError(f"index id {bad[id_col]!r} stands on {bad['n']} rows")
     size = measure(index, max_index_bytes)
-    shipped = None
-    if size.small and size.rows:
-        table = index.orderBy(id_col).toArrow()
-        shipped = index.sparkSession.sparkContext.broadcast(
-            (
-                _vectors(_column(table, VECTOR), size.width),
-                {c: _column(table, c) for c in _payload(index)},
-            )
+    if size.rows == 0:
+        return OpenIndex(index, id_col, size, None)
+    if not size.small:
+        return OpenIndex(index, id_col, size, None, _cut(index, size, id_col))
+    table = index.orderBy(id_col).toArrow()
+    shipped = index.sparkSession.sparkContext.broadcast(
+        (
+            _vectors(_column(table, VECTOR), size.width),
+            {c: _column(table, c) for c in _payload(index)},
         )
+    )
     return OpenIndex(index, id_col, size, shipped)
 
 
@@ -238,10 +274,27 @@ def _pivots(index: DataFrame, size: IndexSize, id_col: str) -> np.ndarray:
     return _vectors(_column(chosen, VECTOR), size.width)[1]
 
 
-def _nearest_pivot(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and distance to all pivots of each vector."""
-    to_pivot = np.sqrt(np.maximum(_rough(vectors, pivots), 0.0))
-    return to_pivot.argmin(axis=1), to_pivot
+def _nearest_pivot(
+    vectors: np.ndarray, pivots: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell and squared distance to all pivots of each vector, and a bound on its error.
+
+    All are shifted by the mean pivot first, so a common offset costs no digits.
+    The error of the matrix product grows with the squared norms that are left,
+    and that of the shift with the norms there were.
+    """
+    centre = pivots.mean(axis=0)
+    moved, fixed = vectors - centre, pivots - centre
+    squared = np.maximum(_rough(moved, fixed), 0.0)
+    error = _rounding(np.linalg.norm(moved, axis=1), fixed, centre)
+    return squared.argmin(axis=1), squared, error
+
+
+def _rounding(norms: np.ndarray, pivots: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Bound on the error of squared distances from vectors of these norms to pivots."""
+    far = norms + np.linalg.norm(pivots, axis=1).max()
+    shift = 1e-15 * (far + 2 * np.linalg.norm(centre))
+    return 1e-13 * far**2 + 4 * shift * far + shift**2
 
 
 def _in_cells(index: DataFrame, pivots: np.ndarray, width: int, id_col: str) -> DataFrame:
@@ -252,13 +305,14 @@ def _in_cells(index: DataFrame, pivots: np.ndarray, width: int, id_col: str) ->
             rows, vectors = _vectors(batch.column(VECTOR), width)
             if len(rows) < batch.num_rows:
                 raise ValueError(f"index vectors must be {width} finite numbers wide")
-            cell, to_pivot = _nearest_pivot(vectors, pivots)
+            cell, squared, error = _nearest_pivot(vectors, pivots)
+            reach = np.sqrt(squared[np.arange(len(cell)), cell] + error)
             kept = batch
             yield pa.RecordBatch.from_arrays(
                 [
                     *kept.columns,
                     pa.array(cell, pa.int32()),
-                    pa.array(to_pivot[np.arange(len(cell)), cell], pa.float64()),
+                    pa.array(reach, pa.float64()),
                 ],
                 [*kept.schema.names, "cell", "reach"],
             )
@@ -282,25 +336,32 @@ def _visits(
     ``home`` gives the nearest cell only. Otherwise all other cells that may
     hold a vector within the question's ``bound`` (NULL: no bound yet).
     """
-    between = np.sqrt(np.maximum(_rough(pivots, pivots), 0.0))
+    _, between, apart_error = _nearest_pivot(pivots, pivots)
+    between = np.sqrt(between + apart_error[:, None])
+    # The largest error with which a chunk may have been put into its cell.
+    centre = pivots.mean(axis=0)
+    reach = np.linalg.norm(pivots - centre, axis=1) + np.maximum(radius, 0.0)
+    placed = _rounding(reach.max(), pivots - centre, centre)
     occupied = radius >= 0.0
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, vectors = _vectors(batch.column(VECTOR), width)
-            own, to_pivot = _nearest_pivot(vectors, pivots)
+            own, squared, error = _nearest_pivot(vectors, pivots)
             if home:
                 row, cell = np.arange(len(own)), own
             else:
                 bound = pc.fill_null(batch.column("bound"), math.inf).to_numpy(zero_copy_only=False)
                 limit = np.sqrt(bound[rows])
-                own_gap = to_pivot[np.arange(len(own)), own]
-                ball = to_pivot - radius[None, :]
+                # Lower bounds, each lessened by what rounding may have added. A chunk
+                # may also stand in a cell that is nearest only up to its own error.
+                own_gap = squared[np.arange(len(own)), own]
+                ball = np.sqrt(np.maximum(squared - error[:, None], 0.0)) - radius[None, :]
+                least_gap = squared - own_gap[:, None] - 2 * (error + placed)[:, None]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (to_pivot**2 - own_gap[:, None] ** 2) / (2.0 * between[own])
+                    plane = least_gap / (2.0 * between[own])
                 least = np.maximum(ball, np.where(np.isfinite(plane), plane, 0.0))
-                slack = 1e-6 * (1.0 + to_pivot)
-                open_ = (least <= limit[:, None] + slack) & occupied[None, :]
+                open_ = (least <= limit[:, None] * (1 + 1e-9)) & occupied[None, :]
                 open_[np.arange(len(own)), own] = False
                 row, cell = np.nonzero(open_)
             taken = batch.select(["qid", VECTOR]).take(pa.array(rows[row]))
@@ -393,50 +454,62 @@ def _without_spare_copies(index: DataFrame, k: int, id_col: str) -> DataFrame:
     return numbered.where(F.col("_copy") <= k).drop("_copy")
 
 
-def nearest_by_cells(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
-    """(qid, id, distance, rank) by the cell join; ``qid`` must be unique."""
-    id_col, width = opened.id_col, opened.size.width
-    index = stage(_without_spare_copies(opened.table, k, id_col), "vectors")
-    pivots = _pivots(index, opened.size, id_col)
-    chunks = stage(_in_cells(index, pivots, width, id_col), "cells")
+def _cut(index: DataFrame, size: IndexSize, id_col: str, copies: int = COPIES) -> Cells:
+    """Store the index in cells, with all that a search needs to know of them.
+
+    Of equal vectors the ``copies`` lowest ids are kept, enough for as many hits.
+    """
+    width = size.width
+    kept = stage(_without_spare_copies(index, copies, id_col), "vectors")
+    pivots = _pivots(kept, size, id_col)
+    chunks = stage(_in_cells(kept, pivots, width, id_col), "cells")
     block_rows = max(1, BLOCK_BYTES // (8 * width))
     radius = np.full(len(pivots), -1.0)
-    chunk_blocks: dict[int, int] = {}
+    blocks: dict[int, int] = {}
     cells = chunks.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"))
     for row in cells.collect():  # at most MAX_PIVOTS rows
         radius[row["cell"]] = row["reach"]
-        chunk_blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
+        blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
+    return Cells(chunks, pivots, radius, blocks, copies)
 
-    asked = questions.select("qid", VECTOR)
-    home = stage(
-        _search_cells(
-            _visits(asked, pivots, radius, width, home=True), chunks, chunk_blocks, k, width, id_col
-        ),
-        "home-hits",
-    )
+
+def nearest_by_cells(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
+    """(qid, id, distance, rank) by the cell join; ``qid`` must be unique."""
+    id_col, width = opened.id_col, opened.size.width
+    cells = opened.cells
+    if cells is None or k > cells.copies:
+        cells = _cut(opened.table, opened.size, id_col, max(k, COPIES))
+    asked = stage(questions.select("qid", VECTOR), "asked")
+    visits = _visits(asked, cells.pivots, cells.radius, width, home=True)
+    home = stage(_search_cells(visits, cells.chunks, cells.blocks, k, width, id_col), "home-hits")
     bounds = (
         _ranked(home, k, id_col).where(F.col("rank") == k).select("qid", F.col("distance").alias("bound"))
     )
-    rest = _visits(asked.join(bounds, "qid", "left"), pivots, radius, width, home=False)
-    others = _search_cells(rest, chunks, chunk_blocks, k, width, id_col)
+    bounded = asked.join(bounds, "qid", "left")
+    rest = stage(_visits(bounded, cells.pivots, cells.radius, width, home=False), "visits")
+    others = _search_cells(rest, cells.chunks, cells.blocks, k, width, id_col)
     return _ranked(home.unionByName(others), k, id_col)
 
 
 def _retrieve_large(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
+    """As the small way: every row has its own hits, whatever its ``qid``."""
     index, id_col = opened.table, opened.id_col
     payload = _payload(index)
-    found = nearest_by_cells(questions, opened, k)
+    numbered = stage(questions.withColumn("_row", F.monotonically_increasing_id()), "questions")
+    found = nearest_by_cells(numbered.select(F.col("_row").alias("qid"), VECTOR), opened, k)
     # A chunk near many questions is a hot key of this join; AQE splits it.
     hits = (
-        found.join(index.select(*payload), id_col)
-        .groupBy("qid")
+        found.withColumnRenamed("qid", "_row")
+        .join(index.select(*payload), id_col)
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "distance", *payload))).alias("hits"))
     )
     none = F.array().cast(_hits_type(index))
     return (
-        questions.drop(VECTOR)
-        .join(hits, "qid", "left")
+        numbered.drop(VECTOR)
+        .join(hits, "_row", "left")
         .withColumn("hits", F.coalesce("hits", none))
+        .drop("_row")
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from ..functions import render, text
 from ..operators import context as C
 from ..operators import nearest as N
 from ..operators.matching import join_same
-from ..session import MAX_BROADCAST_ROWS
+from ..session import is_small
 from . import prices as P
 
 
@@ -46,6 +47,13 @@ class Vocabulary:
 DEFAULT = Vocabulary()
 MAX_LISTED_PAIRS = 20_000
 
+# Price records of no pair, for prices that can't be read.
+NO_RECORDS = (
+    "term string, loc string, stats_scope string, query string, explanation string, n_rows long, commodity string,"
+    " market string, state string, modal_price double, result string, columns array<string>, latest_price double,"
+    " percent_change double, trend_direction string, forecast_14d double"
+)
+
 
 def understand(questions: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Add language, route and entities; narrow, for batches and streams alike.
@@ -82,7 +90,10 @@ def crossable(vocabulary: Vocabulary) -> bool:
 
 
 def vocabulary_records(
-    prices: DataFrame, questions: DataFrame | None, vocabulary: Vocabulary = DEFAULT
+    prices: DataFrame | None,
+    questions: DataFrame | None,
+    vocabulary: Vocabulary = DEFAULT,
+    cube: DataFrame | None = None,
 ) -> DataFrame:
     """Price records for every pair the questions can ask.
 
@@ -90,18 +101,18 @@ def vocabulary_records(
     the questions; otherwise the pairs are read off the questions.
     """
     if crossable(vocabulary):
-        asked = P.asked_pairs(prices.sparkSession, vocabulary.terms(), vocabulary.places())
+        spark = (prices if cube is None else cube).sparkSession
+        asked = P.asked_pairs(spark, vocabulary.terms(), vocabulary.places())
     elif questions is None:
         raise ValueError("this vocabulary has too many pairs; pass the questions")
     else:
         asked = understand(questions, vocabulary).select("term", "loc")
-    return P.price_records(prices, asked)
+    return P.price_records(prices, asked, cube)
 
 
 def join_records(understood: DataFrame, records: DataFrame) -> DataFrame:
     """Attach the price record of each priced question (questions are kept)."""
-    small = records.count() <= MAX_BROADCAST_ROWS
-    return join_same(understood, records, P.PAIR, "left", small)
+    return join_same(understood, records, P.PAIR, "left", is_small(records))
 
 
 def finish(answered: DataFrame) -> DataFrame:
@@ -112,9 +123,12 @@ def finish(answered: DataFrame) -> DataFrame:
     price_text = render.price_answer_text(
         F.coalesce("n_rows", F.lit(0)), F.col("modal_price"), F.col("forecast_14d"),
         F.col("trend_direction"),
+        F.col("price_error"),
     )
     scheme_text = render.scheme_answer(F.col("raw_answer"), F.col("language"))
     found = F.col("stats_scope").isNotNull()
+    if "price_error" not in answered.columns:
+        answered = answered.withColumn("price_error", F.lit(None).cast("string"))
     price = F.struct(
         "query",
         "explanation",
@@ -135,7 +149,7 @@ def finish(answered: DataFrame) -> DataFrame:
                 "latest_price", "percent_change", "trend_direction", "forecast_14d"
             ),
         ).alias("forecast_stats"),
-        F.lit(None).cast("string").alias("error"),
+        F.col("price_error").alias("error"),
     )
     scheme = F.struct("question", "retrieved_chunks", F.col("_scheme_text").alias("answer"))
     return answered.withColumn("_scheme_text", F.when(schemed, scheme_text)).select(
@@ -161,7 +175,9 @@ def _joined(questions: DataFrame, table: DataFrame | None, column: str, type_: s
         return questions
     if table is None:
         return questions.withColumn(column, F.lit(None).cast(type_))
-    return questions.join(table.select("qid", column), "qid", "left")
+    # One row a question: of several, the smallest value.
+    single = table.where(F.col("qid").isNotNull()).groupBy("qid").agg(F.min(column).alias(column))
+    return questions.join(single, "qid", "left")
 
 
 def answer_questions(
@@ -174,21 +190,31 @@ def answer_questions(
     vocabulary: Vocabulary = DEFAULT,
     k: int = lexicon.TOP_K,
     records: DataFrame | None = None,
+    cube: DataFrame | None = None,
 ) -> DataFrame:
     """Route every question and answer it from prices or documents.
 
     ``vectors`` (qid, embedding), ``labels`` (qid, raw_label) and
     ``model_answers`` (qid, raw_answer) come from outside models; each may be
-    missing as a whole or for single questions. ``records`` are the staged
-    output of an earlier :func:`vocabulary_records`, instead of ``prices``.
+    missing as a whole or for single questions; of several rows for a question
+    the smallest value counts. Prices that can't be read give every price
+    question an error text. ``records`` are the staged
+    output of an earlier :func:`vocabulary_records`, and ``cube`` the stored daily
+    cube, instead of ``prices``.
     """
     questions = _joined(questions, labels, "raw_label", "string")
     questions = _joined(questions, model_answers, "raw_answer", "string")
     questions = _joined(questions, vectors, N.VECTOR, "array<float>")
+    price_error = None
     if records is None:
-        if prices is None:
-            raise ValueError("either prices or records are needed")
-        records = vocabulary_records(prices, questions, vocabulary)
+        if prices is None and cube is None:
+            raise ValueError("prices, their cube, or records are needed")
+        try:
+            records = vocabulary_records(prices, questions, vocabulary, cube)
+        except PySparkException as error:
+            # Unreadable prices fail the price answers, each with its error, and no others.
+            price_error = str(error).strip().split("\n")[0] or type(error).__name__
+            records = questions.sparkSession.createDataFrame([], NO_RECORDS)
 
     asked = understand(questions, vocabulary)
     # Priced rows carry no vector from here on, so the search passes them by.
@@ -201,4 +227,5 @@ def answer_questions(
     else:
         retrieved = N.retrieve(asked, index, k)
     with_prompts = C.with_prompt(C.with_context(retrieved)).drop("hits", N.VECTOR)
-    return finish(join_records(with_prompts, records))
+    joined = join_records(with_prompts, records)
+    return finish(joined.withColumn("price_error", F.lit(price_error).cast("string")))

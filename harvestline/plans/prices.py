@@ -2,9 +2,9 @@
 
 Terms and locations are matched against the distinct dimension values only.
 The result is a small map from (commodity, market, state) to the series a fact
-row belongs to, and the facts are then scanned once: joined to that map,
-reduced to daily sums, and shuffled as such. Series, statistics and headline
-averages are all derived from the daily sums.
+row belongs to. The facts are scanned once, into a stored cube of daily sums per
+dimension value; dimensions, series, statistics and headline averages are all
+read from that cube.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .. import lexicon
 from ..functions import render
 from ..operators import series as S
 from ..operators.matching import contains_pairs, join_same
-from ..session import MAX_BROADCAST_ROWS, stage
+from ..session import is_small, stage
 
 DIMS = ["commodity", "market", "state"]
 PAIR = ["term", "loc"]
@@ -32,7 +32,7 @@ MAX_LINES = 10_000
 def asked_pairs(spark: SparkSession, commodities: list[str], locations: list[str]) -> DataFrame:
     """Every pair a gazetteer can produce, the missing location included."""
     rows = [(term, loc) for term in commodities for loc in [*locations, None]]
-    terms, places = zip(*rows)
+    terms, places = zip(*rows) if rows else ((), ())
     return spark.createDataFrame(
         pa.table({"term": pa.array(terms, pa.string()), "loc": pa.array(places, pa.string())})
     )
@@ -53,7 +53,7 @@ class PairMap:
     scopes: DataFrame
     lines: DataFrame
     members: DataFrame
-    member_rows: int
+    members_small: bool
     commodities: list[str] | None
 
 
@@ -93,11 +93,11 @@ def _numbered(lines: DataFrame) -> tuple[DataFrame, list[str] | None]:
     return lines.sparkSession.createDataFrame(numbered), commodities
 
 
-def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
-    """Match asked (term, loc) pairs to the stored dimension values."""
+def resolve_pairs(asked: DataFrame, cube: DataFrame) -> PairMap:
+    """Match asked (term, loc) pairs to the dimension values of a cube."""
     pairs = asked.select("term", F.nullif("loc", F.lit("")).alias("loc")).distinct()
     pairs = stage(pairs.where(F.col("term").isNotNull()), "pairs")
-    dims = stage(prices.select(*DIMS).distinct(), "dims")
+    dims = stage(cube.select(*DIMS).distinct(), "dims")
     matched = stage(_match_dims(pairs, dims), "matched")
 
     # The shown place is the smallest pair (or state), as no row is preferred.
@@ -120,32 +120,27 @@ def resolve_pairs(asked: DataFrame, prices: DataFrame) -> PairMap:
         F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
     )
     members = join_same(matched, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
-    return PairMap(scopes, lines, members.select(*DIMS, "line"), matched.count(), commodities)
+    return PairMap(scopes, lines, members.select(*DIMS, "line"), is_small(matched), commodities)
 
 
-def daily_sums(prices: DataFrame, pair_map: PairMap) -> DataFrame:
-    """(line, date) with the sum and count of prices; fixed-width throughout.
+def daily_cube(prices: DataFrame) -> DataFrame:
+    """(commodity, market, state, date) with the sum and count of prices, stored.
 
-    Raw rows are summed, so later averages weigh every row alike. A member map
-    beyond the broadcast bound meets facts already reduced to one row per
-    commodity, market, state and date.
+    The only scan of the facts: dimensions, lines, series and headlines are all
+    read from it. Raw rows are summed, so later averages weigh every row alike.
     """
-    facts = prices.select(*DIMS, "date", "modal_price")
+    cube = prices.groupBy(*DIMS, "date").agg(
+        F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n")
+    )
+    return stage(cube, "cube")
+
+
+def daily_sums(cube: DataFrame, pair_map: PairMap) -> DataFrame:
+    """(line, date) with the sum and count of prices, from :func:`daily_cube`."""
+    facts = cube
     if pair_map.commodities is not None:
         facts = facts.where(F.col("commodity").isin(pair_map.commodities))
-    small = pair_map.member_rows <= MAX_BROADCAST_ROWS
-    if small:
-        facts = facts.select(
-            *DIMS,
-            "date",
-            F.col("modal_price").alias("_sum"),
-            F.col("modal_price").isNotNull().cast("bigint").alias("_n"),
-        )
-    else:
-        facts = facts.groupBy(*DIMS, "date").agg(
-            F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n")
-        )
-    joined = join_same(facts, pair_map.members, DIMS, small=small)
+    joined = join_same(facts, pair_map.members, DIMS, small=pair_map.members_small)
     return joined.groupBy("line", "date").agg(
         F.sum("_sum").alias("price_sum"), F.sum("_n").alias("price_n")
     )
@@ -176,6 +171,25 @@ def pair_series(series: DataFrame, pair_map: PairMap) -> DataFrame:
     )
 
 
+def pair_titles(pair_map: PairMap) -> DataFrame:
+    """(term, loc, stats_scope, title): what a pair's chart shows.
+
+    The title names the place of the series that is drawn, so all regions after
+    a fallback.
+    """
+    title = render.chart_title(F.col("term"), F.col("series_loc"))
+    return pair_map.scopes.select(*PAIR, "stats_scope", title.alias("title"))
+
+
+def asked_charts(series: DataFrame, pair_map: PairMap) -> DataFrame:
+    """Long-form chart rows of each asked pair: its series with the 7-row mean, scope and title."""
+    points = S.chart_points(S.moving_average(series, SERIES), SERIES)
+    title = render.chart_title(F.col("term"), F.col("series_loc"))
+    return join_same(pair_map.scopes, points, SERIES).select(
+        *PAIR, "stats_scope", title.alias("title"), "date", "variable", "value"
+    )
+
+
 def pair_headlines(daily: DataFrame, pair_map: PairMap) -> DataFrame:
     """(term, loc, commodity, market, state, modal_price) per stored commodity.
 
@@ -220,13 +234,17 @@ def headline_summary(headlines: DataFrame) -> DataFrame:
     )
 
 
-def price_records(prices: DataFrame, asked: DataFrame) -> DataFrame:
+def price_records(
+    prices: DataFrame | None, asked: DataFrame, cube: DataFrame | None = None
+) -> DataFrame:
     """One record per asked pair: headline, statistics and explanation.
 
+    ``cube`` is the stored :func:`daily_cube` of the prices, if there is one.
     Staged, so it has a true size and can be reused by batches and streams.
     """
-    pair_map = resolve_pairs(asked, prices)
-    daily = stage(daily_sums(prices, pair_map), "daily")
+    cube = daily_cube(prices) if cube is None else cube
+    pair_map = resolve_pairs(asked, cube)
+    daily = stage(daily_sums(cube, pair_map), "daily")
     stats = S.stats_record(
         pair_stats(asked_series(daily, pair_map), pair_map), PAIR, "stats_scope", "n"
     ).withColumnRenamed("n", "series_rows")

@@ -68,9 +68,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> bool:
+    """Whether ``df`` is within both bounds; pass a staged table.
+
+    Bytes are those of the rows as JSON, so every column of every row counts,
+    nested and binary ones too.
+    """
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) if df.columns else F.lit(0)
+    rows, octets = df.agg(F.count("*"), F.sum(size)).first()
+    return rows <= max_rows and (octets or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting ``df``; pass a staged table."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Hint a broadcast only after measuring ``df``; pass a staged table."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def small_rows(df: DataFrame, max_rows: int = MAX_FOLDED_ROWS) -> list | None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import schema
+from ..operators.matching import join_same
 from ..session import new_folder
 
 # Rows of one conversation that a single window task sorts at most, as long as
@@ -14,19 +16,30 @@ REPLAY_BLOCK = 4096
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
-    messages.write.mode("append").parquet(path)
+    """Add messages to the log; a message without ``meta`` is stored without it."""
+    _with_meta(messages).write.mode("append").parquet(path)
 
 
 def open_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(schema.MESSAGES).parquet(path)
+
+
+def _with_meta(messages: DataFrame) -> DataFrame:
+    kind = schema.MESSAGES["meta"].dataType
+    if "meta" not in messages.columns:
+        messages = messages.withColumn("meta", F.lit(None).cast(kind))
+    return messages.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.MESSAGES.fields))
 
 
 def replay(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Messages with their 0-based ``position`` in the conversation.
 
-    A conversation may hold a large share of all rows, so it is never ranked in
-    one task: turns are cut into blocks, ranked inside each block, and shifted
-    by the number of rows in earlier blocks.
+    Messages without a turn come first; messages of equal turn are ordered by
+    their other columns, so the position is the same each time. Those without
+    a conversation form one of their own. A conversation may hold a large share
+    of all rows, so it is never ranked in one task: turns are cut into blocks,
+    ranked inside each block, and shifted by the number of rows in earlier
+    blocks.
     """
     blocked = messages.withColumn("_block", F.floor(F.col(turn) / F.lit(REPLAY_BLOCK)))
     earlier = W.partitionBy(conv).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -35,10 +48,11 @@ def replay(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
         .agg(F.count("*").alias("_n"))
         .select(conv, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy(conv, "_block").orderBy(turn)
+    others = [c for c in messages.columns if c not in (conv, turn)]
+    inside = W.partitionBy(conv, "_block").orderBy(turn, *others)
+    ranked = blocked.withColumn("_rank", F.row_number().over(inside) - 1)
     return (
-        blocked.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, [conv, "_block"])
+        join_same(ranked, offsets, [conv, "_block"])
         .withColumn("position", (F.col("_before") + F.col("_rank")).cast("bigint"))
         .drop("_block", "_rank", "_before")
     )
@@ -55,5 +69,5 @@ def rewrite_log(messages: DataFrame, name: str = "log") -> str:
     The old version stays readable until the caller switches over.
     """
     path = new_folder(messages.sparkSession, name)
-    messages.write.parquet(path)
+    _with_meta(messages).write.parquet(path)
     return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,19 +11,35 @@ from pyspark.sql import types as T
 from .. import lexicon, schema
 
 
-def read_price_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_price_text(
+    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False
+) -> DataFrame:
     """Price CSV with a header, every column as text.
 
-    The header gives the column order unless ``columns`` does. A missing path
-    raises before anything is written.
+    The header gives the column order unless ``columns`` does. Files whose
+    header differs from it fail the job; read them with
+    :func:`read_price_files`. ``multi_line`` keeps line feeds inside quotes, at
+    the price of one task per file. A missing path raises before anything is
+    written.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("enforceSchema", False).option("multiLine", multi_line)
     if columns is None:
         columns = reader.csv(path, inferSchema=False).columns
     text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return reader.schema(text).csv(path)
 
 
+def read_price_files(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
+    """Files or folders of price CSV, united by column name.
+
+    Each path has one header of its own; a column that only some have is NULL in
+    the others.
+    """
+    frames = [read_price_text(spark, path, multi_line=multi_line) for path in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def known(text: Column) -> Column:
     """NULL for the cell texts that mean missing."""
     return F.when(~text.isin(lexicon.MISSING_TOKENS), text)

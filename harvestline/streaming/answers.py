@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import nearest as N
 from ..plans import answers as A
+from ..plans import prices as P
 
 
 def price_answers(
@@ -32,16 +33,21 @@ def price_answers(
 def batch_answerer(path: str, **inputs) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the batch plan on each micro-batch.
 
-    The index is measured and shipped, and the price records are computed, once
-    and not per batch; start the stream anew to see later data. Every batch
+    The index is opened, the facts are scanned, and the price records of a
+    vocabulary with few pairs are computed, once and not per batch; start the
+    stream anew to see later data. With more pairs each batch takes those it
+    asks from the stored cube. Every batch
     replaces its own folder, so a batch that is run again after a failure leaves
     one copy of its answers.
     """
     if isinstance(inputs.get("index"), DataFrame):
         inputs["index"] = N.open_index(inputs["index"])
     vocabulary = inputs.get("vocabulary", A.DEFAULT)
-    if inputs.get("records") is None and A.crossable(vocabulary):
-        inputs["records"] = A.vocabulary_records(inputs.pop("prices"), None, vocabulary)
+    if inputs.get("records") is None:
+        cube = inputs.pop("cube", None)
+        inputs["cube"] = P.daily_cube(inputs.pop("prices")) if cube is None else cube
+        if A.crossable(vocabulary):
+            inputs["records"] = A.vocabulary_records(None, None, vocabulary, inputs["cube"])
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         A.answer_questions(batch, **inputs).write.mode("overwrite").parquet(

@@ -138,11 +138,15 @@ def conversation_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User messages appended after the others, and replayed from the log."""
+    """User messages, with what is known of them, appended after the others; the log replayed."""
     messages = V.table(spark, sf_dir, "conversations")
     path = G.rewrite_log(messages.where(F.col("role") != "user"))
-    G.append_messages(messages.where(F.col("role") == "user"), path)
-    return G.replay(G.open_log(spark, path))
+    meta = F.struct(F.lit("scheme_rag").alias("routed_to"), F.when(F.col("turn") > 0, "en").alias("language"))
+    G.append_messages(messages.where(F.col("role") == "user").withColumn("meta", meta), path)
+    replayed = G.replay(G.open_log(spark, path))
+    return replayed.select(
+        "conv_id", "turn", "role", "text", "position", "meta.routed_to", "meta.language"
+    )
 
 
 _REPLAY = (
@@ -247,7 +251,13 @@ QUERIES = {
         " AS chat_badge FROM routed",
     ),
     "conversation_replay": Query(conversation_replay, _REPLAY),
-    "conversation_append": Query(conversation_append, _REPLAY),
+    "conversation_append": Query(
+        conversation_append,
+        "SELECT conv_id, turn, role, text,"
+        " row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,"
+        " CASE WHEN role = 'user' THEN 'scheme_rag' END AS routed_to,"
+        " CASE WHEN role = 'user' AND turn > 0 THEN 'en' END AS language FROM conversations",
+    ),
     "conversation_clear": Query(
         conversation_clear,
         "SELECT * FROM conversations WHERE conv_id NOT IN"

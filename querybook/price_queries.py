@@ -128,17 +128,21 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return prices, asked
 
 
-def price_asked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, P.PairMap]:
     prices, asked = _asked(spark, sf_dir)
-    pair_map = P.resolve_pairs(asked, prices)
-    series = P.asked_series(P.daily_sums(prices, pair_map), pair_map)
+    cube = P.daily_cube(prices)
+    return cube, P.resolve_pairs(asked, cube)
+
+
+def price_asked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
     return _rounded(P.pair_series(series, pair_map), modal_price=4)
 
 
 def price_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices, asked = _asked(spark, sf_dir)
-    pair_map = P.resolve_pairs(asked, prices)
-    series = P.asked_series(P.daily_sums(prices, pair_map), pair_map)
+    cube, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
     stats = P.pair_stats(series, pair_map).select(
         *P.PAIR, "stats_scope", "n", "latest_price", "percent_change", "forecast_14d",
         "trend_direction",
@@ -147,9 +151,8 @@ def price_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices, asked = _asked(spark, sf_dir)
-    pair_map = P.resolve_pairs(asked, prices)
-    rows = P.pair_headlines(P.daily_sums(prices, pair_map), pair_map)
+    cube, pair_map = _resolved(spark, sf_dir)
+    rows = P.pair_headlines(P.daily_sums(cube, pair_map), pair_map)
     return _rounded(rows, modal_price=4)
 
 
@@ -171,14 +174,16 @@ def price_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, asked = _asked(spark, sf_dir)
-    term, loc = F.col("term"), F.col("loc")
-    return asked.select(
-        "term",
-        "loc",
-        render.explanation(term, loc).alias("explanation"),
-        render.chart_title(term, loc).alias("title"),
-    )
+    _, pair_map = _resolved(spark, sf_dir)
+    explained = render.explanation(F.col("term"), F.col("loc")).alias("explanation")
+    return P.pair_titles(pair_map).select("term", "loc", explained, "title")
+
+
+def price_asked_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart rows of every asked pair: series and 7-row mean, with scope and title."""
+    cube, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
+    return _rounded(P.asked_charts(series, pair_map), value=4)
 
 
 # --- results --------------------------------------------------------------
@@ -200,9 +205,8 @@ def answer_display_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices, asked = _asked(spark, sf_dir)
-    pair_map = P.resolve_pairs(asked, prices)
-    rows = P.pair_headlines(P.daily_sums(prices, pair_map), pair_map)
+    cube, pair_map = _resolved(spark, sf_dir)
+    rows = P.pair_headlines(P.daily_sums(cube, pair_map), pair_map)
     summary = P.headline_summary(_rounded(rows, modal_price=4))
     return summary.select(*P.PAIR, "result", F.array_join("columns", ",").alias("columns"))
 
@@ -398,7 +402,17 @@ QUERIES = {
         " 'Query executed for commodity=''' || term || CASE WHEN loc IS NULL"
         " THEN ''' across available regions.' ELSE ''', location=''' || loc || '''.' END"
         " AS explanation, 'Price Trend & Moving Average (' || term || ' - '"
-        " || coalesce(loc, 'All Regions') || ')' AS title FROM asked",
+        " || CASE WHEN stats_scope = 'located' THEN loc ELSE 'All Regions' END || ')' AS title FROM scopes",
+    ),
+    "price_asked_chart": Query(
+        price_asked_chart,
+        f"WITH {V.STAR}, {V.ASKED}, charted AS (SELECT *, avg(modal_price) OVER (PARTITION BY term, loc"
+        " ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ma_7,"
+        " 'Price Trend & Moving Average (' || term || ' - '"
+        " || CASE WHEN stats_scope = 'located' THEN loc ELSE 'All Regions' END || ')' AS title FROM series)"
+        " SELECT term, loc, stats_scope, title, date, 'modal_price' AS variable,"
+        " round(modal_price + 3.183e-8, 4) AS value FROM charted UNION ALL"
+        " SELECT term, loc, stats_scope, title, date, 'ma_7', round(ma_7 + 3.183e-8, 4) FROM charted",
     ),
     "answer_display_limit": Query(
         answer_display_limit,

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from harvestline import lexicon
 from harvestline.plans import answers as A
@@ -168,6 +169,33 @@ def test_micro_batches_equal_batch(spark, tmp_path, inputs):
     assert spark.read.parquet(out).where("batch_id = 0").count() == 3
 
 
+def test_one_answer_per_question_whatever_the_models_repeat(spark, asked, prices):
+    ids = [row["qid"] for row in asked.select("qid").collect()]
+    labels = spark.createDataFrame([(q, l) for q in ids for l in ("scheme_rag", "price_agent")], "qid int, raw_label string")
+    texts = spark.createDataFrame([(q, t) for q in ids for t in ("b", "a")], "qid int, raw_answer string")
+    found = A.answer_questions(asked, prices, labels=labels, model_answers=texts)
+    assert found.count() == len(ids)
+
+
+def test_unreadable_prices_give_price_questions_their_error(spark, asked, prices):
+    broken = prices.withColumn("modal_price", F.raise_error(F.lit("disk gone")).cast("double"))
+    found = A.answer_questions(asked, broken).collect()
+    priced = [row for row in found if row["routed_to"] == "price_agent"]
+    assert priced and all("disk gone" in row["price"]["error"] for row in priced)
+    assert all(row["answer_text"].startswith("⚠️") for row in priced)
+    others = [row for row in found if row["routed_to"] == lexicon.SCHEME_ROUTE]
+    assert others and all(row["price"] is None for row in others)
+
+
+def test_replay_keeps_rows_without_turn_or_conversation(spark):
+    log = spark.createDataFrame(
+        [(1, 0, "user", "a"), (1, None, "user", "b"), (None, 0, "user", "c"), (1, 0, "bot", "d")],
+        "conv_id long, turn long, role string, text string",
+    )
+    found = rows(G.replay(log), "conv_id", "text", "position")
+    assert found == sorted([(1, "b", 0), (1, "d", 1), (1, "a", 2), (None, "c", 0)], key=repr)
+
+
 # --- conversations --------------------------------------------------------
 
 

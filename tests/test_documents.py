@@ -152,9 +152,9 @@ def test_far_cells_are_not_visited(spark):
     asked, index = fixture("clusters", 200, 2000)
     pivots = np.array([v for _, v in index[:40]])
     stored = np.array([v for _, v in index])
-    cell, to_pivot = N._nearest_pivot(stored, pivots)
+    cell, squared, error = N._nearest_pivot(stored, pivots)
     radius = np.full(40, -1.0)
-    np.maximum.at(radius, cell, to_pivot[np.arange(len(cell)), cell])
+    np.maximum.at(radius, cell, np.sqrt(squared[np.arange(len(cell)), cell] + error))
     bounds = {}
     for qid, _, rank, distance in brute_force(asked, index, 3):
         if rank == 3:
@@ -189,6 +189,44 @@ def test_index_of_mixed_width_is_refused(spark):
         N.open_index(table)
 
 
+@pytest.mark.parametrize("way", ["small", "cells"])
+def test_one_rule_for_odd_rows(spark, way):
+    """Unusable index rows are left out, repeated questions answered each, repeated ids refused."""
+    table = spark.createDataFrame(
+        [("a", [0.0, 0.0]), ("b", None), ("c", [float("nan"), 1.0]), ("d", [None, 1.0]), ("e", [3.0, 0.0])],
+        "chunk_id string, embedding array<double>",
+    )
+    questions = spark.createDataFrame([(1, [0.0, 0.0]), (1, [3.0, 0.0]), (None, [0.0, 1.0])], "qid int, embedding array<double>")
+    search = N.retrieve if way == "small" else N.retrieve_by_cells
+    found = [(row["qid"], [h["chunk_id"] for h in row["hits"]]) for row in search(questions, table, 2).collect()]
+    assert sorted(found, key=str) == sorted([(1, ["a", "e"]), (1, ["e", "a"]), (None, ["a", "e"])], key=str)
+    with pytest.raises(ValueError, match="stands on 2 rows"):
+        search(questions, table.where("chunk_id = 'a'").union(table.where("chunk_id = 'a'")), 2)
+
+
+def test_far_offsets_lose_no_neighbour(spark):
+    """Vectors far from the origin and close to each other: both ways agree."""
+    rng = np.random.default_rng(5)
+    index = [(i, (1e4 + 1e-3 * rng.normal(size=3)).tolist()) for i in range(600)]
+    table = spark.createDataFrame(index, "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame(index[:300], "qid long, embedding array<double>")
+    small = N.neighbours(N.retrieve(questions, table, 4)).collect()
+    large = N.neighbours(N.retrieve_by_cells(questions, table, 4)).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, large))
+
+
+def test_large_index_is_stored_once(spark, monkeypatch):
+    table = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(40)], "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame([(1, [3.2, 0.0])], "qid int, embedding array<double>")
+    written = []
+    original = N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name: written.append(name) or original(df, name))
+    opened = N.open_index(table, max_index_bytes=0)
+    for _ in range(2):
+        assert N.retrieve(questions, opened, 2).first()["hits"][0]["chunk_id"] == 3
+    assert written.count("vectors") == written.count("cells") == 1
+
+
 def test_size_check(spark):
     table = chunks(spark, "abc").join(vectors(spark, [(c, [1.0] * 4) for c in "abc"]), "chunk_id")
     assert N.measure(table).small

@@ -174,8 +174,9 @@ def test_asked_pairs(spark, prices, monkeypatch, members, lines):
     monkeypatch.setattr(P, "MAX_BROADCAST_ROWS", members)
     monkeypatch.setattr(P, "MAX_LINES", lines)
     asked = spark.createDataFrame(ASKED, "term string, loc string")
-    pair_map = P.resolve_pairs(asked, prices)
-    daily = P.daily_sums(prices, pair_map)
+    cube = P.daily_cube(prices)
+    pair_map = P.resolve_pairs(asked, cube)
+    daily = P.daily_sums(cube, pair_map)
     series = P.pair_series(P.asked_series(daily, pair_map), pair_map)
     assert rows(series) == sorted(
         [
@@ -206,7 +207,8 @@ def test_scan_reads_asked_commodities_only(spark, prices):
     L.write_prices(prices.select("*", *columns), table)
     stored = L.open_prices(spark, table)
     asked = spark.createDataFrame([("wheat", None)], "term string, loc string")
-    daily = P.daily_sums(stored, P.resolve_pairs(asked, stored))
+    cube = P.daily_cube(stored)
+    daily = P.daily_sums(cube, P.resolve_pairs(asked, cube))
     plan = daily._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [commodity" in plan and "Wheat Durum" in plan
     assert "min_price" not in plan
