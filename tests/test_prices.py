@@ -104,6 +104,20 @@ def write(folder, text):
     return path
 
 
+def test_files_of_other_column_orders(spark, tmp_path):
+    """One folder of two orders fails; read by file they are united by name."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    head = "date,commodity,market,state,min_price,max_price,modal_price"
+    (folder / "a.csv").write_text(f"{head}\n2024-01-01,Wheat,Indore,MP,1,2,3\n")
+    swapped = head.replace("market,state", "state,market")
+    (folder / "b.csv").write_text(f'{swapped}\n2024-01-02,Wheat,MP,"Indore\nEast",1,2,3\n')
+    with pytest.raises(Exception, match="header"):
+        L.read_price_text(spark, str(folder)).collect()
+    both = L.read_price_files(spark, [str(folder / "a.csv"), str(folder / "b.csv")], multi_line=True)
+    assert rows(both, "market", "state") == [("Indore", "MP"), ("Indore\nEast", "MP")]
+
+
 def test_load(spark, tmp_path):
     loaded = L.to_prices(L.read_price_text(spark, write(tmp_path, CSV)))
     assert [f for f in loaded.schema][:7] == list(schema.PRICES)
@@ -169,9 +183,9 @@ ASKED = [("wheat", None), ("Wheat", "indore"), ("Onion", "Punjab"), ("Rice", "pu
          ("Rice", ""), ("Tomato", None), ("Wheat Durum", "MP"), ("Wheat", "indore")]
 
 
-@pytest.mark.parametrize("members, lines", [(P.MAX_BROADCAST_ROWS, P.MAX_LINES), (0, 0), (0, 99)])
-def test_asked_pairs(spark, prices, monkeypatch, members, lines):
-    monkeypatch.setattr(P, "MAX_BROADCAST_ROWS", members)
+@pytest.mark.parametrize("small, lines", [(True, P.MAX_LINES), (False, 0), (False, 99)])
+def test_asked_pairs(spark, prices, monkeypatch, small, lines):
+    monkeypatch.setattr(P, "is_small", lambda df: small)
     monkeypatch.setattr(P, "MAX_LINES", lines)
     asked = spark.createDataFrame(ASKED, "term string, loc string")
     cube = P.daily_cube(prices)
@@ -201,18 +215,19 @@ def test_asked_pairs(spark, prices, monkeypatch, members, lines):
     )
 
 
-def test_scan_reads_asked_commodities_only(spark, prices):
+def test_facts_are_scanned_once(spark, prices, monkeypatch):
+    """One plan reads the stored facts, without columns it has no use for; all others read its cube."""
     table = new_folder(spark, "prices")
     columns = [F.lit(None).cast("double").alias(c) for c in ("min_price", "max_price")]
     L.write_prices(prices.select("*", *columns), table)
-    stored = L.open_prices(spark, table)
+    staged, original = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df, name: staged.append((name, df)) or original(df, name))
     asked = spark.createDataFrame([("wheat", None)], "term string, loc string")
-    cube = P.daily_cube(stored)
-    daily = P.daily_sums(cube, P.resolve_pairs(asked, cube))
-    plan = daily._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [commodity" in plan and "Wheat Durum" in plan
-    assert "min_price" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    P.price_records(L.open_prices(spark, table), asked)
+    reading = [(name, df) for name, df in staged if any(table in file for file in df.inputFiles())]
+    assert [name for name, _ in reading] == ["cube"]
+    plan = reading[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert "min_price" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_records(spark, prices):
