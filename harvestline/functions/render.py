@@ -20,8 +20,13 @@ def exact_text(value: Column, places: int) -> Column:
 
 
 def exact_round(value: Column, places: int = 2) -> Column:
-    """Round the exact binary value: 2.675 is below the tie, so it gives 2.67."""
-    return exact_text(value, places).try_cast("double")
+    """Round the exact binary value: 2.675 is below the tie, so it gives 2.67.
+
+    Infinite values stay as they are.
+    """
+    return F.coalesce(
+        exact_text(value, places).try_cast("double"), F.when(F.abs(value) == float("inf"), value)
+    )
 
 
 def short_number(value: Column) -> Column:
@@ -72,15 +77,15 @@ def delta_badge(percent: Column, language: Column | None = None) -> Column:
 
 def explanation(commodity: Column, location: Column) -> Column:
     """One sentence on what a price answer was computed from."""
-    start = F.concat(F.lit("Query executed for commodity='"), commodity, F.lit("'"))
+    start = F.concat(F.lit(lexicon.EXPLANATION_START), commodity)
     return F.when(
-        location.isNotNull(), F.concat(start, F.lit(", location='"), location, F.lit("'."))
-    ).otherwise(F.concat(start, F.lit(" across available regions.")))
+        location.isNotNull(), F.concat(start, F.lit(lexicon.EXPLANATION_PLACE), location, F.lit("'."))
+    ).otherwise(F.concat(start, F.lit(lexicon.EXPLANATION_EVERYWHERE)))
 
 
 def chart_title(commodity: Column, location: Column) -> Column:
     return F.concat(
-        F.lit("Price Trend & Moving Average ("),
+        F.lit(lexicon.CHART_TITLE),
         commodity,
         F.lit(" - "),
         F.coalesce(location, F.lit(lexicon.ALL_REGIONS)),
@@ -103,17 +108,17 @@ def price_answer_text(
     outlook = F.when(
         F.coalesce(forecast, F.lit(0.0)) != 0.0,
         F.concat(
-            F.lit("\n\n🔮 **14-Day Trend Forecast:** ₹"),
+            F.lit(lexicon.FORECAST_TEXT),
             short_number(forecast),
-            F.lit("/quintal ("),
+            F.lit(lexicon.FORECAST_UNIT),
             F.coalesce(trend, F.lit("stable")),
-            F.lit(" trajectory)."),
+            F.lit(lexicon.FORECAST_END),
         ),
     ).otherwise("")
     text = F.when(
         n_rows == 1,
         F.concat(
-            F.lit("Average modal price: **"), money(average), F.lit("** per quintal."), outlook
+            F.lit(lexicon.AVERAGE_TEXT), money(average), F.lit(lexicon.AVERAGE_UNIT), outlook
         ),
     ).otherwise(F.lit(lexicon.NO_DATA_TEXT))
     if error is None:

@@ -122,8 +122,8 @@ DEFAULT_BUSY_TEXT = "Sorry, the server is busy. Please try again later."
 
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 
-# Prompt wording, as (before language, between, before question).
-# {language}, {context} and {question} are filled in as column values.
+# Prompt wording; {language}, {context} and {question} are filled
+# in as column values.
 GROUNDED_PROMPT = (
     "\nYou are a friendly agricultural scheme advisor for Indian farmers.\n"
     "Answer the user's question using ONLY the context below. If the context does\n"
@@ -156,6 +156,15 @@ CHAT_PRICE_BADGE = "📈 Mandi Prices"
 CHAT_SCHEME_BADGE = "📋 Scheme Info"
 DELTA_SUFFIX = "over recent records"
 DELTA_SUFFIX_HI = "हाल के रिकॉर्ड में"
+EXPLANATION_START = "Query executed for commodity='"
+EXPLANATION_PLACE = "', location='"
+EXPLANATION_EVERYWHERE = "' across available regions."
+CHART_TITLE = "Price Trend & Moving Average ("
+AVERAGE_TEXT = "Average modal price: **"
+AVERAGE_UNIT = "** per quintal."
+FORECAST_TEXT = "\n\n🔮 **14-Day Trend Forecast:** ₹"
+FORECAST_UNIT = "/quintal ("
+FORECAST_END = " trajectory)."
 FINDER_STEM = "Which government schemes am I eligible for as a farmer"
 
 # Cell texts that mean "missing" when a price file is read.

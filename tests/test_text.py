@@ -195,7 +195,7 @@ def test_word_and_keyword_pairs_equal_brute_force(spark):
 def test_number_texts(spark):
     assert one(spark, render.money(F.lit(1234.5))) == "₹1,234.50"
     assert one(spark, render.money(F.lit(None).cast("double"), "No data found")) == "No data found"
-    numbers = [2.675, 1.005, 2.5, -1.125, 1234567.0, None]
+    numbers = [2.675, 1.005, 2.5, -1.125, 1234567.0, float("-inf"), None]
     table = spark.createDataFrame(list(enumerate(numbers)), "i int, x double").orderBy("i")
     rounded = [row[0] for row in table.select(render.exact_round(F.col("x"))).collect()]
     assert rounded == [None if x is None else round(x, 2) for x in numbers]
