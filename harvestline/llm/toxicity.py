@@ -94,9 +94,9 @@ def telling(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
 def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, target: np.ndarray) -> Linear:
     """Logistic regression on telling slots by adaptive gradient steps, in a fixed order.
 
-    One class alone gives its own prior.
+    One class alone gives its own prior; no rows at all give a low one.
     """
-    prior = (target.sum() + 0.5) / (len(target) + 1)
+    prior = (target.sum() + 0.5) / (len(target) + 2)
     weights = np.zeros(DIMENSIONS, np.float64)
     extra = np.zeros(earlier.shape[1] + 1)
     extra[-1] = np.log(prior / (1 - prior))
