@@ -45,6 +45,9 @@ LEAST_USES = 6
 # A round that shortens the block by less than this share is the last one.
 LEAST_GAIN = 0.02
 MAX_REMEMBERED = 1_200_000
+# Characters of texts that are encoded together.
+GROUP_CHARS = 1 << 20
+STOPS = ".,"
 
 # Letters, digits, punctuation and blanks that every Unicode version classes alike.
 _ODD = re.compile(r"[^\n\x20-\x7e\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]")
@@ -78,6 +81,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(names.values()) + 1
         self.opens = np.zeros(self.vocabulary, bool)
@@ -99,21 +103,64 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)])]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(mark in text for mark in _WHOLE) or not text.isascii() and _ODD.search(text) or not _plain(text):
-            return self._encode(text)
-        head, *chunks = text.replace("\n", " \n").split(" ")
-        known = self.known
-        try:
-            return self._encode(head) + b"".join([known[chunk] for chunk in chunks])
-        except KeyError:
-            if len(known) > MAX_REMEMBERED:
-                known.clear()
-            new = [chunk for chunk in dict.fromkeys(chunks) if chunk not in known]
+    def _learn(self, chunks: set[str]) -> None:
+        """Add chunks to those known; the pre-tokeniser also cuts between a word and its stop."""
+        known, stops = self.known, self.stops
+        stopped = []
+        words = set()
+        for chunk in chunks:
+            word = chunk.rstrip(STOPS)
+            if word != chunk and word[-1:].isalpha():
+                stopped.append((chunk, word))
+                if word not in known:
+                    words.add(word)
+            else:
+                words.add(chunk)
+        new = sorted(words)
+        if new:
             known.update(zip(new, self._encode_chunks(new)))
-            return self._encode(head) + b"".join([known[chunk] for chunk in chunks])
+        for chunk, word in stopped:
+            stop = chunk[len(word) :]
+            if stop not in stops:
+                stops[stop] = self._encode(stop)
+            known[chunk] = known[word] + stops[stop]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts, of bounded size together; what is new in them is learnt at once."""
+        if len(self.known) > MAX_REMEMBERED:
+            self.known.clear()
+        out: list = []
+        waiting: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        new: set[str] = set()
+        for text in texts:
+            if self._is_odd(text):
+                out.append(self._encode(text or ""))
+                continue
+            chunks = text.replace("\n", " \n").split(" ")
+            head, chunks[0] = chunks[0], ""
+            parts = list(map(self.known.get, chunks))
+            parts[0] = self._encode(head)
+            if None in parts:
+                at = [i for i, part in enumerate(parts) if part is None]
+                unknown = [chunks[i] for i in at]
+                new.update(unknown)
+                waiting.append((parts, at, unknown))
+            out.append(parts)
+        self._learn(new)
+        for parts, at, unknown in waiting:
+            for i, chunk in zip(at, unknown):
+                parts[i] = self.known[chunk]
+        return [parts if isinstance(parts, bytes) else b"".join(parts) for parts in out]
+
+    @staticmethod
+    def _is_odd(text: str | None) -> bool:
+        """Whether the tokenizer has to see a text as a whole."""
+        if not text or any(mark in text for mark in _WHOLE):
+            return True
+        return not _plain(text) or not text.isascii() and _ODD.search(text) is not None
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.encode([text])[0]
 
 
 def _plain(text: str) -> bool:
@@ -249,6 +296,23 @@ def _symbols_per_document(ends: np.ndarray, symbols: np.ndarray, parts: list[byt
     return np.diff(np.concatenate(([-1], last))).tolist()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[int | None, bytes]]:
+    """(id, ids) of every row, encoded in groups of about ``GROUP_CHARS``."""
+    docs: list[int | None] = []
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = value.as_py()
+            docs.append(doc_id)
+            texts.append(text)
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from zip(docs, encode.encode(texts))
+                docs, texts, size = [], [], 0
+    yield from zip(docs, encode.encode(texts))
+
+
 def _packer(path: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache("encoders")
@@ -271,16 +335,15 @@ def _packer(path: str):
             row = _block_row(shard, block, before, base, docs, parts)
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = encode(text.as_py()) + end
-                docs.append(doc_id)
-                parts.append(part)
-                held += len(part) // 4
-                if held >= BLOCK_TOKENS:
-                    yield flush()
-                    before, block, held = before + held, block + 1, 0
-                    docs, parts = [], []
+        for doc_id, ids in _encoded(batches, encode):
+            part = ids + end
+            docs.append(doc_id)
+            parts.append(part)
+            held += len(part) // 4
+            if held >= BLOCK_TOKENS:
+                yield flush()
+                before, block, held = before + held, block + 1, 0
+                docs, parts = [], []
         if docs:
             yield flush()
 
