@@ -223,17 +223,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The part of one document that a source may take besides is left out.
     """
     mark, copies = free_name(docs, "_number"), free_name(docs, "_copies")
-    size = free_name(docs, "_size")
     decided = mix(docs, id_col, text_col, source_col)
     # How many of the rows that agree in id, source and size go in how often.
-    decided = decided.groupBy(id_col, "source", "size").agg(F.min("copies").alias("low"), F.sum(F.col("copies")).alias("all"), F.count("*").alias("n"))
-    decided = staged(decided.select(F.col(id_col).alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "low", (F.col("all") - F.col("low") * F.col("n")).alias("up")), "mix-copies")
-    numbered = docs.withColumn(size, word_count(F.col(text_col)))
-    order = Window.partitionBy(id_col, source_col, size).orderBy(F.xxhash64(text_col), text_col)
-    joined = numbered.join(
-        decided,
-        numbered[id_col].eqNullSafe(decided["i"]) & numbered[source_col].eqNullSafe(decided["s"]) & (numbered[size] == decided["z"]),
-    ).withColumn(mark, F.row_number().over(order))
+    decided = decided.groupBy(id_col, "source", "size").agg(
+        F.min("copies").alias("low"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("up")
+    )
+    # Plain keys that null also has, so that the rank below needs no second shuffle.
+    names = [free_name(docs, n) for n in ("_id", "_no_id", "_source", "_no_source", "_size")]
+
+    def keys(id_: Column, source: Column, size: Column) -> list[Column]:
+        id_, source = id_.cast("long"), source.cast("string")
+        return [F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size]
+
+    ruled = keys(F.col(id_col), F.col("source"), F.col("size"))
+    decided = staged(decided.select(*[c.alias(n) for c, n in zip(ruled, names)], "low", "up"), "mix-copies")
+    own = keys(docs[id_col], docs[source_col], word_count(docs[text_col]))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip(own, names)])
+    order = Window.partitionBy(*names).orderBy(F.xxhash64(F.col("row")[text_col]), F.col("row")[text_col])
+    joined = keyed.join(decided, names).withColumn(mark, F.row_number().over(order))
     often = F.col("low") + (F.col(mark) <= F.col("up")).cast("long")
     repeated = joined.where(often > 0).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), often)))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
