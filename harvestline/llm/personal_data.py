@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,14 +179,19 @@ def _able(tokens: list[str]) -> bool:
 
 
 def segments(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(token offsets, candidate (i, j)) of a window; none overlaps a taken stretch."""
+    """(token offsets, candidate (i, j)) of a window; none overlaps a taken stretch. Those are sorted."""
     at = [m.span() for m in _TOKEN.finditer(text, start, end)]
     if at and start > 0 and not text[start - 1].isspace() and text[at[0][0]].isalnum() and at[0][0] == start and text[start - 1].isalnum():
         at = at[1:]  # the window cuts this token
     if at and end < len(text) and at[-1][1] == end and text[end - 1].isalnum() and text[end].isalnum():
         at = at[:-1]
     words = [text[a:b] for a, b in at]
-    free = [not any(a < e and s < b for s, e in taken) for a, b in at]
+    free, number, reach = [], 0, start
+    for a, b in at:  # both are in order; ``reach`` is how far the spans that start before b go
+        while number < len(taken) and taken[number][0] < b:
+            reach = max(reach, taken[number][1])
+            number += 1
+        free.append(reach <= a)
     found = []
     for i in range(len(at)):
         if not (words[i].isalnum() or words[i] in "+("):
@@ -287,11 +293,12 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     if not _ANY.search(text):
         return found
     taken = [(a, b) for a, b, _ in base]
+    starts = [a for a, _ in taken]
     place = 0
     for start, end in windows(text):
         while place < len(taken) and taken[place][1] < start - 200:
             place += 1
-        near = [t for t in taken[place : place + 400] if t[0] < end and t[1] > start]
+        near = [t for t in taken[place : bisect_left(starts, end)] if t[1] > start]
         at, able = segments(text, start, end, near)
         if not able:
             continue

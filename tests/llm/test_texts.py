@@ -128,6 +128,16 @@ def test_field_adds_rewritten_spans_and_no_decoys(spark):
     assert total > 20 and hits > 0.7 * total and wrong <= 0.1 * total
 
 
+def test_field_keeps_off_all_pattern_spans_of_a_long_list():
+    """One window with more spans than any fixed number; a field that likes every segment."""
+    text = " ".join(f"a{n}@host{n}.example.org 10.0.{n // 250}.{n % 250}" for n in range(600))
+    base = personal_data.pattern_spans(text)
+    assert len(base) == 1200 and len(personal_data.windows(text)) == 1
+    weights = np.ones((personal_data.DIMENSIONS, len(personal_data.KINDS)))
+    assert personal_data.added_spans(text, base, weights) == []
+    assert len(personal_data.added_spans(text + " call 555 0199 now", base, weights)) == 1
+
+
 def test_personal_data_of_odd_documents(spark):
     found = personal_data.personal_data(odd(spark))
     assert found.count() == len(ODD) and {r["spans"] for r in found.collect()} == {""}
