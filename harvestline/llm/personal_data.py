@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_ANY = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
-_ANCHOR = re.compile(r"[0-9]{2,}|@|[(\[{] ?at ?[)\]}]")
+_ANY = re.compile(r"[0-9@]")
+# What an entity has at least: digits side by side, single ones near each other, or a sign or word for at and dot.
+_ANCHOR = re.compile(r"\d{2,}|(?<![^\W_])(?P<one>\d)(?![^\W_])|@|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
+# So many digits make an entity of several tokens.
+LEAST_DIGITS = 4
 _TOKEN = re.compile(r"[^\W_]+|[^\s]")
 
 Span = tuple[int, int, str]
@@ -86,7 +90,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _part_fits(part: str) -> bool:
     part = part.lstrip("0")
-    return len(part) < 4 and int(part or 0) <= 255
+    return len(part) < 4 and (part or "0").isdecimal() and int(part or 0) <= 255
 
 
 def pattern_spans(text: str) -> list[Span]:
@@ -115,12 +119,18 @@ def in_order(spans: list[Span]) -> list[Span]:
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches of text around anchors, merged where they meet, cut at white space."""
     found: list[list[int]] = []
+    ones: deque[int] = deque(maxlen=LEAST_DIGITS)
     for m in _ANCHOR.finditer(text):
-        start, end = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if found and start <= found[-1][1]:
-            found[-1][1] = end
-        else:
-            found.append([start, end])
+        first = m.start()
+        if m["one"]:  # single digits are an anchor if enough of them fit in an entity
+            ones.append(first)
+            first = ones[0]
+            if len(ones) < LEAST_DIGITS or m.end() - first > MAX_CHARS:
+                continue
+        start, end = max(0, first - CONTEXT), min(len(text), m.end() + CONTEXT)
+        while found and start <= found[-1][1]:
+            start = min(start, found.pop()[0])
+        found.append([start, end])
     return [(a, b) for a, b in found]
 
 
@@ -129,6 +139,12 @@ def _spelled(tokens: list[str]) -> tuple[bool, bool]:
     return "@" in low or "at" in low[1:-1], "." in low or "dot" in low[1:-1]
 
 
+def _form(tokens: list[str]) -> str:
+    """How words, at and dot follow each other, whatever brackets are around them."""
+    marks = {"@": "@", "at": "@", ".": ".", "dot": "."}
+    return "".join(marks.get(t.lower(), "w" if t.isalnum() else "") for t in tokens)
+
+
 def _features(text: str, at: list[tuple[int, int]], i: int, j: int) -> list[str]:
     """Features of the whole span of tokens ``i`` to ``j``, both included."""
     start, end = at[i][0], at[j][1]
@@ -156,6 +172,7 @@ def _features(text: str, at: list[tuple[int, int]], i: int, j: int) -> list[str]
         f"last {tokens[-1] if not tokens[-1].isalnum() else 'word' if tokens[-1].isalpha() else 'number'} {len(tokens[-1]) if tokens[-1].isalpha() and has_at else ''}",
         f"mixed {mixed} {has_at}",
         f"tokens {j - i} {has_at}",
+        f"form {_form(tokens) if has_at else ''}",
         f"size {len(span) // 8}",
         f"before {before if not before.isalnum() else 'word' if before.isalpha() else 'number'}",
         f"after {after if not after.isalnum() else 'word' if after.isalpha() else 'number'}",
@@ -172,12 +189,20 @@ def _able(tokens: list[str]) -> bool:
     if not (tokens[0].isalnum() or tokens[0] in "+(") or not tokens[-1].isalnum():
         return False
     digits = sum(len(t) for t in tokens if t.isdigit())
-    if 4 <= digits <= 20 and len(tokens) > 1 or digits >= 9:
+    if LEAST_DIGITS <= digits <= 20 and len(tokens) > 1 or digits >= 9:
         return True
     has_at, has_dot = _spelled(tokens)
     return has_at and has_dot and len(tokens) > 4
 
 
+def _none_able(tokens: list[str]) -> bool:
+    """Whether it is plain that no run of these tokens may be an entity."""
+    if sum(len(t) for t in tokens if t.isdigit()) >= LEAST_DIGITS:
+        return False
+    low = {t.lower() for t in tokens}
+    return not (low & {"@", "at"} and low & {".", "dot"})
+
+
 def segments(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(token offsets, candidate (i, j)) of a window; none overlaps a taken stretch. Those are sorted."""
     at = [m.span() for m in _TOKEN.finditer(text, start, end)]
@@ -194,7 +219,7 @@ def segments(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> t
         free.append(reach <= a)
     found = []
     for i in range(len(at)):
-        if not (words[i].isalnum() or words[i] in "+("):
+        if not (words[i].isalnum() or words[i] in "+(") or _none_able(words[i : i + MAX_TOKENS]):
             continue
         for j in range(i, min(len(at), i + MAX_TOKENS)):
             if not free[j] or at[j][1] - at[i][0] > MAX_CHARS:
@@ -290,8 +315,6 @@ def fit_field(samples: list[tuple[str, list[Span]]]) -> np.ndarray:
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """Entities that the field finds beside the pattern spans."""
     found: list[Span] = []
-    if not _ANY.search(text):
-        return found
     taken = [(a, b) for a, b, _ in base]
     starts = [a for a, _ in taken]
     place = 0

@@ -128,6 +128,36 @@ def test_field_adds_rewritten_spans_and_no_decoys(spark):
     assert total > 20 and hits > 0.7 * total and wrong <= 0.1 * total
 
 
+@pytest.mark.parametrize(
+    "entity",
+    [
+        "jane at example dot org", "jane [AT] example [DOT] com", "Jane At example Dot org", "jane (at) example.org", "jane{at}example.org",
+        "jane@example dot org", "8[.]8[.]8[.]8", "1 . 1 . 1 . 1", "9(.)9(.)9(.)9", "1 dot 2 dot 3 dot 4", "5-5-5-0-1-9-9",
+        "\u0665\u0665 \u0660\u0661\u0669\u0669",
+    ],
+)
+def test_every_rewritten_form_has_a_window_of_its_own(entity):
+    """In a text without other digits and signs, and whole."""
+    text = f"{'some plain words ' * 9}write to {entity} for more of it{' and more words' * 9}"
+    start = text.index(entity)
+    found = []
+    for a, b in personal_data.windows(text):
+        at, able = personal_data.segments(text, a, b, [])
+        found += [(at[i][0], at[j][1]) for i, j in able]
+    assert (start, start + len(entity)) in found
+
+
+def test_field_finds_each_rewritten_form_alone(spark):
+    weights = personal_data.train(documents(spark))
+    forms = ["jane (at) example dot org", "jane [AT] example [DOT] com", "8[.]8[.]8[.]8", "1 . 1 . 1 . 1", "1 dot 2 dot 3 dot 4"]
+    for form, kind in zip(forms, ("email", "email", "ip", "ip", "ip")):
+        text = f"please write to {form} for more of it"
+        found = personal_data.added_spans(text, personal_data.pattern_spans(text), weights)
+        assert found == [(text.index(form), text.index(form) + len(form), kind)], form
+    plain = "We looked at the house. Meet at noon by 3 doors, 2 cats, or at 5."
+    assert personal_data.added_spans(plain, [], weights) == []
+
+
 def test_field_keeps_off_all_pattern_spans_of_a_long_list():
     """One window with more spans than any fixed number; a field that likes every segment."""
     text = " ".join(f"a{n}@host{n}.example.org 10.0.{n // 250}.{n % 250}" for n in range(600))
