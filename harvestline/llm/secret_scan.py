@@ -1,6 +1,7 @@
 """Secrets in documents: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters. The forest sees its length, how characters
+A candidate is a long run of key characters, or any value of ``SHORTEST`` or more printable
+signs that something with a secret's name is set to. The forest sees its length, how characters
 of different classes follow each other, how much of it common words cover, the path it
 stands in and the words around it. It is trained from labelled findings: a table of a
 caller, or findings of the documents that are sure by their form or what is assigned to
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,12 +33,22 @@ TREES = 20
 DEPTH = 6
 THRESHOLD = 0.5
 LEAST = 12
-LONGEST = 4_096
+# The same of a value that a secret's name is set to.
+SHORTEST = 4
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST)
 _ASSIGNED = re.compile(r"([A-Za-z_\-]{2,40})[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?$")
+# What is set to a secret's name: up to its quote, or up to a blank, a quote or the next setting.
+_SET = re.compile(
+    r"(?:password|passwd|pwd|secret|token|api[_\-]?key|access_key|private_key|credential|auth(?!or(?!iz)))[A-Za-z_\-]{0,38}"
+    r"[\"']?\s{0,3}(?:=>|:=|=|:)(?![=>])[^\S\n]{0,3}(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?((?:(?![&;,][A-Za-z_][\w.\-]*[=:])[^\s\"'])+))",
+    re.IGNORECASE,
+)
+_DIGIT = re.compile(r"[0-9]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CLASS = {c: k for k, cs in enumerate(("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/=", "_-")) for c in cs}
+_CLASSES = np.array([_CLASS.get(chr(c), 5) for c in range(129)])
+_PLACEHOLDER = re.compile(r"^[$<%{\[]|\(|\*{3}|\.\.\.")
 # How keys of well-known providers begin, and what secrets are called.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "npm_", "pypi-")
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "credential")
@@ -53,13 +65,23 @@ FEATURES = (
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit, or that something with a secret's name is set to."""
-    found = []
+    """Runs of key characters with a digit, and whatever something with a secret's name is set to.
+
+    A run that such a value begins with is part of it, others inside stay of their own.
+    """
+    values = {}
+    for m in _SET.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:  # signs that end a sentence or a bracket around the setting
+            end = start + len(m.group(3).rstrip(",;.)]}>"))
+        if end - start >= SHORTEST:
+            values[start] = end
+    found = set(values.items())
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if any(c.isdigit() for c in m.group()[:LONGEST]) or _name_before(text, start):
-            found.append((start, end))
-    return found
+        if values.get(start, 0) < end and (_DIGIT.search(text, start, end) or _name_before(text, start)):
+            found.add((start, end))
+    return sorted(found)
 
 
 def _name_before(text: str, start: int) -> str:
@@ -69,16 +91,15 @@ def _name_before(text: str, start: int) -> str:
 
 def describe(text: str, start: int, end: int, path: str | None) -> tuple[list[float], float | None]:
     """(features, label): 1 and 0 for findings that are sure by themselves, else None."""
-    run = text[start : min(end, start + LONGEST)]
+    run = text[start:end]
     n = len(run)
-    classes = [_CLASS.get(c, 5) for c in run]
+    codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), "<u4")
+    classes = _CLASSES[np.minimum(codes, 128)]
     counts = Counter(run)
-    share = [classes.count(k) / n for k in range(3)]
-    changes = sum(a != b for a, b in zip(classes, classes[1:])) / n
-    longest = now = 1
-    for a, b in zip(classes, classes[1:]):
-        now = now + 1 if a == b else 1
-        longest = max(longest, now)
+    share = [np.count_nonzero(classes == k) / n for k in range(3)]
+    edges = np.flatnonzero(classes[1:] != classes[:-1]) + 1
+    changes = len(edges) / n
+    longest = int(np.diff(edges, prepend=0, append=n).max())
     low = run.lower()
     covered = sum(len(w) * low.count(w) for w in COMMON) / n
     name = _name_before(text, start)
@@ -96,7 +117,7 @@ def describe(text: str, start: int, end: int, path: str | None) -> tuple[list[fl
         longest / n,
         float(all(c in "0123456789abcdef" for c in low)),
         min(covered, 1.0),
-        sum(a == b for a, b in zip(run, run[1:])) / n,
+        np.count_nonzero(codes[1:] == codes[:-1]) / n,
         float(bool(name)),
         float(named or near),
         float(before in "\"'`" and before != ""),
@@ -105,6 +126,11 @@ def describe(text: str, start: int, end: int, path: str | None) -> tuple[list[fl
         float(before == " " and after in " ,.;"),
     ]
     varied = len(counts) >= 6 and covered < 0.5
+    if not _RUN.fullmatch(run) and not run.startswith(PREFIXES):
+        # Other signs or short: sure are mixed values with digits, and plain words and placeholders.
+        if named and varied and 0 < share[0] < 1 and not _PLACEHOLDER.search(run):
+            return features, 1.0
+        return features, 0.0 if run.isalpha() or covered >= 0.5 or _PLACEHOLDER.search(run) else None
     if varied and (run.startswith(PREFIXES) or named):
         return features, 1.0
     if not name and not near and (covered >= 0.5 or share[0] == 1.0 or len(counts) < 6):

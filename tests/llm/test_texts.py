@@ -200,6 +200,52 @@ def test_secrets_and_false_positives(spark):
     assert {r["doc_id"] for r in secret_scan.scan_secrets(docs, given).collect()} == set(range(60))
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("password = hunter2", "hunter2"), ("pwd: Tr0ub4dor&3\n", "Tr0ub4dor&3"), ("PASSWD='S3cr3t!9x#Qw', x", "S3cr3t!9x#Qw"),
+        ('{"db_password": "two words 1"}', "two words 1"), ("?token=ab12!cd&user=me", "ab12!cd"), ("secret=" + "a" * 5000 + "1", "a" * 5000 + "1"),
+    ],
+)
+def test_values_of_secret_names_are_candidates(text, value):
+    start = text.index(value)
+    assert (start, start + len(value)) in secret_scan.candidates(text)
+
+
+def test_long_runs_are_read_whole():
+    run = "ab" * 3000 + "1"
+    assert secret_scan.candidates(f"see {run} here") == [(4, 4 + len(run))]
+    features, _ = secret_scan.describe(run, 0, len(run), None)
+    assert features[1] == 1 / len(run)
+    for prose in ("Author: Einstein", "The token of thanks", "password == other"):
+        assert secret_scan.candidates(prose) == []
+
+
+WORDS = (
+    "required optional string needed hidden missing expired rejected stored hashed none true false null empty unset reset lost safe weak strong "
+    "changeme yourpassword example default ${DB_PASS} ${SECRET} $PASSWORD <password> {{pwd}} %PASS% $TOKEN <secret> getpass() load(env) ******"
+).split()
+
+
+PASSWORDS = (
+    "dragon7 summer21 monkey9 wizard4 purple88 silver3 rocket5 winter19 Pa5sion Gr33nhat B1uesky M0unta1n qw3rty9 zx81cvb l3tmein k1ngdom "
+    "falcon6 jaguar2 copper1 violet8 marble5 timber3 salmon9 walnut4"
+).split()
+
+
+def test_short_passwords_are_found_and_plain_words_are_not(spark):
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(i, f'token = "{key(40)}" in it.') for i in range(40)] + [(100 + i, f"password = {w}{'!@#&'[: i % 3]}") for i, w in enumerate(PASSWORDS)]
+    rows += [(200 + i, f"Call {1000000000000 + i} or see example-page-number-{i}.") for i in range(40)]
+    rows += [(300 + i, f"password: {w} here") for i, w in enumerate(WORDS)]
+    rows += [(400, "password = hunter2"), (401, "pwd: Tr0ub4dor&3"), (402, "passwd = 'S3cr3t!9x#Qw'")]
+    docs = spark.createDataFrame([(i, t, "app") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    found = {r["doc_id"] for r in secret_scan.document_secrets(docs).collect()}
+    wrong = sorted({t for i, t in rows if i in found and 200 <= i < 400})
+    assert {400, 401, 402} <= found and wrong == []
+
+
 # --- mixing -------------------------------------------------------------------------
 
 
