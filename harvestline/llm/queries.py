@@ -10,13 +10,16 @@ from . import (
     block_join,
     decontamination,
     fuzzy_lines,
+    merkle,
     mixing,
     personal_data,
     quality,
     secret_scan,
     simhash,
+    substring_dedup,
     token_files,
     toxicity,
+    whitening,
 )
 from .common import table
 
@@ -61,6 +64,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.good_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_personal_data": (op1_personal_data, None),
     "op2_block_matrix_neighbours": (op2_block_matrix_neighbours, block_join.SQL),
@@ -72,4 +87,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_toxicity_chain": (op8_toxicity_chain, None),
     "op9_simhash_near_duplicates": (op9_simhash_near_duplicates, None),
     "op10_quality": (op10_quality, None),
+    "op11_substring_dedup": (op11_substring_dedup, substring_dedup.SQL),
+    "op12_merkle_manifest": (op12_merkle_manifest, merkle.SQL),
+    "op13_whitening": (op13_whitening, None),
 }
