@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 
 from .. import lexicon
 from ..functions.render import exact_round
+from ..session import small_rows
+
+# Dimension values up to which a term becomes a list of them.
+MAX_LISTED_VALUES = 1_000
 
 
 def require_columns(df: DataFrame, *columns: str) -> None:
@@ -27,14 +31,40 @@ def matches(column: str, term: str) -> Column:
     return F.col(column).ilike(f"%{escaped}%")
 
 
+def _listed(values: DataFrame, column: str, hit: Column) -> Column | None:
+    """The stored values of ``column`` that hit, as an ``IN`` list; None if they are many."""
+    rows = small_rows(values.where(hit).select(column).distinct(), MAX_LISTED_VALUES)
+    if rows is None:
+        return None
+    named = sorted(row[0] for row in rows if row[0] is not None)
+    listed = F.col(column).isin(named)
+    return listed | F.col(column).isNull() if len(named) < len(rows) else listed
+
+
 def filter_prices(
-    prices: DataFrame, commodity: str | None = None, location: str | None = None
+    prices: DataFrame,
+    commodity: str | None = None,
+    location: str | None = None,
+    goods: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of a commodity term, at a location (market or state) if one is given."""
+    """Rows of a commodity term, at a location (market or state) if one is given.
+
+    ``goods`` (commodity) and ``places`` (market, state) hold at least the values
+    that occur, as a table's catalogue does. With them a term is matched to these
+    few values first, and the facts are read by lists of values, which partitions
+    and row groups can be pruned by.
+    """
     if commodity:
-        prices = prices.where(matches("commodity", commodity))
+        hit = matches("commodity", commodity)
+        listed = None if goods is None else _listed(goods, "commodity", hit)
+        prices = prices.where(hit if listed is None else listed)
     if location:
-        prices = prices.where(matches("market", location) | matches("state", location))
+        hit = matches("market", location) | matches("state", location)
+        for column in ("market", "state") if places is not None else ():
+            listed = _listed(places, column, hit)
+            prices = prices if listed is None else prices.where(listed)
+        prices = prices.where(hit)
     return prices
 
 
@@ -89,8 +119,7 @@ def price_stats(
 
     One aggregate: the line is fitted over absolute day numbers, whose slope is
     that of days since the series start, so no window has to find that start.
-    The projection goes through the mean point, which keeps it exact far from
-    day zero. NULL prices take no part in the fit, but count as rows.
+    NULL prices take no part in the fit, but count as rows.
     """
     require_columns(series, *keys, price_col, date_col)
     price = F.col(price_col)
@@ -105,6 +134,21 @@ def price_stats(
         F.regr_avgx(price, day).alias("_mid_day"),
         F.regr_avgy(price, day).alias("_mid_price"),
     )
+    return described(fitted, horizon, trend_slope, min_rows)
+
+
+def described(
+    fitted: DataFrame,
+    horizon: int = lexicon.FORECAST_DAYS,
+    trend_slope: float = lexicon.TREND_SLOPE,
+    min_rows: int = lexicon.MIN_FIT_ROWS,
+) -> DataFrame:
+    """Statistics of series whose ends, row counts and lines are known.
+
+    ``fitted`` has n, earliest_price, latest_price, first_date, last_date, and of
+    the line _slope, _mid_day and _mid_price. The projection goes through that
+    mean point, which keeps it exact far from day zero.
+    """
 
     def at(day_number: Column) -> Column:
         return F.col("_mid_price") + F.col("slope") * (day_number - F.col("_mid_day"))
@@ -149,7 +193,11 @@ def chart_points(
 
 
 def average_by_commodity(
-    prices: DataFrame, location: str | None = None, commodity: str | None = None
+    prices: DataFrame,
+    location: str | None = None,
+    commodity: str | None = None,
+    goods: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """Mean price per commodity, with one (market, state) pair it occurs at.
 
@@ -158,7 +206,7 @@ def average_by_commodity(
     fact row. Without a location there is no market column.
     """
     places = (
-        filter_prices(prices, commodity, location)
+        filter_prices(prices, commodity, location, goods, places)
         .groupBy("commodity", "market", "state")
         .agg(F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n"))
     )

@@ -94,6 +94,7 @@ def vocabulary_records(
     questions: DataFrame | None,
     vocabulary: Vocabulary = DEFAULT,
     cube: DataFrame | None = None,
+    dims: DataFrame | None = None,
 ) -> DataFrame:
     """Price records for every pair the questions can ask.
 
@@ -107,7 +108,7 @@ def vocabulary_records(
         raise ValueError("this vocabulary has too many pairs; pass the questions")
     else:
         asked = understand(questions, vocabulary).select("term", "loc")
-    return P.price_records(prices, asked, cube)
+    return P.price_records(prices, asked, cube, dims)
 
 
 def join_records(understood: DataFrame, records: DataFrame) -> DataFrame:
@@ -191,6 +192,7 @@ def answer_questions(
     k: int = lexicon.TOP_K,
     records: DataFrame | None = None,
     cube: DataFrame | None = None,
+    dims: DataFrame | None = None,
 ) -> DataFrame:
     """Route every question and answer it from prices or documents.
 
@@ -199,8 +201,8 @@ def answer_questions(
     missing as a whole or for single questions; of several rows for a question
     the smallest value counts. Prices that can't be read give every price
     question an error text. ``records`` are the staged
-    output of an earlier :func:`vocabulary_records`, and ``cube`` the stored daily
-    cube, instead of ``prices``.
+    output of an earlier :func:`vocabulary_records`, and ``cube`` a stored daily
+    cube, instead of ``prices``; ``dims`` is the stored catalogue of the prices.
     """
     questions = _joined(questions, labels, "raw_label", "string")
     questions = _joined(questions, model_answers, "raw_answer", "string")
@@ -210,7 +212,7 @@ def answer_questions(
         if prices is None and cube is None:
             raise ValueError("prices, their cube, or records are needed")
         try:
-            records = vocabulary_records(prices, questions, vocabulary, cube)
+            records = vocabulary_records(prices, questions, vocabulary, cube, dims)
         except PySparkException as error:
             # Unreadable prices fail the price answers, each with its error, and no others.
             price_error = str(error).strip().split("\n")[0] or type(error).__name__

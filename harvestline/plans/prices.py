@@ -1,10 +1,11 @@
 """Price answers for many (commodity term, location) pairs in one pass.
 
-Terms and locations are matched against the distinct dimension values only.
-The result is a small map from (commodity, market, state) to the series a fact
-row belongs to. The facts are scanned once, into a stored cube of daily sums per
-dimension value; dimensions, series, statistics and headline averages are all
-read from that cube.
+Terms and locations are matched against the catalogue of dimension values only,
+which is stored beside the facts when they are loaded. The result is a small map
+from (commodity, market, state) to the result lines a fact row belongs to. One scan
+of the facts, without commodities that nobody asks for, then adds them up per line
+and date: each task sends a line's dates, so no fact row is shuffled. Series,
+statistics and headline averages are all read from these daily sums.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .. import lexicon
+from .. import lexicon, session
 from ..functions import render
 from ..operators import series as S
 from ..operators.matching import contains_pairs, join_same
-from ..session import is_small, stage
+from ..session import is_small, small_rows, stage
+from ..sources.prices import catalogue
 
 DIMS = ["commodity", "market", "state"]
 PAIR = ["term", "loc"]
 SERIES = ["term", "series_loc"]
 LOCATED, ALL = "located", "all"
 MAX_LINES = 10_000
+# Asked pairs and distinct names up to which the match is one projection.
+MAX_FOLDED_PAIRS, MAX_FOLDED_NAMES = 2_000, 200
 
 
 def asked_pairs(spark: SparkSession, commodities: list[str], locations: list[str]) -> DataFrame:
@@ -47,7 +51,8 @@ class PairMap:
     ``lines``: (line, term, series_loc, commodity, shown market and state) per
     stored commodity of a series; ``line`` is a number.
     ``members``: (commodity, market, state, line): the lines a fact adds to.
-    ``commodities``: the stored commodities in question, if they are few.
+    ``commodities``: the stored commodities in question, if they are few; facts of
+    others are not read.
     """
 
     scopes: DataFrame
@@ -80,8 +85,31 @@ def _match_dims(pairs: DataFrame, dims: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(lines: DataFrame) -> tuple[DataFrame, list[str] | None]:
-    """Lines with a fixed ``line`` number, and their commodities if they are few.
+def _match_folded(pairs: list, dims: DataFrame) -> DataFrame:
+    """The same rows as :func:`_match_dims` for few pairs: a projection of the dimensions."""
+    asked: dict[str, list[str]] = {}
+    for row in pairs:
+        asked.setdefault(row["term"], []).extend([] if row["loc"] is None else [row["loc"]])
+    texts = "array<string>"
+
+    def listed(values: list[str], hit) -> Column:
+        return F.array_compact(F.array(*(F.when(hit(v), F.lit(v)) for v in values)).cast(texts))
+
+    places = list(dict.fromkeys(loc for locs in asked.values() for loc in locs))
+    at_place = listed(places, lambda loc: S.matches("market", loc) | S.matches("state", loc))
+    wanted = F.coalesce(*(F.when(F.col("term") == t, F.lit(locs).cast(texts)) for t, locs in asked.items()))
+    termed = dims.select(*DIMS, at_place.alias("_places"), F.explode(listed(list(asked), lambda t: S.matches("commodity", t))).alias("term"))
+    nowhere = F.array(F.lit(None).cast("string"))
+    located = F.explode(F.concat(nowhere, F.array_intersect("_places", wanted))).alias("series_loc")
+    return termed.select("term", located, *DIMS)
+
+
+def _foldable(pairs: list | None) -> bool:
+    return bool(pairs) and len({r["term"] for r in pairs} | {r["loc"] for r in pairs}) <= MAX_FOLDED_NAMES
+
+
+def _numbered(lines: DataFrame) -> tuple[DataFrame, list | None]:
+    """Lines with a fixed ``line`` number, and their rows if they are few.
 
     Few lines become a literal table, so later joins need no job for them.
     """
@@ -89,45 +117,84 @@ def _numbered(lines: DataFrame) -> tuple[DataFrame, list[str] | None]:
     if found.num_rows > MAX_LINES:
         return stage(lines.withColumn("line", F.monotonically_increasing_id()), "lines"), None
     numbered = found.append_column("line", pa.array(range(found.num_rows), pa.int64()))
-    commodities = sorted(set(found.column("commodity").to_pylist()))
-    return lines.sparkSession.createDataFrame(numbered), commodities
+    return lines.sparkSession.createDataFrame(numbered), numbered.to_pylist()
+
+
+def _scopes(pairs: DataFrame, listed: list | None, lines: DataFrame, known: list | None) -> DataFrame:
+    """(term, loc, stats_scope, series_loc) of every pair, as a literal table if all is known."""
+    if listed is not None and known is not None:
+        hit = {(line["term"], line["series_loc"]) for line in known if line["series_loc"] is not None}
+        found = [(row["term"], row["loc"]) in hit for row in listed]
+        return pairs.sparkSession.createDataFrame(
+            pa.table(
+                {
+                    "term": pa.array([row["term"] for row in listed], pa.string()),
+                    "loc": pa.array([row["loc"] for row in listed], pa.string()),
+                    "stats_scope": pa.array([LOCATED if h else ALL for h in found], pa.string()),
+                    "series_loc": pa.array([row["loc"] if h else None for row, h in zip(listed, found)], pa.string()),
+                }
+            )
+        )
+    hit = lines.where(F.col("series_loc").isNotNull()).select("term", F.col("series_loc").alias("loc")).distinct()
+    return join_same(pairs, hit.withColumn("_hit", F.lit(True)), PAIR, "left").select(
+        *PAIR,
+        F.when(F.col("_hit"), F.lit(LOCATED)).otherwise(F.lit(ALL)).alias("stats_scope"),
+        F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
+    )
 
 
-def resolve_pairs(asked: DataFrame, cube: DataFrame) -> PairMap:
-    """Match asked (term, loc) pairs to the dimension values of a cube."""
+def resolve_pairs(asked: DataFrame, facts: DataFrame, dims: DataFrame | None = None) -> PairMap:
+    """Match asked (term, loc) pairs to the dimension values of the facts.
+
+    ``dims`` is their stored catalogue; without it the values are read off the facts.
+    Few pairs are folded into a projection of the dimensions; more are joined by keys.
+    """
     pairs = asked.select("term", F.nullif("loc", F.lit("")).alias("loc")).distinct()
-    pairs = stage(pairs.where(F.col("term").isNotNull()), "pairs")
-    dims = stage(cube.select(*DIMS).distinct(), "dims")
-    matched = stage(_match_dims(pairs, dims), "matched")
+    pairs = pairs.where(F.col("term").isNotNull())
+    listed = small_rows(pairs, MAX_FOLDED_PAIRS)
+    dims = stage(catalogue(facts), "dims") if dims is None else dims
+    if _foldable(listed):
+        matched = _match_folded(listed, dims)
+    else:
+        pairs = stage(pairs, "pairs")
+        matched = stage(_match_dims(pairs, dims), "matched")
 
     # The shown place is the smallest pair (or state), as no row is preferred.
     is_located = F.col("series_loc").isNotNull()
+    octets = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in (*DIMS, *SERIES))
     smallest = matched.groupBy(*SERIES, "commodity").agg(
-        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state")
-    )
-    lines, commodities = _numbered(
+        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state"),
+        F.count("*").alias("_rows"), F.sum(octets).alias("_octets"),
+    )
+    lines, known = _numbered(
         smallest.select(
             *SERIES,
             "commodity",
             F.when(is_located, F.col("_place.market")).alias("market"),
             F.when(is_located, F.col("_place.state")).otherwise(F.col("_state")).alias("state"),
+            "_rows",
+            "_octets",
         )
     )
-    hit = lines.where(is_located).select("term", F.col("series_loc").alias("loc")).distinct()
-    scopes = join_same(pairs, hit.withColumn("_hit", F.lit(True)), PAIR, "left").select(
-        *PAIR,
-        F.when(F.col("_hit"), F.lit(LOCATED)).otherwise(F.lit(ALL)).alias("stats_scope"),
-        F.when(F.col("_hit"), F.col("loc")).alias("series_loc"),
-    )
+    if known is None:
+        small = is_small(stage(matched, "matched"))
+        commodities = small_rows(lines.select("commodity").distinct(), MAX_LINES)
+    else:
+        rows, size = (sum(line[c] for line in known) for c in ("_rows", "_octets"))
+        small = rows <= session.MAX_BROADCAST_ROWS and size <= session.MAX_BROADCAST_BYTES
+        commodities = known
+    named = None if commodities is None else sorted({row["commodity"] for row in commodities})
+    lines = lines.drop("_rows", "_octets")
+    scopes = _scopes(pairs, listed, lines, known)
     members = join_same(matched, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
-    return PairMap(scopes, lines, members.select(*DIMS, "line"), is_small(matched), commodities)
+    return PairMap(scopes, lines, members.select(*DIMS, "line"), small, named)
 
 
 def daily_cube(prices: DataFrame) -> DataFrame:
     """(commodity, market, state, date) with the sum and count of prices, stored.
 
-    The only scan of the facts: dimensions, lines, series and headlines are all
-    read from it. Raw rows are summed, so later averages weigh every row alike.
+    It stands in for the facts where many of them share a place and a day; where
+    few do, it is no smaller than they are.
     """
     cube = prices.groupBy(*DIMS, "date").agg(
         F.sum("modal_price").alias("_sum"), F.count("modal_price").alias("_n")
@@ -135,11 +202,19 @@ def daily_cube(prices: DataFrame) -> DataFrame:
     return stage(cube, "cube")
 
 
-def daily_sums(cube: DataFrame, pair_map: PairMap) -> DataFrame:
-    """(line, date) with the sum and count of prices, from :func:`daily_cube`."""
-    facts = cube
+def daily_sums(facts: DataFrame, pair_map: PairMap) -> DataFrame:
+    """(line, date) with the sum and count of prices, from raw facts or their daily cube.
+
+    Raw rows are summed, so later averages weigh every row alike.
+    """
+    if "_sum" not in facts.columns:
+        facts = facts.select(
+            *DIMS, "date", F.col("modal_price").alias("_sum"), F.col("modal_price").isNotNull().cast("long").alias("_n")
+        )
     if pair_map.commodities is not None:
         facts = facts.where(F.col("commodity").isin(pair_map.commodities))
+    if not pair_map.members_small:  # the facts are shuffled then, so they are summed first
+        facts = facts.groupBy(*DIMS, "date").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     joined = join_same(facts, pair_map.members, DIMS, small=pair_map.members_small)
     return joined.groupBy("line", "date").agg(
         F.sum("_sum").alias("price_sum"), F.sum("_n").alias("price_n")
@@ -235,16 +310,17 @@ def headline_summary(headlines: DataFrame) -> DataFrame:
 
 
 def price_records(
-    prices: DataFrame | None, asked: DataFrame, cube: DataFrame | None = None
+    prices: DataFrame | None, asked: DataFrame, cube: DataFrame | None = None, dims: DataFrame | None = None
 ) -> DataFrame:
     """One record per asked pair: headline, statistics and explanation.
 
-    ``cube`` is the stored :func:`daily_cube` of the prices, if there is one.
-    Staged, so it has a true size and can be reused by batches and streams.
+    ``dims`` is the stored catalogue of the prices, if there is one; ``cube`` is a
+    stored :func:`daily_cube` to read in place of the prices. Staged, so it has a
+    true size and can be reused by batches and streams.
     """
-    cube = daily_cube(prices) if cube is None else cube
-    pair_map = resolve_pairs(asked, cube)
-    daily = stage(daily_sums(cube, pair_map), "daily")
+    facts = prices if cube is None else cube
+    pair_map = resolve_pairs(asked, facts, dims)
+    daily = stage(daily_sums(facts, pair_map), "daily")
     stats = S.stats_record(
         pair_stats(asked_series(daily, pair_map), pair_map), PAIR, "stats_scope", "n"
     ).withColumnRenamed("n", "series_rows")

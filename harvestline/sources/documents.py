@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+from .versions import Version
+
+CHUNKS = "chunks"
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Each file under ``path`` as one row (doc_id, text)."""
@@ -35,7 +40,8 @@ def build_index(
     """Replace the whole index with chunks ⋈ vectors.
 
     Fails before anything is written if an id repeats on either side or the
-    vectors differ in width.
+    vectors differ in width. Readers keep the earlier index until the new one
+    is whole.
     """
     for side, name in ((chunks, "chunk"), (vectors, "vector")):
         repeated = [row[0] for row in duplicate_ids(side, id_col).limit(5).collect()]
@@ -44,9 +50,11 @@ def build_index(
     widths = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     if widths[0] != widths[1]:
         raise ValueError(f"vector widths differ: {widths[0]} to {widths[1]}")
-    join_vectors(chunks, vectors, id_col).write.mode("overwrite").parquet(path)
-    return open_index(chunks.sparkSession, path)
+    version = versions.replace(join_vectors(chunks, vectors, id_col), path, CHUNKS)
+    return open_index(chunks.sparkSession, path, version)
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def open_index(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The stored index; ``version`` pins what is read, else that is the newest now."""
+    pinned = version or versions.pinned(spark, path)
+    return spark.read.parquet(*pinned.folders(CHUNKS))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicon, schema
+from . import versions
+from .versions import Version
+
+# Kinds of data in a version of a price table.
+FACTS, CATALOGUE = "facts", "catalogue"
 
 
 def read_price_text(
@@ -78,33 +83,52 @@ def to_prices(raw: DataFrame, date_format: str | None = None, strict: bool = Tru
     )
 
 
-def write_prices(prices: DataFrame, path: str) -> None:
-    """Replace the price table, one directory per commodity.
+def write_prices(prices: DataFrame, path: str) -> Version:
+    """Replace the price table, one directory per commodity, and its catalogue.
 
     The rebalance lets AQE cut a commodity that holds most rows into several
     files and merge small ones; sorting by date inside keeps row groups narrow.
+    The catalogue lists what dimension values occur together, so that terms are
+    matched without the facts. Readers keep the earlier version until both are
+    written.
     """
-    (
-        prices.hint("rebalance", F.col("commodity"))
-        .sortWithinPartitions("commodity", "date")
-        .write.mode("overwrite")
-        .partitionBy("commodity")
-        .parquet(path)
-    )
+    name, folder = versions.new_data(path)
+    facts = prices.hint("rebalance", F.col("commodity")).sortWithinPartitions("commodity", "date")
+    facts.write.partitionBy("commodity").parquet(f"{folder}/{FACTS}")
+    spark = prices.sparkSession
+    stored = spark.read.schema(prices.schema).parquet(f"{folder}/{FACTS}")
+    catalogue(stored).hint("rebalance").write.parquet(f"{folder}/{CATALOGUE}")
+    return versions.publish(spark, path, {versions.WHOLE: name})
+
+
+def catalogue(prices: DataFrame) -> DataFrame:
+    """The (commodity, market, state) that occur. Each task sends every triple once."""
+    return prices.select(*schema.PRICE_TEXT_COLUMNS).distinct()
 
 
 def open_prices(
-    spark: SparkSession, path: str, columns: T.StructType = schema.PRICES
+    spark: SparkSession, path: str, columns: T.StructType = schema.PRICES, version: Version | None = None
 ) -> DataFrame:
-    """The stored table; the declared columns keep partition values as text."""
-    return spark.read.schema(columns).parquet(path).select(*columns.names)
+    """The stored table; the declared columns keep partition values as text.
+
+    ``version`` pins what is read; without it that is the newest now.
+    """
+    pinned = version or versions.pinned(spark, path)
+    return spark.read.schema(columns).parquet(*pinned.folders(FACTS)).select(*columns.names)
+
+
+def open_catalogue(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """The stored catalogue of a price table."""
+    pinned = version or versions.pinned(spark, path)
+    columns = ", ".join(f"{c} string" for c in schema.PRICE_TEXT_COLUMNS)
+    return spark.read.schema(columns).parquet(*pinned.folders(CATALOGUE))
 
 
 def load_prices(spark: SparkSession, csv_path: str, table_path: str, **options) -> DataFrame:
     """CSV to price table, further columns included; returns the stored table."""
     prices = to_prices(read_price_text(spark, csv_path), **options)
-    write_prices(prices, table_path)
-    return open_prices(spark, table_path, prices.schema)
+    version = write_prices(prices, table_path)
+    return open_prices(spark, table_path, prices.schema, version)
 
 
 def row_count(table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from harvestline.functions import render
 from harvestline.operators import series as S
 from harvestline.plans import prices as P
 from harvestline.session import new_folder
+from harvestline.sources import daily_state as M
 from harvestline.sources import prices as L
 
 from . import Query
@@ -68,7 +69,8 @@ def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_series_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    located = S.filter_prices(V.prices_star(spark, sf_dir), location="nation_1")
+    prices, places = V.prices_star(spark, sf_dir), V.places_star(spark, sf_dir)
+    located = S.filter_prices(prices, location="nation_1", places=places)
     return _rounded(S.daily_average(located, ["commodity"]), modal_price=4)
 
 
@@ -77,7 +79,9 @@ def price_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_avg_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = S.average_by_commodity(V.prices_star(spark, sf_dir), "nation_1", "s")
+    averages = S.average_by_commodity(
+        V.prices_star(spark, sf_dir), "nation_1", "s", V.goods_star(spark, sf_dir), V.places_star(spark, sf_dir)
+    )
     return _rounded(averages, modal_price=4)
 
 
@@ -130,19 +134,18 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, P.PairMap]:
     prices, asked = _asked(spark, sf_dir)
-    cube = P.daily_cube(prices)
-    return cube, P.resolve_pairs(asked, cube)
+    return prices, P.resolve_pairs(asked, prices)
 
 
 def price_asked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube, pair_map = _resolved(spark, sf_dir)
-    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
+    facts, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(facts, pair_map), pair_map)
     return _rounded(P.pair_series(series, pair_map), modal_price=4)
 
 
 def price_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube, pair_map = _resolved(spark, sf_dir)
-    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
+    facts, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(facts, pair_map), pair_map)
     stats = P.pair_stats(series, pair_map).select(
         *P.PAIR, "stats_scope", "n", "latest_price", "percent_change", "forecast_14d",
         "trend_direction",
@@ -151,8 +154,8 @@ def price_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube, pair_map = _resolved(spark, sf_dir)
-    rows = P.pair_headlines(P.daily_sums(cube, pair_map), pair_map)
+    facts, pair_map = _resolved(spark, sf_dir)
+    rows = P.pair_headlines(P.daily_sums(facts, pair_map), pair_map)
     return _rounded(rows, modal_price=4)
 
 
@@ -181,8 +184,8 @@ def price_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_asked_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart rows of every asked pair: series and 7-row mean, with scope and title."""
-    cube, pair_map = _resolved(spark, sf_dir)
-    series = P.asked_series(P.daily_sums(cube, pair_map), pair_map)
+    facts, pair_map = _resolved(spark, sf_dir)
+    series = P.asked_series(P.daily_sums(facts, pair_map), pair_map)
     return _rounded(P.asked_charts(series, pair_map), value=4)
 
 
@@ -205,8 +208,8 @@ def answer_display_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube, pair_map = _resolved(spark, sf_dir)
-    rows = P.pair_headlines(P.daily_sums(cube, pair_map), pair_map)
+    facts, pair_map = _resolved(spark, sf_dir)
+    rows = P.pair_headlines(P.daily_sums(facts, pair_map), pair_map)
     summary = P.headline_summary(_rounded(rows, modal_price=4))
     return summary.select(*P.PAIR, "result", F.array_join("columns", ",").alias("columns"))
 
@@ -275,6 +278,38 @@ RECORDS = f"{PAIR_STATS}, {SUMMARY}"
 # --- loading --------------------------------------------------------------
 
 
+def price_stored_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines of asked pairs from a stored table: terms meet its catalogue, and one pruned scan its facts."""
+    prices, asked = _asked(spark, sf_dir)
+    path = new_folder(spark, "prices")
+    version = L.write_prices(prices, path)
+    stored = L.open_prices(spark, path, prices.schema, version)
+    pair_map = P.resolve_pairs(asked.where("term <> 'STANDARD'"), stored, L.open_catalogue(spark, path, version))
+    return _rounded(P.pair_headlines(P.daily_sums(stored, pair_map), pair_map), modal_price=4)
+
+
+def price_replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a price table in its two versions; the first stays readable after the second is written."""
+    prices = V.prices_events(spark, sf_dir)
+    path = new_folder(spark, "prices")
+    first = L.write_prices(prices.where("commodity <> 'view'"), path)
+    L.write_prices(prices, path)
+    tables = {"first": L.open_prices(spark, path, prices.schema, first), "newest": L.open_prices(spark, path, prices.schema)}
+    counts = [t.groupBy("commodity").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("version"), "*") for n, t in tables.items()]
+    return counts[0].unionByName(counts[1])
+
+
+def price_stats_by_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics from monthly moments after three loads: old facts, new ones, and late ones of all days."""
+    prices = V.prices_star(spark, sf_dir)
+    late = F.col("market").endswith("7")
+    old = F.col("date") < F.lit("1999-06-15").cast("date")
+    path = new_folder(spark, "state")
+    for load in (old & ~late, ~old & ~late, late):
+        M.add_prices(prices.where(load), path, PLACE)
+    return _shown(M.series_stats(M.open_moments(spark, path), PLACE), PLACE)
+
+
 def load_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_prices(V.raw_events(spark, sf_dir))
 
@@ -484,6 +519,20 @@ QUERIES = {
         " WHEN contains(term, 'A') THEN 'इस सवाल के लिए कोई डेटा नहीं मिला।'"
         " ELSE 'No data found for this query.' END AS answer_text FROM records",
     ),
+    "price_stored_catalogue": Query(
+        price_stored_catalogue,
+        f"WITH {V.STAR}, {V.ASKED}, {HEADLINES} SELECT term, loc, commodity, market, state,"
+        " round(modal_price + 3.183e-8, 4) AS modal_price FROM headlines WHERE term <> 'STANDARD'",
+    ),
+    "price_replaced_table": Query(
+        price_replaced_table,
+        f"WITH {V.EVENTS} SELECT version, commodity, count(*) AS n_rows FROM prices"
+        " CROSS JOIN (VALUES ('first'), ('newest')) v(version)"
+        " WHERE version = 'newest' OR commodity <> 'view' GROUP BY version, commodity",
+    ),
+    "price_stats_by_addition": Query(
+        price_stats_by_addition, _stats_sql(V.STAR, "commodity, state", f"n, {STATS_SELECT}")
+    ),
     "load_coerce": Query(load_coerce, f"WITH {V.RAW} {_LOADED}, record FROM loaded"),
     "load_csv_table": Query(load_csv_table, f"WITH {V.RAW} {_LOADED} FROM loaded"),
     "load_count": Query(load_count, f"WITH {V.RAW} SELECT count(*) AS n_rows FROM loaded"),

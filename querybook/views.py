@@ -39,6 +39,18 @@ def prices_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def goods_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commodities of the star prices, from their dimension table."""
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("commodity")).distinct()
+
+
+def places_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets and states of the star prices, from their dimension tables."""
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return placed.select(F.col("s_name").alias("market"), F.col("n_name").alias("state"))
+
+
 STAR = """
 prices AS (
   SELECT CAST(l_shipdate AS date) AS date, p_type AS commodity, s_name AS market,

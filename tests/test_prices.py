@@ -1,7 +1,9 @@
 """Loading, series, statistics, and asked pairs."""
 
+import dataclasses
 import datetime as dt
 import os
+import re
 
 import pytest
 from conftest import rows
@@ -215,19 +217,59 @@ def test_asked_pairs(spark, prices, monkeypatch, small, lines):
     )
 
 
-def test_facts_are_scanned_once(spark, prices, monkeypatch):
-    """One plan reads the stored facts, without columns it has no use for; all others read its cube."""
+@pytest.mark.parametrize("names", [0, 200])
+def test_asked_pairs_folded_or_joined(spark, prices, monkeypatch, names):
+    """Few names are a projection and many a join; both give the same lines, and members that fit are broadcast."""
+    asked = spark.createDataFrame([*ASKED, ("%e%", "m%p"), ("w\\", "MP"), (None, "MP")], "term string, loc string")
+    monkeypatch.setattr(P, "MAX_FOLDED_NAMES", names)
+    pair_map = P.resolve_pairs(asked, prices)
+    lines = rows(pair_map.lines.drop("line"))
+    assert ("%e%", "m%p", "Wheat", "Bhopal", "MP") in lines and ("%e%", None, "Rice", None, "Punjab") in lines
+    monkeypatch.setattr(P, "MAX_FOLDED_NAMES", 200 - names)
+    other = P.resolve_pairs(asked, prices)
+    assert rows(other.lines.drop("line")) == lines and rows(other.scopes) == rows(pair_map.scopes)
+    plans = []
+    for small in (True, False):
+        daily = P.daily_sums(prices, dataclasses.replace(pair_map, members_small=small))
+        plans.append((rows(daily), daily._jdf.queryExecution().executedPlan().toString()))
+    assert plans[0][0] == plans[1][0] and "BroadcastHashJoin" in plans[0][1]
+
+
+def test_facts_are_read_once_and_pruned(spark, prices, monkeypatch):
+    """One plan reads the stored facts: of asked commodities, without unused columns, and shuffled as daily sums only."""
     table = new_folder(spark, "prices")
     columns = [F.lit(None).cast("double").alias(c) for c in ("min_price", "max_price")]
-    L.write_prices(prices.select("*", *columns), table)
+    version = L.write_prices(prices.select("*", *columns), table)
     staged, original = [], P.stage
     monkeypatch.setattr(P, "stage", lambda df, name: staged.append((name, df)) or original(df, name))
-    asked = spark.createDataFrame([("wheat", None)], "term string, loc string")
-    P.price_records(L.open_prices(spark, table), asked)
-    reading = [(name, df) for name, df in staged if any(table in file for file in df.inputFiles())]
-    assert [name for name, _ in reading] == ["cube"]
+    asked = spark.createDataFrame([("wheat", None), ("Onion", "pune")], "term string, loc string")
+    stored = L.open_prices(spark, table, version=version)
+    found = P.price_records(stored, asked, dims=L.open_catalogue(spark, table, version))
+    assert rows(found) == rows(P.price_records(prices, asked))
+    facts = version.folders(L.FACTS)[0]
+    reading = [(name, df) for name, df in staged if any(facts in file for file in df.inputFiles())]
+    assert [name for name, _ in reading] == ["daily"]
     plan = reading[0][1]._jdf.queryExecution().executedPlan().toString()
-    assert "min_price" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "min_price" not in plan
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "hashpartitioning(line" in shuffles[0]
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)[1]
+    assert "commodity" in filters and "Onion" in filters and "Rice" not in filters
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_terms_become_lists_of_dimension_values(spark, prices, monkeypatch, limit):
+    monkeypatch.setattr(S, "MAX_LISTED_VALUES", limit)
+    dims = L.catalogue(prices)
+    for commodity, location in [("wheat", None), (None, "m%p"), ("e", "PUNJAB"), ("none", "none"), ("", "i")]:
+        found = S.filter_prices(prices, commodity, location, goods=dims, places=dims)
+        assert rows(found) == rows(S.filter_prices(prices, commodity, location))
+    table = new_folder(spark, "prices")
+    prices.write.parquet(table)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = S.filter_prices(spark.read.parquet(table), "wheat", "m%p", dims, dims)._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan)[1]
+    assert ("In(commodity" in pushed and "market" in pushed) == (limit > 0)
 
 
 def test_records(spark, prices):
