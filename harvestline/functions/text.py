@@ -84,13 +84,19 @@ def language_by_script(text: Column) -> Column:
         ),
         F.lit(scripts[-1][0]),
     )
-    words = F.split(F.lower(text), "[^a-z]+")
-    romanised = F.arrays_overlap(words, F.lit(list(lexicon.ROMANISED_HINDI)))
-    return (
-        F.when(text.rlike(f"[{_class_of(scripts)}]"), by_script)
-        .when(romanised, F.lit("hi"))
-        .otherwise(F.lit("en"))
+    romanised = F.lower(text).rlike(whole_words(lexicon.ROMANISED_HINDI))
+    # Every script lies beyond the characters of one byte.
+    scripted = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{_class_of(scripts)}]")
+    return F.when(scripted, by_script).when(romanised, F.lit("hi")).otherwise(F.lit("en"))
+
+
+def whole_words(words: Iterable[str]) -> str:
+    """A pattern of lower-case words a-z that stand alone; one branch per first letter."""
+    branches = (
+        f"{first}(?:{'|'.join(word[1:] for word in group)})"
+        for first, group in groupby(sorted(words), key=lambda word: word[0])
     )
+    return f"(?<![a-z])(?:{'|'.join(branches)})(?![a-z])"
 
 
 def resolve_language(explicit: Column, question: Column) -> Column:
