@@ -22,6 +22,8 @@ from ..operators import context as C
 from ..operators import nearest as N
 from ..operators.matching import join_same
 from ..session import is_small
+from ..sources import prices as L
+from ..sources import versions
 from . import prices as P
 
 
@@ -55,6 +57,21 @@ NO_RECORDS = (
 )
 
 
+# Conditions of missing tables, of files and cells that can't be read, and of sources that say so.
+UNREADABLE = (
+    "PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE",
+    "MALFORMED_RECORD_IN_PARSING", "CAST_INVALID_INPUT", "CANNOT_PARSE_TIMESTAMP", "USER_RAISED_EXCEPTION",
+)
+
+
+def unreadable(error: Exception) -> bool:
+    """Whether prices failed to be read, and not the plan over them."""
+    if isinstance(error, FileNotFoundError):
+        return True
+    condition = error.getCondition() or ""
+    return condition.startswith(UNREADABLE) or any(f"[{c}" in str(error) for c in UNREADABLE)
+
+
 def understand(questions: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Add language, route and entities; narrow, for batches and streams alike.
 
@@ -183,7 +200,7 @@ def _joined(questions: DataFrame, table: DataFrame | None, column: str, type_: s
 
 def answer_questions(
     questions: DataFrame,
-    prices: DataFrame | None = None,
+    prices: DataFrame | str | None = None,
     index: DataFrame | N.OpenIndex | None = None,
     vectors: DataFrame | None = None,
     labels: DataFrame | None = None,
@@ -199,8 +216,9 @@ def answer_questions(
     ``vectors`` (qid, embedding), ``labels`` (qid, raw_label) and
     ``model_answers`` (qid, raw_answer) come from outside models; each may be
     missing as a whole or for single questions; of several rows for a question
-    the smallest value counts. Prices that can't be read give every price
-    question an error text. ``records`` are the staged
+    the smallest value counts. ``prices`` is a table or the path of a stored one.
+    Prices that can't be read give every price question an error text; any other
+    failure is raised. ``records`` are the staged
     output of an earlier :func:`vocabulary_records`, and ``cube`` a stored daily
     cube, instead of ``prices``; ``dims`` is the stored catalogue of the prices.
     """
@@ -212,8 +230,14 @@ def answer_questions(
         if prices is None and cube is None:
             raise ValueError("prices, their cube, or records are needed")
         try:
+            if isinstance(prices, str):
+                version = versions.pinned(questions.sparkSession, prices)
+                dims = L.open_catalogue(questions.sparkSession, prices, version)
+                prices = L.open_prices(questions.sparkSession, prices, version=version)
             records = vocabulary_records(prices, questions, vocabulary, cube, dims)
-        except PySparkException as error:
+        except (PySparkException, FileNotFoundError) as error:
+            if not unreadable(error):
+                raise
             # Unreadable prices fail the price answers, each with its error, and no others.
             price_error = str(error).strip().split("\n")[0] or type(error).__name__
             records = questions.sparkSession.createDataFrame([], NO_RECORDS)

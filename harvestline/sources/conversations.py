@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .. import schema
-from ..operators.matching import join_same
+from ..operators.ranking import positions
 from ..session import new_folder
 
-# Rows of one conversation that a single window task sorts at most, as long as
-# turns are distinct.
-REPLAY_BLOCK = 4096
-
 
 def append_messages(messages: DataFrame, path: str) -> None:
     """Add messages to the log; a message without ``meta`` is stored without it."""
@@ -37,25 +32,11 @@ def replay(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
     Messages without a turn come first; messages of equal turn are ordered by
     their other columns, so the position is the same each time. Those without
     a conversation form one of their own. A conversation may hold a large share
-    of all rows, so it is never ranked in one task: turns are cut into blocks,
-    ranked inside each block, and shifted by the number of rows in earlier
-    blocks.
+    of all rows, with any turns: the log is sorted by ranges, which cut it into
+    many tasks.
     """
-    blocked = messages.withColumn("_block", F.floor(F.col(turn) / F.lit(REPLAY_BLOCK)))
-    earlier = W.partitionBy(conv).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(conv, "_block")
-        .agg(F.count("*").alias("_n"))
-        .select(conv, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
     others = [c for c in messages.columns if c not in (conv, turn)]
-    inside = W.partitionBy(conv, "_block").orderBy(turn, *others)
-    ranked = blocked.withColumn("_rank", F.row_number().over(inside) - 1)
-    return (
-        join_same(ranked, offsets, [conv, "_block"])
-        .withColumn("position", (F.col("_before") + F.col("_rank")).cast("bigint"))
-        .drop("_block", "_rank", "_before")
-    )
+    return positions(messages, conv, [turn, *others], "position")
 
 
 def clear_conversations(messages: DataFrame, cleared: DataFrame, conv: str = "conv_id") -> DataFrame:

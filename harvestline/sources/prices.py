@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicon, schema
+from ..session import stage
 from . import versions
 from .versions import Version
 
 # Kinds of data in a version of a price table.
-FACTS, CATALOGUE = "facts", "catalogue"
+FACTS, CATALOGUE, ERRORS = "facts", "catalogue", "errors"
+RECORD = "record"
+BROKEN_LINE, BAD_DATE = "broken line", "bad date"
 
 
 def read_price_text(
@@ -35,6 +38,38 @@ def read_price_text(
     return reader.schema(text).csv(path)
 
 
+def read_price_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Price CSV as text, with what can't be parsed kept beside the rest.
+
+    ``record`` holds the whole line where it has more or fewer cells than the
+    header, and is NULL elsewhere. Reading goes on after such a line.
+    """
+    columns = read_price_text(spark, path, multi_line=multi_line).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RECORD]])
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
+    return reader.option("enforceSchema", True).option("multiLine", multi_line).schema(text).csv(path)
+
+
+def with_row_errors(raw: DataFrame, date_format: str | None = None) -> DataFrame:
+    """``prices`` columns with ``error`` and, where it is set, ``record``: the row's text.
+
+    A row is bad if its line can't be parsed or its date can't be read; every other
+    row has no error. Bad numbers are NULL, as in any load.
+    """
+    prices = to_prices(raw, date_format, strict=False)
+    date = known(F.col("date"))
+    parsed = date.try_cast("date") if date_format is None else F.try_to_date(date, date_format)
+    broken = F.col(RECORD).isNotNull() if RECORD in raw.columns else F.lit(False)
+    error = F.when(broken, F.lit(BROKEN_LINE)).when(date.isNotNull() & parsed.isNull(), F.lit(BAD_DATE))
+    cells = F.to_json(F.struct(*(c for c in raw.columns if c != RECORD)), {"ignoreNullFields": "false"})
+    whole = F.coalesce(F.col(RECORD), cells) if RECORD in raw.columns else cells
+    kept = raw.withColumn("_error", error).withColumn("_whole", F.when(error.isNotNull(), whole))
+    return to_prices(kept, date_format, strict=False).select(
+        *(c for c in prices.columns if c != RECORD), F.col("_error").alias("error"), F.col("_whole").alias(RECORD)
+    )
+
+
 def read_price_files(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
     """Files or folders of price CSV, united by column name.
 
@@ -83,14 +118,14 @@ def to_prices(raw: DataFrame, date_format: str | None = None, strict: bool = Tru
     )
 
 
-def write_prices(prices: DataFrame, path: str) -> Version:
+def write_prices(prices: DataFrame, path: str, errors: DataFrame | None = None) -> Version:
     """Replace the price table, one directory per commodity, and its catalogue.
 
     The rebalance lets AQE cut a commodity that holds most rows into several
     files and merge small ones; sorting by date inside keeps row groups narrow.
     The catalogue lists what dimension values occur together, so that terms are
-    matched without the facts. Readers keep the earlier version until both are
-    written.
+    matched without the facts. ``errors`` are rows that were left out, kept in the
+    same version. Readers keep the earlier version until all is written.
     """
     name, folder = versions.new_data(path)
     facts = prices.hint("rebalance", F.col("commodity")).sortWithinPartitions("commodity", "date")
@@ -98,6 +133,8 @@ def write_prices(prices: DataFrame, path: str) -> Version:
     spark = prices.sparkSession
     stored = spark.read.schema(prices.schema).parquet(f"{folder}/{FACTS}")
     catalogue(stored).hint("rebalance").write.parquet(f"{folder}/{CATALOGUE}")
+    if errors is not None:
+        errors.write.parquet(f"{folder}/{ERRORS}")
     return versions.publish(spark, path, {versions.WHOLE: name})
 
 
@@ -131,6 +168,19 @@ def load_prices(spark: SparkSession, csv_path: str, table_path: str, **options)
     return open_prices(spark, table_path, prices.schema, version)
 
 
+def load_checked(spark: SparkSession, csv_path: str, table_path: str, date_format: str | None = None) -> Version:
+    """CSV to price table without the rows that can't be read; these are kept with their error."""
+    rows = stage(with_row_errors(read_price_records(spark, csv_path), date_format), "checked")
+    good = rows.where(F.col("error").isNull()).drop("error", RECORD)
+    return write_prices(good, table_path, rows.where(F.col("error").isNotNull()).select("error", RECORD))
+
+
+def open_errors(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
+    """(error, record) of the rows that a checked load left out."""
+    pinned = version or versions.pinned(spark, path)
+    return spark.read.schema(f"error string, {RECORD} string").parquet(*pinned.folders(ERRORS))
+
+
 def row_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("n_rows"))
 

@@ -9,6 +9,7 @@ from harvestline.functions import render
 from harvestline.plans import answers as A
 from harvestline.session import new_folder
 from harvestline.sources import conversations as G
+from harvestline.sources import prices as L
 from harvestline.sources import questions as I
 from harvestline.streaming import answers as R
 
@@ -101,6 +102,25 @@ def answer_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(out))
 
 
+def answer_stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two micro-batches around a load: each answers from the price table as it was when it began."""
+    prices, out, table = V.prices_star(spark, sf_dir), new_folder(spark, "batch-answers"), new_folder(spark, "prices")
+    batches = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    asked = batches.select("conv_id", V.qid().alias("qid"), V.indic(F.col("text")).alias("question"))
+    answerer = R.batch_answerer(out, prices=table, vocabulary=V.SAMPLE)
+    for batch_id, load in enumerate((prices.where(~F.col("market").endswith("7")), prices)):
+        L.write_prices(load, table)
+        answerer(asked.where(F.col("conv_id") % 2 == batch_id).drop("conv_id"), batch_id)
+    stored = spark.read.parquet(out)
+    return stored.select("qid", F.col("batch_id").cast("bigint").alias("batch_id"), "routed_to", "answer_text")
+
+
+def answer_missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price questions get an error text where no price table is, and others their answer."""
+    answers = A.answer_questions(V.questions(spark, sf_dir), new_folder(spark, "never-written"), vocabulary=V.SAMPLE)
+    return answers.select("qid", "routed_to", F.split("answer_text", " at /")[0].alias("answer_text"))
+
+
 def answer_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = V.questions(spark, sf_dir).join(V.model_labels(spark, sf_dir), "qid", "left")
     routed = A.understand(labelled, V.SAMPLE)
@@ -228,7 +248,26 @@ SELECT r.qid, language, routed_to, {_BADGE} AS badge,
 FROM routed_language r LEFT JOIN records p ON r.asked_commodity = p.term
   AND r.asked_location IS NOT DISTINCT FROM p.loc"""
 
+
+def _one_batch(batch_id: int, star: str) -> str:
+    """Answers without labels, models or documents, of every other conversation."""
+    return f"""(WITH {star}, {_PAIRS}, {_RECORDS},
+{_PLAIN}, {_ROUTED.replace(f"coalesce({V.LABEL}, ", "(")}, {_TEXTS}
+SELECT r.qid, CAST({batch_id} AS bigint) AS batch_id, routed_to,
+       CASE WHEN routed_to = 'price_agent' THEN {_PRICE_TEXT} ELSE {Q.BUSY} END AS answer_text
+FROM routed_language r LEFT JOIN records p ON r.asked_commodity = p.term
+  AND r.asked_location IS NOT DISTINCT FROM p.loc WHERE conv_id % 2 = {batch_id})"""
+
+
+_NOT_YET = V.STAR.replace("JOIN nation ON s_nationkey = n_nationkey", "JOIN nation ON s_nationkey = n_nationkey WHERE s_name NOT LIKE '%7'")
+_UNPRICED = f"""
+WITH {_PLAIN}, {_ROUTED.replace(f"coalesce({V.LABEL}, ", "(")}, {_TEXTS}
+SELECT qid, routed_to, CASE WHEN routed_to = 'price_agent' THEN '⚠️ Query error: no table' ELSE {Q.BUSY} END AS answer_text
+FROM routed_language"""
+
 QUERIES = {
+    "answer_stream_refresh": Query(answer_stream_refresh, f"{_one_batch(0, _NOT_YET)} UNION ALL {_one_batch(1, V.STAR)}"),
+    "answer_missing_prices": Query(answer_missing_prices, _UNPRICED),
     "answer_batch": Query(answer_batch, _ANSWERED),
     "answer_stream": Query(answer_stream, _STREAMED),
     "answer_stream_batches": Query(answer_stream_batches, _ANSWERED),

@@ -343,6 +343,28 @@ def load_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_prices(L.read_price_files(spark, folders, multi_line=True))
 
 
+def load_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded rows, and those left out by error, of files with broken lines and bad dates."""
+    event, user = F.col("event_id"), F.col("user_id")
+    csv = new_folder(spark, "csv")
+    V.table(spark, sf_dir, "events").select(
+        F.when(event % 7 == 0, F.lit("2024-99-01")).otherwise(F.col("ts").cast("date").cast("string")).alias("date"),
+        F.col("event_type").alias("commodity"),
+        F.concat(F.lit("m"), user.cast("string"), F.when(event % 10 == 0, F.lit(",extra")).otherwise(F.lit(""))).alias("market"),
+        F.lit("s").alias("state"),
+        *((user % n).cast("string").alias(f"{name}_price") for name, n in (("min", 10), ("max", 20), ("modal", 30))),
+    ).write.option("header", True).option("quote", "\u0000").csv(csv)  # no quotes, so a comma adds a cell
+    path = new_folder(spark, "prices")
+    version = L.load_checked(spark, csv, path)
+    good = L.open_prices(spark, path, version=version).groupBy("commodity").agg(
+        F.lit(None).cast("string").alias("error"), F.count("*").alias("n_rows"), F.max("modal_price").alias("top"),
+        F.lit(None).cast("string").alias("record"),
+    )
+    bad = L.open_errors(spark, path, version).groupBy("error").agg(F.count("*").alias("n_rows"), F.min("record").alias("record"))
+    none = F.lit(None)
+    return good.unionByName(bad.select(none.cast("string").alias("commodity"), "error", "n_rows", none.cast("double").alias("top"), "record"))
+
+
 def load_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.column_report(L.to_prices(V.raw_events(spark, sf_dir)))
 
@@ -536,6 +558,21 @@ QUERIES = {
     "load_coerce": Query(load_coerce, f"WITH {V.RAW} {_LOADED}, record FROM loaded"),
     "load_csv_table": Query(load_csv_table, f"WITH {V.RAW} {_LOADED} FROM loaded"),
     "load_count": Query(load_count, f"WITH {V.RAW} SELECT count(*) AS n_rows FROM loaded"),
+    "load_checked": Query(
+        load_checked,
+        "WITH cells AS (SELECT event_id, event_type AS commodity, user_id % 30 AS modal_price,"
+        " CASE WHEN event_id % 7 = 0 THEN '2024-99-01' ELSE CAST(CAST(ts AS date) AS varchar) END AS day,"
+        " 'm' || CAST(user_id AS varchar) AS market, CAST(user_id % 10 AS varchar) AS low,"
+        " CAST(user_id % 20 AS varchar) AS high FROM events),"
+        " told AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'broken line' WHEN event_id % 7 = 0 THEN 'bad date' END AS error,"
+        " CASE WHEN event_id % 10 = 0 THEN concat_ws(',', day, commodity, market, 'extra', 's', low, high, CAST(modal_price AS varchar))"
+        " ELSE '{\"date\":\"' || day || '\",\"commodity\":\"' || commodity || '\",\"market\":\"' || market || '\",\"state\":\"s\","
+        "\"min_price\":\"' || low || '\",\"max_price\":\"' || high || '\",\"modal_price\":\"' || CAST(modal_price AS varchar) || '\"}' END AS whole"
+        " FROM cells) SELECT CASE WHEN error IS NULL THEN commodity END AS commodity, error, count(*) AS n_rows,"
+        " CASE WHEN error IS NULL THEN CAST(max(modal_price) AS double) END AS top,"
+        " CASE WHEN error IS NOT NULL THEN min(whole) END AS record FROM told"
+        " GROUP BY CASE WHEN error IS NULL THEN commodity END, error",
+    ),
     "load_by_name": Query(
         load_by_name,
         f"WITH {V.RAW} SELECT date, commodity, market || chr(10) || '\"east\"' AS market, state,"

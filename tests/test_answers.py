@@ -7,13 +7,16 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from harvestline import lexicon
+from harvestline import lexicon, session
+from harvestline.operators import ranking as K
 from harvestline.plans import answers as A
 from harvestline.plans import prices as P
 from harvestline.session import CHECKPOINT_CONF, new_folder, shared_folder
 from harvestline.sources import conversations as G
+from harvestline.sources import prices as L
 from harvestline.sources import questions as Q
 from harvestline.streaming import answers as R
 
@@ -187,6 +190,30 @@ def test_unreadable_prices_give_price_questions_their_error(spark, asked, prices
     assert others and all(row["price"] is None for row in others)
 
 
+def test_defects_of_the_plan_are_raised(spark, asked, prices):
+    with pytest.raises(AnalysisException, match="modal_price"):
+        A.answer_questions(asked, prices.drop("modal_price"))
+    missing = new_folder(spark, "never-written")
+    found = A.answer_questions(asked, missing).where("routed_to = 'price_agent'").collect()
+    assert found and all(missing in row["price"]["error"] for row in found)
+
+
+def test_batches_see_the_newest_prices_each_one_version(spark, tmp_path, asked, prices):
+    """A load between two batches: the first answers from the old table and the second from the new one."""
+    table, out = new_folder(spark, "prices"), new_folder(spark, "stream")
+    full = prices.withColumns({c: F.lit(None).cast("double") for c in ("min_price", "max_price")})
+    L.write_prices(full, table)
+    answerer = R.batch_answerer(out, prices=table)
+    answerer(asked, 0)
+    answerer(asked, 1)
+    L.write_prices(full.withColumn("modal_price", F.col("modal_price") + 1000), table)
+    answerer(asked, 2)
+    texts = {b: {r["qid"]: r["answer_text"] for r in spark.read.parquet(f"{out}/batch_id={b}").collect()} for b in range(3)}
+    assert texts[0] == texts[1] and "2,020.00" in texts[0][0] and "3,020.00" in texts[2][0]
+    stores = set(spark.read.parquet(out).where("batch_id = 2 and routed_to = 'price_agent'").select("price.modal_price").toPandas()["modal_price"].dropna())
+    assert all(value > 1900 for value in stores)
+
+
 def test_replay_keeps_rows_without_turn_or_conversation(spark):
     log = spark.createDataFrame(
         [(1, 0, "user", "a"), (1, None, "user", "b"), (None, 0, "user", "c"), (1, 0, "bot", "d")],
@@ -199,14 +226,43 @@ def test_replay_keeps_rows_without_turn_or_conversation(spark):
 # --- conversations --------------------------------------------------------
 
 
-def test_replay_of_a_hot_conversation(spark, monkeypatch):
-    monkeypatch.setattr(G, "REPLAY_BLOCK", 4)
+def test_replay_of_a_hot_conversation(spark):
     turns = [(1, 3 * n) for n in range(50)] + [(2, 7), (2, 1), (3, 0)]
     log = spark.createDataFrame(turns, "conv_id long, turn long").repartition(5)
     expected = [(1, 3 * n, n) for n in range(50)] + [(2, 1, 0), (2, 7, 1), (3, 0, 0)]
     assert rows(G.replay(log), "conv_id", "turn", "position") == sorted(expected, key=repr)
 
 
+@pytest.fixture
+def uneven(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_replay_of_equal_turns_uses_many_tasks(spark, uneven, monkeypatch):
+    """Two thirds of the log are one conversation of one turn; a third of that repeats one row."""
+    log = spark.createDataFrame(
+        [(1, 0, "user", "same") for _ in range(400)] + [(1, 0, "user", f"{n:04}") for n in range(800)]
+        + [(n // 2, n % 2, "bot", "x") for n in range(600)] + [(None, None, None, None), (None, 1, None, "z")],
+        "conv_id long, turn long, role string, text string",
+    ).repartition(7)
+    written = []
+    monkeypatch.setattr(K, "stage", lambda df, name: written.append(session.stage(df, name)) or written[-1])
+    found = rows(G.replay(log), "conv_id", "turn", "role", "text", "position")
+    expected, last = [], {}
+    first = (lambda v: (v is not None, v if v is not None else 0), lambda v: (v is not None, v or ""))
+    for row in sorted((tuple(r) for r in log.collect()), key=lambda r: (first[0](r[0]), first[0](r[1]), first[1](r[2]), first[1](r[3]))):
+        last[row[0]] = last.get(row[0], -1) + 1
+        expected.append((*row, last[row[0]]))
+    assert found == sorted(expected, key=repr)
+    tasks = [r["n"] for r in written[0].where("conv_id = 1").groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= 8 and max(tasks) < 400
+
+
 def test_append_and_clear(spark):
     schema = "conv_id long, turn long, role string, text string"
     first = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "b")], schema)

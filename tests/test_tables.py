@@ -78,6 +78,23 @@ def test_an_index_is_replaced_as_a_whole(spark):
     assert rows(old, "chunk_id") == [("a",)] and rows(D.open_index(spark, path), "chunk_id") == [("b",)]
 
 
+def test_broken_lines_are_kept_beside_the_rest(spark, tmp_path):
+    text = (
+        "date,commodity,market,state,min_price,max_price,modal_price\n"
+        "2024-01-01,a,m,s,1,2,3\n2024-01-02,b,m\n2024-13-01,c,m,s,1,2,3\n2024-01-03,d,m,s,1,2,3,4,5\n"
+        "2024-01-04,e,\"m, x\",s,x,,7\n,f,m,s,1,2,3\n"
+    )
+    (tmp_path / "p.csv").write_text(text)
+    path = new_folder(spark, "prices")
+    version = L.load_checked(spark, str(tmp_path), path)
+    found = rows(L.open_prices(spark, path, version=version), "commodity", "market", "min_price", "modal_price")
+    assert found == [("a", "m", 1.0, 3.0), ("e", "m, x", None, 7.0), ("f", "m", 1.0, 3.0)]
+    errors = rows(L.open_errors(spark, path))
+    assert [e for e, _ in errors] == ["bad date", "broken line", "broken line"]
+    assert errors[1][1] == "2024-01-02,b,m" and errors[2][1] == "2024-01-03,d,m,s,1,2,3,4,5"
+    assert '"date":"2024-13-01"' in errors[0][1] and '"commodity":"c"' in errors[0][1]
+
+
 # --- daily state ------------------------------------------------------------
 
 

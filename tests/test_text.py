@@ -192,6 +192,40 @@ def test_word_and_keyword_pairs_equal_brute_force(spark):
     assert found == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
 
 
+def test_a_null_order_comes_last_folded_or_joined(spark):
+    questions = spark.createDataFrame([(1, "corn and wheat"), (2, "corn"), (3, "rye"), (4, "maize"), (5, None)], "qid int, question string")
+    rules = spark.createDataFrame(
+        [(None, "corn", "late"), (3, "wheat", "b"), (3, "wheat", "a"), (None, "rye", None), (1, None, "never"), (0, "maize", "zero"), (None, "maize", "no")],
+        "priority int, keyword string, label string",
+    )
+    ways = [rows(M.intent_by_rules(questions, rules, "none", max_folded=n)) for n in (0, 100)]
+    assert ways[0] == ways[1] == [(1, "a"), (2, "late"), (3, "none"), (4, "zero"), (5, "none")]
+    gazetteer = spark.createDataFrame(
+        [("commodity", None, "corn", "Corn"), ("commodity", 2, "wheat", "Wheat"), ("commodity", None, "rye", None),
+         ("commodity", 1, None, "Never"), ("location", None, "maize", "B"), ("location", None, "maize", "A")],
+        "kind string, ord int, alias string, canonical string",
+    )
+    ways = [rows(M.entities_by_gazetteer(questions, gazetteer, default_commodity="Any", max_folded=n)) for n in (0, 100)]
+    assert ways[0] == ways[1]
+    assert ways[0] == [(1, "Wheat", None), (2, "Corn", None), (3, "Any", None), (4, "Any", "A"), (5, "Any", None)]
+
+
+def test_a_frequent_gram_is_no_key(spark, monkeypatch):
+    """Every text has the first gram of every keyword and the first word of every alias; few have their rarest ones."""
+    texts = spark.createDataFrame([(i, f"tra common {'trafalgar square' if i < 3 else 'train'} x{i}") for i in range(300)], "qid int, question string")
+    staged, original = {}, M.stage
+    monkeypatch.setattr(M, "stage", lambda df, name: staged.setdefault(name, original(df, name)))
+    rules = spark.createDataFrame([("trafalgar",), ("tram",), ("tra",)], "keyword string")
+    found = M.keyword_pairs(texts, rules, "qid", "question")
+    assert found.where("keyword = 'trafalgar'").count() == 3 and found.where("keyword = 'tra'").count() == 300
+    keys = {r["keyword"]: r["_key"] for r in staged["keyed"].collect()}
+    assert keys["tra"] == "tra" and keys["tram"] == "ram" and keys["trafalgar"] not in ("tra", "rai")
+    staged.clear()
+    found = M.word_pairs(texts, spark.createDataFrame([("common trafalgar",), ("tra",)], "alias string"), "qid", "question")
+    assert rows(found.groupBy("alias").count()) == [("common trafalgar", 3), ("tra", 300)]
+    assert {r["alias"]: r["_key"] for r in staged["keyed"].collect()}["common trafalgar"] == "trafalgar"
+
+
 def test_number_texts(spark):
     assert one(spark, render.money(F.lit(1234.5))) == "₹1,234.50"
     assert one(spark, render.money(F.lit(None).cast("double"), "No data found")) == "No data found"
