@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-from .common import by_value, free_name
+from .common import by_value, free_name, staged
 from .decontamination import words_of
 
 by_value(__name__)
 
-# Labelled documents that the chain is trained on at most; those of the smallest hashes.
+# Labelled documents that the chain is trained on at most. If there are more, this share of
+# them is dealt out alike among the combinations of categories, so that rare ones are seen.
 TRAIN_ROWS = 6_000
-DIMENSIONS = 1 << 18
+EVEN_SHARE = 0.25
 # Bytes of a word's beginning.
 BEGINNINGS = (4, 5)
 _SIGNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}| [|] ")
@@ -38,7 +40,7 @@ FOLDS = 3
 EPOCHS = 5
 # A slot is used if so many documents hold it and the classes differ by so many standard errors.
 LEAST_DOCUMENTS = 8
-LEAST_Z = 6.0
+LEAST_Z = 5.0
 RATE = 0.3
 RIDGE = 1e-5
 # Logits of earlier categories are clipped to this before they feed later models.
@@ -55,7 +57,7 @@ def words_at(text: str | None) -> np.ndarray:
     for size in BEGINNINGS:
         seen.update(b"^" + word[:size] for word in words if len(word) > size)
     seen.update(run[:4] for run in set(_SIGNS.findall((text or "").encode("utf-8", "surrogatepass"))))
-    return np.unique(np.fromiter((zlib.crc32(w) % DIMENSIONS for w in seen), np.int64))
+    return np.unique(np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)))
 
 
 def _logit(p: np.ndarray | float) -> np.ndarray | float:
@@ -65,46 +67,50 @@ def _logit(p: np.ndarray | float) -> np.ndarray | float:
 
 @dataclass(frozen=True)
 class Linear:
-    """Weights of words, of earlier categories, and an intercept."""
+    """Weights of the telling slots, in their order, of earlier categories, and an intercept."""
 
-    words: np.ndarray
+    slots: np.ndarray
+    weights: np.ndarray
     earlier: np.ndarray
     intercept: float
 
     def probability(self, at: np.ndarray, earlier: np.ndarray) -> float:
-        score = self.words[at].sum(dtype=np.float64) + earlier @ self.earlier + self.intercept
+        held = self.weights[np.isin(self.slots, at, assume_unique=True)]
+        score = held.sum() + earlier @ self.earlier + self.intercept
         return float(1 / (1 + np.exp(-np.clip(score, -500, 500))))
 
 
 def telling(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    """Slots whose share of documents differs between the classes beyond chance.
+    """Slots whose share of documents differs between the classes beyond chance, in ascending order.
 
     A long text holds thousands of words that tell nothing; their weights would add up.
+    Slots are all 32 bits of a hash: in fewer, such a text would hold a telling one by chance.
     """
-    with_it, without = [
-        np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(target == y)]), minlength=DIMENSIONS) for y in (1, 0)
-    ]
+    slots, place = np.unique(np.concatenate(rows), return_inverse=True)
+    toxic = np.repeat(target, [len(at) for at in rows])
+    with_it, without = (np.bincount(place, weights, len(slots)) for weights in (toxic, 1 - toxic))
     n1, n0 = target.sum(), len(target) - target.sum()
     both = (with_it + without) / (n1 + n0)
     spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
     z = np.where(with_it + without >= LEAST_DOCUMENTS, (with_it / n1 - without / n0) / spread, 0.0)
-    return np.abs(z) > LEAST_Z
+    return slots[np.abs(z) > LEAST_Z]
 
 
-def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, target: np.ndarray) -> Linear:
+def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Linear:
     """Logistic regression on telling slots by adaptive gradient steps, in a fixed order.
 
+    ``weight`` tells how many labelled documents a row stands for; it moves the
+    intercept from the classes' shares of the rows to their shares of all labels.
     One class alone gives its own prior; no rows at all give a low one.
     """
     prior = (target.sum() + 0.5) / (len(target) + 2)
-    weights = np.zeros(DIMENSIONS, np.float64)
     extra = np.zeros(earlier.shape[1] + 1)
     extra[-1] = np.log(prior / (1 - prior))
     if not len(target) or target.min() == target.max():
-        return Linear(weights.astype(np.float32), extra[:-1], extra[-1])
-    tell = telling(rows, target)
-    rows = [at[tell[at]] for at in rows]
-    squares, extra_squares = np.full(DIMENSIONS, 1.0), np.full(len(extra), 1.0)
+        return Linear(np.zeros(0, np.int64), np.zeros(0), extra[:-1], extra[-1])
+    slots = telling(rows, target)
+    rows = [np.flatnonzero(np.isin(slots, at, assume_unique=True)) for at in rows]
+    weights, squares, extra_squares = np.zeros(len(slots)), np.ones(len(slots)), np.ones(len(extra))
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
@@ -117,7 +123,8 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, target: np.ndarray)
             weights[at] -= RATE * slope / np.sqrt(squares[at])
             extra_squares += (off * given) ** 2
             extra -= RATE * off * given / np.sqrt(extra_squares)
-    return Linear(weights.astype(np.float32), extra[:-1], float(extra[-1]))
+    moved = np.log(weight[target == 1].mean() / weight[target == 0].mean())
+    return Linear(slots, weights, extra[:-1], float(extra[-1] + moved))
 
 
 @dataclass(frozen=True)
@@ -135,30 +142,31 @@ class Chain:
         return found
 
 
-def _best_threshold(p: np.ndarray, target: np.ndarray) -> float:
+def _best_threshold(p: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
     """Where out-of-fold predictions have their best F1; 0.5 if there is one class."""
     if not len(target) or target.min() == target.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(target[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + target.sum())
+    hits = np.cumsum((weight * target)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * target).sum())
     best = int(np.argmax(f1))
     after = p[order[best + 1]] if best + 1 < len(p) else 0.0
     return float((p[order[best]] + after) / 2)
 
 
-def fit_chain(rows: list[np.ndarray], folds: np.ndarray, targets: dict[str, np.ndarray]) -> Chain:
+def fit_chain(rows: list[np.ndarray], folds: np.ndarray, targets: dict[str, np.ndarray], weight: np.ndarray | None = None) -> Chain:
     """Fit the categories of ``targets`` in their order; ``folds`` numbers each row's fold."""
+    weight = np.ones(len(rows)) if weight is None else weight
     earlier = np.zeros((len(rows), 0))
     models, thresholds = [], []
     for target in targets.values():
         unseen = np.zeros(len(rows))
         for fold in range(FOLDS):
             learn, hold = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
-            part = fit_linear([rows[i] for i in learn], earlier[learn], target[learn])
+            part = fit_linear([rows[i] for i in learn], earlier[learn], target[learn], weight[learn])
             unseen[hold] = [part.probability(rows[i], earlier[i]) for i in hold]
-        models.append(fit_linear(rows, earlier, target))
-        thresholds.append(_best_threshold(unseen, target))
+        models.append(fit_linear(rows, earlier, target, weight))
+        thresholds.append(_best_threshold(unseen, target, weight))
         earlier = np.column_stack((earlier, _logit(unseen)))
     return Chain(tuple(targets), tuple(models), tuple(thresholds))
 
@@ -167,7 +175,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slots = [words_at(text.as_py()) for text in batch.column(0)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array(slots, pa.list_(pa.int32()))], ["h", "marks", "at"]
+            [batch.column(1), batch.column(2), pa.array(slots, pa.list_(pa.int64()))], ["h", "marks", "at"]
         )
 
 
@@ -181,27 +189,45 @@ def train(
 ) -> Chain:
     """A chain of ``categories``, name to condition on ``labels``, in their order.
 
-    Labelled documents are taken by the hash of their id up to ``train_rows``. A
-    document with several labels has a category if one of them says so; labels without
-    an id, with an unknown (null) condition, or without a document teach nothing.
+    All labelled documents are taken if they are ``train_rows`` at most. Of more, each
+    combination of categories gives some, those of the smallest hashes of their id. A
+    document with several labels has a category if one of them says so, and so have
+    equal texts; labels without an id, with an unknown (null) condition, or without a
+    document teach nothing and take no one's place.
     """
     marks = F.array(*[condition.cast("double") for condition in categories.values()])
     known = labels.select(F.col(id_col).cast("long").alias("i"), marks.alias("marks"))
     known = known.where(F.col("i").isNotNull() & F.forall("marks", lambda m: m.isNotNull()))
-    each = [F.max(F.get("marks", i)) for i in range(len(categories))]
-    known = known.groupBy("i").agg(F.array(*each).alias("marks"))
-    sample = known.orderBy(F.xxhash64("i"), "i").limit(train_rows)
+    each = F.array(*[F.max(F.get("marks", i)) for i in range(len(categories))])
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
+    known = known.groupBy("i").agg(each.alias("marks")).join(texts.select(F.col("d").alias("i")), "i", "left_semi")
+    known = staged(known, "labels")
+    sample, stands_for = _sample(known, train_rows)
     # The sample has at most train_rows rows of a few numbers each.
     joined = texts.join(F.broadcast(sample), F.col("d") == F.col("i"))
     seen = joined.select("text", F.xxhash64("text").alias("h"), "marks").mapInArrow(
-        _sampled, "h long, marks array<double>, at array<int>"
+        _sampled, "h long, marks array<double>, at array<long>"
     )
-    rows = seen.groupBy("h").agg(F.max("marks").alias("marks"), F.max("at").alias("at")).orderBy("h").limit(train_rows).collect()
+    rows = seen.groupBy("h").agg(each.alias("marks"), F.max("at").alias("at")).orderBy("h").limit(train_rows).collect()
     targets = np.array([r["marks"] for r in rows], float).reshape(len(rows), len(categories))
     folds = np.array([r["h"] % FOLDS for r in rows], int)
     slots = [np.array(r["at"], np.int64) for r in rows]
-    return fit_chain(slots, folds, {name: targets[:, i] for i, name in enumerate(categories)})
+    weight = np.array([stands_for.get(tuple(r["marks"]), 1.0) for r in rows])
+    return fit_chain(slots, folds, {name: targets[:, i] for i, name in enumerate(categories)}, weight)
+
+
+def _sample(known: DataFrame, train_rows: int) -> tuple[DataFrame, dict[tuple, float]]:
+    """Some of the labelled ids (i, marks), and how many ids a taken one stands for, by combination."""
+    counts = {tuple(r["marks"]): r["n"] for r in known.groupBy("marks").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if total <= train_rows:
+        return known, {}
+    even, share = EVEN_SHARE * train_rows / len(counts), (1 - EVEN_SHARE) * train_rows / total
+    taken = {marks: min(n, max(1, int(even + share * n))) for marks, n in counts.items()}
+    place = F.row_number().over(Window.partitionBy("marks").orderBy(F.xxhash64("i"), "i"))
+    most = F.coalesce(*(F.when(F.col("marks") == F.array(*map(F.lit, marks)), F.lit(n)) for marks, n in taken.items()))
+    ranked = known.withColumn("place", place).where(F.col("place") <= train_rows)  # cut before the shuffle
+    return ranked.where(F.col("place") <= most).drop("place"), {marks: counts[marks] / n for marks, n in taken.items()}
 
 
 def predict(chain: Chain, docs: DataFrame, text_col: str = "text", output: str = "categories") -> DataFrame:
@@ -213,7 +239,7 @@ def predict(chain: Chain, docs: DataFrame, text_col: str = "text", output: str =
     names = list(chain.categories)
     kind = T.StructType([T.StructField(name, T.DoubleType()) for name in names])
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(chain)  # one megabyte a category, whatever the input
+    shared = context.broadcast(chain)  # the telling slots of a bounded sample
 
     @F.pandas_udf(kind)
     def score(texts: pd.Series) -> pd.DataFrame:

@@ -71,6 +71,28 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean(toxic) > 0.95 and np.mean(clean) < 0.01
 
 
+def test_equal_texts_have_each_category_that_one_of_them_has(spark):
+    docs = spark.createDataFrame([(i, f"plain {i % 50} words" if i % 2 else f"foul {i % 50} words") for i in range(400)], "doc_id long, text string")
+    # Of two equal texts one is labelled bad and the other toxic.
+    marks = spark.createDataFrame([(i, 0 if i < 100 else 1, int(i >= 100 and i % 2 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"] for r in toxicity.toxic_documents(docs, marks).collect()}
+    assert found == set(range(0, 400, 2))
+
+
+def test_a_rare_category_is_sampled(spark):
+    """1 label in 500 is toxic, most labels have no document, and the sample is a hundredth of the rest."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.lit("some words"), (F.col("id") % 97).cast("string"), F.when(F.col("id") % 500 == 0, F.lit("vile"))).alias("text"),
+    )
+    marks = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 500 == 0).cast("int").alias("toxic"))
+    chain = toxicity.train(docs, marks, {"low": F.col("quality") == 0, "toxic": F.col("toxic") == 1}, train_rows=200)
+    found = toxicity.predict(chain, docs).where("categories.is_toxic")
+    assert found.count() == 40 and found.where("doc_id % 500 = 0").count() == 40
+    clean = chain.probabilities("some words 5")
+    assert clean[1] < 0.02
+
+
 def test_toxicity_of_odd_documents(spark):
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 0), (99, 0, 0), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(odd(spark), marks, {"low": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
