@@ -2,8 +2,9 @@
 
 Texts are range-partitioned and sorted by document id, encoded, and packed into blocks
 of about ``BLOCK_TOKENS`` ids of whole documents. In each block frequent pairs of ids
-are replaced by nonterminals, again and again; a round replaces all pairs at once that
-are frequent, don't overlap and are more frequent than the pairs they would overlap.
+are replaced by nonterminals until none is left: first in rounds, which replace all pairs
+at once that are frequent, don't overlap and are more frequent than those they would
+overlap, and when a round gains little, pair by pair, the most frequent one first.
 No pair reaches over the end of a document, so any document, and any stretch of one,
 can be decoded alone.
 
@@ -25,9 +26,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,14 +43,13 @@ by_value(__name__)
 
 END = 2
 BLOCK_TOKENS = 1 << 19
-ROUNDS = 5
 # A rule costs 12 bytes and a use saves 2 to 4, so rarer pairs don't pay.
 LEAST_USES = 6
-# A round that shortens the block by less than this share is the last one.
+# After a round that shortens the block by less than this share, pairs are replaced one by one.
 LEAST_GAIN = 0.02
 MAX_REMEMBERED = 1_200_000
 # Characters of texts that are encoded together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 22
 STOPS = ".,"
 
 # Letters, digits, punctuation and blanks that every Unicode version classes alike.
@@ -103,7 +106,7 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)])]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Add chunks to those known; the pre-tokeniser also cuts between a word and its stop."""
         known, stops = self.known, self.stops
         stopped = []
@@ -116,7 +119,7 @@ class Encoder:
                     words.add(word)
             else:
                 words.add(chunk)
-        new = sorted(words)
+        new = list(words)
         if new:
             known.update(zip(new, self._encode_chunks(new)))
         for chunk, word in stopped:
@@ -125,32 +128,42 @@ class Encoder:
                 stops[stop] = self._encode(stop)
             known[chunk] = known[word] + stops[stop]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of some texts, of bounded size together; what is new in them is learnt at once."""
         if len(self.known) > MAX_REMEMBERED:
             self.known.clear()
-        out: list = []
-        waiting: list[tuple[list[bytes | None], list[int], list[str]]] = []
-        new: set[str] = set()
-        for text in texts:
-            if self._is_odd(text):
-                out.append(self._encode(text or ""))
-                continue
-            chunks = text.replace("\n", " \n").split(" ")
-            head, chunks[0] = chunks[0], ""
-            parts = list(map(self.known.get, chunks))
-            parts[0] = self._encode(head)
-            if None in parts:
-                at = [i for i, part in enumerate(parts) if part is None]
-                unknown = [chunks[i] for i in at]
-                new.update(unknown)
-                waiting.append((parts, at, unknown))
-            out.append(parts)
-        self._learn(new)
-        for parts, at, unknown in waiting:
-            for i, chunk in zip(at, unknown):
-                parts[i] = self.known[chunk]
-        return [parts if isinstance(parts, bytes) else b"".join(parts) for parts in out]
+        odd = [self._is_odd(text) for text in texts]
+        plain = iter(self._encode_plain([text for text, o in zip(texts, odd) if not o]))
+        return [np.frombuffer(self._encode(text or ""), "<u4") if o else next(plain) for text, o in zip(texts, odd)]
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Each distinct chunk of the texts is looked up once, and ids are put together by its number."""
+        if not texts:
+            return []
+        spaced = pa.array([text.replace("\n", " \n") for text in texts], pa.large_string())
+        chunks = pc.split_pattern(spaced, " ")
+        offsets, flat = chunks.offsets.to_numpy(), chunks.flatten()
+        coded = flat.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if "" not in self.known:  # a blank at the end of a text
+            self.known[""] = self._encode(" ")
+        parts = list(map(self.known.get, names))
+        unknown = [i for i, part in enumerate(parts) if part is None]
+        self._learn([names[i] for i in unknown])
+        for i in unknown:
+            parts[i] = self.known[names[i]]
+        # A text's first chunk has no blank before it.
+        heads = {head: self._encode(head) for head in set(flat.take(pa.array(offsets[:-1])).to_pylist())}
+        number = {head: len(parts) + i for i, head in enumerate(heads)}
+        parts += heads.values()
+        of = coded.indices.to_numpy().astype(np.int64)
+        of[offsets[:-1]] = [number[head] for head in flat.take(pa.array(offsets[:-1])).to_pylist()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[of]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(starts[of] - ends + each, each)]
+        return np.split(ids, ends[offsets[1:-1] - 1])
 
     @staticmethod
     def _is_odd(text: str | None) -> bool:
@@ -160,7 +173,7 @@ class Encoder:
         return not _plain(text) or not text.isascii() and _ODD.search(text) is not None
 
     def __call__(self, text: str | None) -> bytes:
-        return self.encode([text])[0]
+        return self.encode([text])[0].tobytes()
 
 
 def _plain(text: str) -> bool:
@@ -171,12 +184,21 @@ def _plain(text: str) -> bool:
 # --- Re-Pair -----------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules) of a block of ids below ``base``; no pair holds the end id."""
-    symbols = ids.astype(np.uint32)
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules) of a block of ids below ``base``; no pair holds the end id.
+
+    In the symbols no pair is left that has ``LEAST_USES`` uses without overlap.
+    """
+    symbols, rules = _in_rounds(ids.astype(np.uint32), base)
+    symbols, more = _one_by_one(symbols.astype(np.int64), base + sum(map(len, rules)))
+    rules.append(np.array(more, np.int64).reshape(-1, 2))
+    return symbols, np.concatenate(rules).astype(np.int64)
+
+
+def _in_rounds(symbols: np.ndarray, following: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Replace many pairs at once, as long as a round gains much."""
     rules: list[np.ndarray] = []
-    following = base
-    for turn in range(rounds):
+    for turn in count():
         if len(symbols) < 2 * LEAST_USES:
             break
         bits = max(12, min(18, len(symbols).bit_length() - 1))
@@ -218,8 +240,71 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarr
         symbols = symbols[keep]
         if before - len(symbols) < LEAST_GAIN * before:
             break
-    found = np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64)
-    return symbols.astype(np.int64), found
+    return symbols, rules
+
+
+def _one_by_one(symbols: np.ndarray, following: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Replace every frequent pair that is left, the most frequent one first.
+
+    Where a pair stands is found once, for pairs that are frequent now; a rule makes new
+    pairs only beside its uses, and all others only get rarer.
+    """
+    n = len(symbols)
+    rules: list[tuple[int, int]] = []
+    after, before, there = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    where = _frequent(symbols)
+    queue = [(-len(at), pair) for pair, at in where.items()]
+    heapify(queue)
+    while queue:
+        uses, pair = heappop(queue)
+        taken, free = [], -1
+        for p in sorted(where.get(pair, ())):
+            q = int(after[p])
+            if p >= free and there[p] and q < n and symbols[p] == pair[0] and symbols[q] == pair[1]:
+                taken.append(p)
+                free = q + 1
+        if len(taken) < LEAST_USES:
+            where.pop(pair, None)
+            continue
+        if len(taken) < -uses:  # others may be more frequent by now
+            where[pair] = taken
+            heappush(queue, (-len(taken), pair))
+            continue
+        del where[pair]
+        rules.append(pair)
+        for p in taken:
+            q = int(after[p])
+            r = int(after[q])
+            symbols[p], there[q], after[p] = following, False, r
+            if r < n:
+                before[r] = p
+        fresh: dict[tuple[int, int], set[int]] = {}
+        for p in taken:
+            for one, two in ((int(before[p]), p), (p, int(after[p]))):
+                if one >= 0 and two < n and symbols[one] != END and symbols[two] != END:
+                    fresh.setdefault((int(symbols[one]), int(symbols[two])), set()).add(one)
+        for new, at in fresh.items():
+            if len(at) >= LEAST_USES:
+                where[new] = list(at)
+                heappush(queue, (-len(at), new))
+        following += 1
+    return symbols[there], rules
+
+
+def _frequent(symbols: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Where the pairs stand that may have ``LEAST_USES`` uses; overlapping ones are all listed."""
+    left, right = symbols[:-1].astype(np.uint64), symbols[1:].astype(np.uint64)
+    pairs = left << np.uint64(32) | right
+    slot = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+    able = (np.bincount(slot.astype(np.int64), minlength=1 << 18) >= LEAST_USES)[slot]
+    at = np.flatnonzero(able & (left != END) & (right != END))
+    found, of, uses = np.unique(pairs[at], return_inverse=True, return_counts=True)
+    at, of = at[uses[of] >= LEAST_USES], of[uses[of] >= LEAST_USES]
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order])) + 1
+    groups = np.split(at[order], cuts) if len(at) else []
+    keys = found[uses >= LEAST_USES].tolist()
+    return {(key >> 32, key & 0xFFFFFFFF): group.tolist() for key, group in zip(keys, groups)}
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -268,8 +353,8 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
 # --- files -------------------------------------------------------------------
 
 
-def _block_row(shard: int, block: int, before: int, base: int, docs: list[int | None], parts: list[bytes]) -> dict:
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def _block_row(shard: int, block: int, before: int, base: int, docs: list[int | None], parts: list[np.ndarray]) -> dict:
+    ids = np.concatenate(parts)
     symbols, rules = compress(ids, base)
     ends = np.flatnonzero(symbols == END)
     width = 2 if base + len(rules) <= 1 << 16 else 4
@@ -280,7 +365,7 @@ def _block_row(shard: int, block: int, before: int, base: int, docs: list[int |
         "n_tokens": len(ids),
         "base": base,
         "doc_ids": docs,
-        "doc_tokens": [len(part) // 4 for part in parts],
+        "doc_tokens": [len(part) for part in parts],
         "doc_symbols": _symbols_per_document(ends, symbols, parts),
         "rules": rules.astype("<u4").tobytes(),
         "lengths": expansion_lengths(rules, base).astype("<u4").tobytes(),
@@ -289,14 +374,14 @@ def _block_row(shard: int, block: int, before: int, base: int, docs: list[int |
     }
 
 
-def _symbols_per_document(ends: np.ndarray, symbols: np.ndarray, parts: list[bytes]) -> list[int]:
+def _symbols_per_document(ends: np.ndarray, symbols: np.ndarray, parts: list[np.ndarray]) -> list[int]:
     """Symbols of each document: up to its last end id, as a text may hold that id too."""
-    inner = [np.count_nonzero(np.frombuffer(part, "<u4") == END) for part in parts]
+    inner = [np.count_nonzero(part == END) for part in parts]
     last = ends[np.cumsum(inner) - 1]
     return np.diff(np.concatenate(([-1], last))).tolist()
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[int | None, bytes]]:
+def _encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:
     """(id, ids) of every row, encoded in groups of about ``GROUP_CHARS``."""
     docs: list[int | None] = []
     texts: list[str | None] = []
@@ -320,7 +405,7 @@ def _packer(path: str):
             cache[path] = Encoder(path)
         encode = cache[path]
         base = max(encode.vocabulary, END + 1)
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4")
         shard = TaskContext.get().partitionId()
         schema = pa.schema(
             [("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64())]
@@ -328,7 +413,7 @@ def _packer(path: str):
             + [("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("symbols", pa.binary())]
         )
         docs: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = before = block = 0
 
         def flush() -> pa.RecordBatch:
@@ -336,10 +421,10 @@ def _packer(path: str):
             return pa.RecordBatch.from_pylist([row], schema)
 
         for doc_id, ids in _encoded(batches, encode):
-            part = ids + end
+            part = np.concatenate((ids, end))
             docs.append(doc_id)
             parts.append(part)
-            held += len(part) // 4
+            held += len(part)
             if held >= BLOCK_TOKENS:
                 yield flush()
                 before, block, held = before + held, block + 1, 0

@@ -350,6 +350,27 @@ def test_grammar_round_trip():
     assert len(symbols) < 3000
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(1)
+    text = np.concatenate([rng.integers(3, 300, 12) for _ in range(200)])
+    blocks = [
+        rng.integers(1, 40, 30_000),
+        np.full(5000, 7),
+        np.concatenate([text[(at := int(rng.integers(0, 2000))) : at + 60] for _ in range(800)]),
+        np.minimum(rng.zipf(1.3, 60_000), 50_000),
+    ]
+    for ids in blocks:
+        symbols, rules = token_files.compress(ids.astype("<u4"), 60_000)
+        assert np.array_equal(token_files.expand(symbols, rules, token_files.expansion_lengths(rules, 60_000), 60_000), ids)
+        uses, free = defaultdict(int), {}
+        for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            if 2 not in pair and i >= free.get(pair, 0):
+                uses[pair] += 1
+                free[pair] = i + 2
+        assert max(uses.values(), default=0) < token_files.LEAST_USES
+        assert all((np.array(pair) != 2).all() for pair in rules)
+
+
 def plain_index(rows):
     tokenizer, at, out = Tokenizer.from_file(TOKENIZER), 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
