@@ -32,6 +32,8 @@ TILE = 256
 # A product of more codes than this might not be a whole number in float32.
 EXACT_WIDTH = 1_024
 SLACK = 1e-6
+# Powers of two beyond which a double product or sum may lose more than its last digits.
+LARGEST, LEAST = 1022, -960
 
 
 def usable(vector: Column) -> Column:
@@ -55,6 +57,12 @@ def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return codes, scales, np.linalg.norm(vectors, axis=1), np.linalg.norm(back, axis=1), rest
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector over a power of two, which is exact, so that its largest entry is about one; the powers."""
+    powers = np.frexp(np.abs(vectors).max(axis=1))[1].astype(np.int64)
+    return np.ldexp(vectors, -powers[:, None]), powers
+
+
 def tile_product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Products of int8 codes as whole numbers, through float32 pieces that hold them."""
     out = np.zeros((len(left), len(right)))
@@ -66,7 +74,8 @@ def tile_product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def inner(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in the order of the components."""
-    return np.cumsum(query[None, :] * vectors, axis=1)[:, -1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.cumsum(query[None, :] * vectors, axis=1)[:, -1]
 
 
 def _search(k: int):
@@ -78,23 +87,37 @@ def _search(k: int):
         q_row, q_id = (column_of(queries, c).to_numpy() for c in ("row", "id"))
         v_row, v_id = (column_of(vectors, c).to_numpy() for c in ("of_row", "of_id"))
         asked, given = _matrix(column_of(queries, "vector")), _matrix(column_of(vectors, "of_vector"))
-        q_code, q_scale, q_norm, q_back, q_rest = quantised(asked)
-        v_code, v_scale, v_norm, v_back, v_rest = quantised(given)
+        # Bounds are of scaled vectors, so no norm leaves the range of a double; those of a
+        # query are compared over the power of the largest vector.
+        (near_one, q_power), (near_all, v_power) = scaled(asked), scaled(given)
+        shift = v_power - v_power.max()
+        power = q_power + v_power.max()
+        q_code, q_scale, q_norm, q_back, q_rest = quantised(near_one)
+        v_code, v_scale, v_norm, v_back, v_rest = quantised(near_all)
         found: list[tuple] = []
         for start in range(0, len(asked), TILE):
             part = slice(start, start + TILE)
             near = tile_product(q_code[part], v_code) * q_scale[part, None] * v_scale[None, :]
             off = q_rest[part, None] * v_norm[None, :] + q_back[part, None] * v_rest[None, :]
             off += SLACK * q_norm[part, None] * v_norm[None, :]
+            near, off = np.ldexp(near, shift[None, :]), np.ldexp(off, shift[None, :])
+            off += asked.shape[1] * np.finfo(np.float64).tiny
             own = q_row[part, None] == v_row[None, :]
             low = np.where(own, -np.inf, near - off)
             least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             left = (near + off >= least[:, None]) & ~own
+            # Where doubles overflow or vanish, unequal products have equal scores, and all count.
+            highest = np.log2(q_norm[part] * v_norm.max()) + power[part]
+            lowest = np.log2(np.maximum(np.abs(least), np.finfo(np.float64).tiny))
+            extreme = (highest > LARGEST) | (np.minimum(lowest, lowest + power[part]) < LEAST)
+            left[extreme] = ~own[extreme]
             for i in range(len(left)):
                 at = np.flatnonzero(left[i])
                 scores = inner(asked[start + i], given[at])
-                best = heapq.nlargest(k, zip(scores.tolist(), (-v_id[at]).tolist()))
-                found += [(q_row[start + i], q_id[start + i], -vec, score) for score, vec in best]
+                # A sum of opposite infinities is no number, and comes last.
+                ranked = np.where(np.isnan(scores), -np.inf, scores)
+                best = heapq.nlargest(k, zip((~np.isnan(scores)).tolist(), ranked.tolist(), (-v_id[at]).tolist()))
+                found += [(q_row[start + i], q_id[start + i], -vec, score if number else np.nan) for number, score, vec in best]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found), kinds)] if found else [pa.array([], kind) for kind in kinds], names)
 
     return search
@@ -114,7 +137,8 @@ def nearest(
     A query's own row isn't its candidate; a copy of it is. Ties go to the smaller id.
     Rows whose vector is null, empty, zero, or holds null or non-finite components, and
     rows without an id, are neither queries nor candidates. Only vectors of equal
-    length meet. A repeated query row has its neighbours once for each. With fewer
+    length meet. A score that a double can't hold is infinite, or NaN and last where
+    opposite infinities are added; equal scores are ties. A repeated query row has its neighbours once for each. With fewer
     candidates all are returned. Other columns are not read. An empty table, or one
     without queries, gives no rows.
     """
@@ -136,7 +160,7 @@ def nearest(
     given = [F.col(c).alias(f"of_{c}") for c in ("row", "id", "vector")]
     tiles = queries.select(*keys, "row", "id", "vector").groupBy(*keys).cogroup(vectors.select(*keys, *given).groupBy(*keys))
     heaps = tiles.applyInArrow(_search(k), "query_row long, query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     ranked = heaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

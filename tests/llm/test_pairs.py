@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from conftest import SF_SMALL
 from llm.odd import LONG, ODD, none, odd
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from harvestline.llm import block_join, decontamination, fuzzy_lines, simhash
@@ -232,3 +233,19 @@ def test_passages_of_odd_documents(spark, block_words):
 def test_passage_offsets():
     text = "Öl & the QUICK brown"
     assert [text[a:b] for a, b in decontamination.offsets_of(text, [0, 2], [1, 4])] == ["Öl", "QUICK brown"]
+
+
+@pytest.mark.parametrize("sizes", [(1e160,), (1e-160,), (1e-300,), (1e160, 1e-160, 1.0), (1e155, 1.0)])
+def test_neighbours_of_very_large_and_small_vectors(spark, sizes):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=5) * sizes[i % len(sizes)]).tolist()) for i in range(120)]
+    expected = []
+    for q, a in rows:
+        if q % 20 == 0:
+            with np.errstate(all="ignore"):
+                scores = [(float(np.cumsum(np.array(a) * np.array(b))[-1]), i) for i, b in rows if i != q]
+            scores.sort(key=lambda s: (np.isnan(s[0]), -s[0] if not np.isnan(s[0]) else 0, s[1]))
+            expected += [(q, r, i, repr(s)) for r, (s, i) in enumerate(scores[:20], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = block_join.nearest(table, F.col("vec_id") % 20 == 0, stripe=50)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["score"])) for r in found.collect()) == expected
