@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.functions import render
@@ -60,11 +60,15 @@ SELECT doc_id, CAST(doc_id AS varchar) || '_' || trim(regexp_replace(lower(trim(
        scheme, ordinal, text"""
 
 
+def _values() -> Column:
+    """A vector's entries in millionths, rounded down, as one text."""
+    numbers = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 1_000_000).cast("string"))
+    return F.array_join(numbers, ",").alias("vector")
+
+
 def index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = D.join_vectors(V.document_chunks(spark, sf_dir), V.chunk_vectors(spark, sf_dir))
-    return joined.select(
-        "chunk_id", "scheme", "text", F.size("embedding").cast("bigint").alias("width")
-    )
+    return joined.select("chunk_id", "scheme", "text", _values())
 
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,18 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = D.build_index(
         V.document_chunks(spark, sf_dir), V.chunk_vectors(spark, sf_dir), new_folder(spark, "index")
     )
-    return built.select("chunk_id", "scheme", "text", F.size("embedding").cast("bigint").alias("width"))
+    return built.select("chunk_id", "scheme", "text", _values())
+
+
+def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks, joined with vectors, written as an index, opened and searched."""
+    chunks = K.chunk_documents(V.table(spark, sf_dir, "documents"), paragraph_break="\n")
+    vectors = V.table(spark, sf_dir, "embeddings")
+    of = (F.col("doc_id") * 7 + F.col("ordinal")) % 400
+    given = chunks.select("chunk_id", of.alias("vec_id")).join(vectors, "vec_id").select("chunk_id", "embedding")
+    index = D.build_index(chunks.select("chunk_id", "scheme", "text"), given, new_folder(spark, "index"))
+    questions = vectors.where(F.col("vec_id") % 10 == 3).select(F.col("vec_id").alias("qid"), "embedding")
+    return N.neighbours(N.retrieve(questions, index, 3)).withColumn("distance", F.round("distance", 9))
 
 
 def index_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +204,8 @@ _INDEX = (
 )
 
 _JOINED = (
-    "SELECT chunk_id, scheme, text, CAST(len(embedding) AS bigint) AS width"
+    "SELECT chunk_id, scheme, text, array_to_string(list_transform(embedding,"
+    " lambda x: CAST(floor(CAST(x AS double) * 1000000) AS bigint)), ',') AS vector"
     f"{_INDEX} JOIN embeddings ON doc_id = vec_id"
 )
 
@@ -210,6 +226,19 @@ QUERIES = {
     ),
     "index_join": Query(index_join, _JOINED),
     "index_build": Query(index_build, _JOINED),
+    "chunk_retrieval": Query(
+        chunk_retrieval,
+        _chunks_sql("text", r"\n-{3,}\n", r"\n").replace("\nSELECT doc_id, CAST(doc_id", ",\nchunked AS (SELECT doc_id, CAST(doc_id")
+        + f""" FROM listed),
+given AS (SELECT chunk_id, embedding FROM chunked JOIN embeddings ON vec_id = (doc_id * 7 + ordinal) % 400),
+asked AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 10 = 3),
+ranked AS (
+  SELECT q.vec_id AS qid, c.chunk_id, {V.DISTANCE} AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, c.chunk_id) AS rank
+  FROM asked q CROSS JOIN given c
+)
+SELECT qid, chunk_id, rank, round(distance, 9) AS distance FROM ranked WHERE rank <= 3""",
+    ),
     "index_missing_vectors": Query(
         index_missing_vectors,
         f"SELECT chunk_id, scheme{_INDEX} WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",

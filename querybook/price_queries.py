@@ -347,13 +347,14 @@ def load_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded rows, and those left out by error, of files with broken lines and bad dates."""
     event, user = F.col("event_id"), F.col("user_id")
     csv = new_folder(spark, "csv")
-    V.table(spark, sf_dir, "events").select(
-        F.when(event % 7 == 0, F.lit("2024-99-01")).otherwise(F.col("ts").cast("date").cast("string")).alias("date"),
-        F.col("event_type").alias("commodity"),
-        F.concat(F.lit("m"), user.cast("string"), F.when(event % 10 == 0, F.lit(",extra")).otherwise(F.lit(""))).alias("market"),
-        F.lit("s").alias("state"),
-        *((user % n).cast("string").alias(f"{name}_price") for name, n in (("min", 10), ("max", 20), ("modal", 30))),
-    ).write.option("header", True).option("quote", "\u0000").csv(csv)  # no quotes, so a comma adds a cell
+    cells = (
+        F.when(event % 7 == 0, F.lit("2024-99-01")).otherwise(F.col("ts").cast("date").cast("string")),
+        F.col("event_type"), F.concat(F.lit("m"), user.cast("string")), F.when(event % 10 == 0, F.lit("extra")), F.lit("s"),
+        *((user % n).cast("string") for n in (10, 20, 30)),
+    )
+    header = "date,commodity,market,state,min_price,max_price,modal_price"
+    lines = V.table(spark, sf_dir, "events").select(F.concat_ws(",", *cells).alias(header))
+    lines.write.option("header", True).option("sep", "\u0001").csv(csv)  # whole lines, as they are
     path = new_folder(spark, "prices")
     version = L.load_checked(spark, csv, path)
     good = L.open_prices(spark, path, version=version).groupBy("commodity").agg(
