@@ -66,6 +66,18 @@ BLOCK = (
 # --- encoding ----------------------------------------------------------------
 
 
+def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, sizes) of parts, one after the other."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
     """The ids of a text as little-endian uint32.
 
@@ -84,7 +96,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
+        # A sign that every byte-level vocabulary has as one id.
+        self.stops = np.frombuffer(b"".join(self._encode(sign) for sign in STOPS), "<u4")
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(names.values()) + 1
         self.opens = np.zeros(self.vocabulary, bool)
@@ -106,28 +119,6 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)])]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add chunks to those known; the pre-tokeniser also cuts between a word and its stop."""
-        known, stops = self.known, self.stops
-        stopped = []
-        words = set()
-        for chunk in chunks:
-            word = chunk.rstrip(STOPS)
-            if word != chunk and word[-1:].isalpha():
-                stopped.append((chunk, word))
-                if word not in known:
-                    words.add(word)
-            else:
-                words.add(chunk)
-        new = list(words)
-        if new:
-            known.update(zip(new, self._encode_chunks(new)))
-        for chunk, word in stopped:
-            stop = chunk[len(word) :]
-            if stop not in stops:
-                stops[stop] = self._encode(stop)
-            known[chunk] = known[word] + stops[stop]
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of some texts, of bounded size together; what is new in them is learnt at once."""
         if len(self.known) > MAX_REMEMBERED:
@@ -136,34 +127,51 @@ class Encoder:
         plain = iter(self._encode_plain([text for text, o in zip(texts, odd) if not o]))
         return [np.frombuffer(self._encode(text or ""), "<u4") if o else next(plain) for text, o in zip(texts, odd)]
 
+    def _words(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct words, each as after a blank; those not known yet are learnt together."""
+        parts = list(map(self.known.get, names))
+        unknown = [i for i, part in enumerate(parts) if part is None]
+        new = [names[i] for i in unknown]
+        for i, part in zip(unknown, self._encode_chunks(new) if new else ()):
+            parts[i] = part
+        self.known.update((names[i], parts[i]) for i in unknown)
+        return parts
+
     def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Each distinct chunk of the texts is looked up once, and ids are put together by its number."""
+        """Each distinct word of the texts is looked up once, and ids are put together by its number."""
         if not texts:
             return []
         spaced = pa.array([text.replace("\n", " \n") for text in texts], pa.large_string())
         chunks = pc.split_pattern(spaced, " ")
         offsets, flat = chunks.offsets.to_numpy(), chunks.flatten()
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = coded.dictionary
+        # The pre-tokeniser also cuts between a word and its stop.
+        last = pc.utf8_slice_codeunits(distinct, -1)
+        bare = pc.utf8_slice_codeunits(distinct, 0, -1)
+        ends = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, -1))
+        stop = np.zeros(len(distinct), np.int64)
+        for i, sign in enumerate(STOPS, 1):
+            stop[pc.and_(ends, pc.equal(last, sign)).to_numpy(zero_copy_only=False)] = i
+        words = pc.if_else(pa.array(stop > 0), bare, distinct).dictionary_encode()
         if "" not in self.known:  # a blank at the end of a text
             self.known[""] = self._encode(" ")
-        parts = list(map(self.known.get, names))
-        unknown = [i for i, part in enumerate(parts) if part is None]
-        self._learn([names[i] for i in unknown])
-        for i in unknown:
-            parts[i] = self.known[names[i]]
+        ids, starts, sizes = _laid_out(self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        word = words.indices.to_numpy()
+        # All distinct chunks: a word's ids and then its stop's one id.
+        whole = sizes[word] + (stop > 0)
+        until = np.cumsum(whole)
+        laid = ids[np.minimum(_runs(starts[word], whole), max(len(ids) - 1, 0))]
+        laid[until[stop > 0] - 1] = self.stops[stop[stop > 0] - 1]
         # A text's first chunk has no blank before it.
-        heads = {head: self._encode(head) for head in set(flat.take(pa.array(offsets[:-1])).to_pylist())}
-        number = {head: len(parts) + i for i, head in enumerate(heads)}
-        parts += heads.values()
+        firsts = flat.take(pa.array(offsets[:-1])).dictionary_encode()
+        heads, head_starts, head_sizes = _laid_out([self._encode(head) for head in firsts.dictionary.to_pylist()])
         of = coded.indices.to_numpy().astype(np.int64)
-        of[offsets[:-1]] = [number[head] for head in flat.take(pa.array(offsets[:-1])).to_pylist()]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[of]
-        ends = np.cumsum(each)
-        ids = np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(starts[of] - ends + each, each)]
-        return np.split(ids, ends[offsets[1:-1] - 1])
+        of[offsets[:-1]] = len(distinct) + firsts.indices.to_numpy()
+        starts = np.concatenate((until - whole, len(laid) + head_starts))
+        sizes = np.concatenate((whole, head_sizes))[of]
+        found = np.concatenate((laid, heads))[_runs(starts[of], sizes)]
+        return np.split(found, np.cumsum(sizes)[offsets[1:-1] - 1])
 
     @staticmethod
     def _is_odd(text: str | None) -> bool:
