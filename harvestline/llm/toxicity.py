@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import by_value, free_name, staged
 from .decontamination import words_of
@@ -57,7 +57,7 @@ def words_at(text: str | None) -> np.ndarray:
     for size in BEGINNINGS:
         seen.update(b"^" + word[:size] for word in words if len(word) > size)
     seen.update(run[:4] for run in set(_SIGNS.findall((text or "").encode("utf-8", "surrogatepass"))))
-    return np.unique(np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)))
+    return np.unique(np.fromiter(map(zlib.crc32, seen), np.uint32, len(seen)))
 
 
 def _logit(p: np.ndarray | float) -> np.ndarray | float:
@@ -65,6 +65,13 @@ def _logit(p: np.ndarray | float) -> np.ndarray | float:
     return np.clip(np.log(p / (1 - p)), -STEEPEST, STEEPEST) / STEEPEST
 
 
+def held_slots(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of ``slots`` a text has; both are in ascending order."""
+    if not len(at):
+        return np.zeros(len(slots), bool)
+    return at[np.minimum(np.searchsorted(at, slots), len(at) - 1)] == slots
+
+
 @dataclass(frozen=True)
 class Linear:
     """Weights of the telling slots, in their order, of earlier categories, and an intercept."""
@@ -75,8 +82,7 @@ class Linear:
     intercept: float
 
     def probability(self, at: np.ndarray, earlier: np.ndarray) -> float:
-        held = self.weights[np.isin(self.slots, at, assume_unique=True)]
-        score = held.sum() + earlier @ self.earlier + self.intercept
+        score = self.weights[held_slots(self.slots, at)].sum() + earlier @ self.earlier + self.intercept
         return float(1 / (1 + np.exp(-np.clip(score, -500, 500))))
 
 
@@ -107,9 +113,9 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, target: np.ndarray,
     extra = np.zeros(earlier.shape[1] + 1)
     extra[-1] = np.log(prior / (1 - prior))
     if not len(target) or target.min() == target.max():
-        return Linear(np.zeros(0, np.int64), np.zeros(0), extra[:-1], extra[-1])
+        return Linear(np.zeros(0, np.uint32), np.zeros(0), extra[:-1], extra[-1])
     slots = telling(rows, target)
-    rows = [np.flatnonzero(np.isin(slots, at, assume_unique=True)) for at in rows]
+    rows = [np.flatnonzero(held_slots(slots, at)) for at in rows]
     weights, squares, extra_squares = np.zeros(len(slots)), np.ones(len(slots)), np.ones(len(extra))
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
@@ -173,10 +179,8 @@ def fit_chain(rows: list[np.ndarray], folds: np.ndarray, targets: dict[str, np.n
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots = [words_at(text.as_py()) for text in batch.column(0)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), batch.column(2), pa.array(slots, pa.list_(pa.int64()))], ["h", "marks", "at"]
-        )
+        slots = [words_at(text.as_py()).astype("<u4").tobytes() for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(slots, pa.binary())], ["h", "marks", "at"])
 
 
 def train(
@@ -206,12 +210,12 @@ def train(
     # The sample has at most train_rows rows of a few numbers each.
     joined = texts.join(F.broadcast(sample), F.col("d") == F.col("i"))
     seen = joined.select("text", F.xxhash64("text").alias("h"), "marks").mapInArrow(
-        _sampled, "h long, marks array<double>, at array<long>"
+        _sampled, "h long, marks array<double>, at binary"
     )
     rows = seen.groupBy("h").agg(each.alias("marks"), F.max("at").alias("at")).orderBy("h").limit(train_rows).collect()
     targets = np.array([r["marks"] for r in rows], float).reshape(len(rows), len(categories))
     folds = np.array([r["h"] % FOLDS for r in rows], int)
-    slots = [np.array(r["at"], np.int64) for r in rows]
+    slots = [np.frombuffer(r["at"], "<u4") for r in rows]
     weight = np.array([stands_for.get(tuple(r["marks"]), 1.0) for r in rows])
     return fit_chain(slots, folds, {name: targets[:, i] for i, name in enumerate(categories)}, weight)
 
@@ -224,10 +228,9 @@ def _sample(known: DataFrame, train_rows: int) -> tuple[DataFrame, dict[tuple, f
         return known, {}
     even, share = EVEN_SHARE * train_rows / len(counts), (1 - EVEN_SHARE) * train_rows / total
     taken = {marks: min(n, max(1, int(even + share * n))) for marks, n in counts.items()}
-    place = F.row_number().over(Window.partitionBy("marks").orderBy(F.xxhash64("i"), "i"))
-    most = F.coalesce(*(F.when(F.col("marks") == F.array(*map(F.lit, marks)), F.lit(n)) for marks, n in taken.items()))
-    ranked = known.withColumn("place", place).where(F.col("place") <= train_rows)  # cut before the shuffle
-    return ranked.where(F.col("place") <= most).drop("place"), {marks: counts[marks] / n for marks, n in taken.items()}
+    # One bounded top list a combination, so none is gathered in one task.
+    first = [known.where(F.col("marks") == F.array(*map(F.lit, marks))).orderBy(F.xxhash64("i"), "i").limit(n) for marks, n in taken.items()]
+    return reduce(DataFrame.unionByName, first), {marks: counts[marks] / n for marks, n in taken.items()}
 
 
 def predict(chain: Chain, docs: DataFrame, text_col: str = "text", output: str = "categories") -> DataFrame:
