@@ -94,20 +94,21 @@ def _search(k: int):
         power = q_power + v_power.max()
         q_code, q_scale, q_norm, q_back, q_rest = quantised(near_one)
         v_code, v_scale, v_norm, v_back, v_rest = quantised(near_all)
+        longest, weight = v_norm.max(), np.ldexp(1.0, shift)
+        v_scale, v_norm, v_rest = v_scale * weight, v_norm * weight, v_rest * weight
         found: list[tuple] = []
         for start in range(0, len(asked), TILE):
             part = slice(start, start + TILE)
             near = tile_product(q_code[part], v_code) * q_scale[part, None] * v_scale[None, :]
             off = q_rest[part, None] * v_norm[None, :] + q_back[part, None] * v_rest[None, :]
             off += SLACK * q_norm[part, None] * v_norm[None, :]
-            near, off = np.ldexp(near, shift[None, :]), np.ldexp(off, shift[None, :])
             off += asked.shape[1] * np.finfo(np.float64).tiny
             own = q_row[part, None] == v_row[None, :]
             low = np.where(own, -np.inf, near - off)
             least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             left = (near + off >= least[:, None]) & ~own
             # Where doubles overflow or vanish, unequal products have equal scores, and all count.
-            highest = np.log2(q_norm[part] * v_norm.max()) + power[part]
+            highest = np.log2(q_norm[part] * longest) + power[part]
             lowest = np.log2(np.maximum(np.abs(least), np.finfo(np.float64).tiny))
             extreme = (highest > LARGEST) | (np.minimum(lowest, lowest + power[part]) < LEAST)
             left[extreme] = ~own[extreme]
