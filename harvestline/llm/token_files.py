@@ -47,9 +47,9 @@ BLOCK_TOKENS = 1 << 19
 LEAST_USES = 6
 # After a round that shortens the block by less than this share, pairs are replaced one by one.
 LEAST_GAIN = 0.02
-MAX_REMEMBERED = 1_200_000
+MAX_REMEMBERED = 600_000
 # Characters of texts that are encoded together.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 21
 STOPS = ".,"
 
 # Letters, digits, punctuation and blanks that every Unicode version classes alike.
