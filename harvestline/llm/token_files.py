@@ -47,7 +47,7 @@ BLOCK_TOKENS = 1 << 19
 LEAST_USES = 6
 # After a round that shortens the block by less than this share, pairs are replaced one by one.
 LEAST_GAIN = 0.02
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 600_000
 # Characters of texts that are encoded together.
 GROUP_CHARS = 1 << 21
 STOPS = ".,"
@@ -404,8 +404,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tup
                 yield from zip(docs, encode.encode(texts))
                 docs, texts, size = [], [], 0
     yield from zip(docs, encode.encode(texts))
-    encode.known.clear()  # workers outlive the task, and other work shares their memory
-    pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()  # workers outlive the task, and other work shares their memory
 
 
 def _packer(path: str):
