@@ -11,6 +11,8 @@ forest is fitted on a bounded sample of them and applied to all.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import re
 from collections import Counter
@@ -151,14 +153,36 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def fixed_findings() -> list[tuple[str, int, int, str | None, float]]:
+    """(text, start, end, path, label) of made-up keys and of runs that are none.
+
+    They are part of every training set, so that it has both classes and findings that
+    are not sure by themselves get a score whatever else the documents hold.
+    """
+    found = []
+    for i in range(24):
+        digest = hashlib.sha256(f"finding {i}".encode()).digest()
+        key = base64.urlsafe_b64encode(digest).decode()[: 20 + i % 24]
+        name = NAMES[i % len(NAMES)]
+        around = (f'{name} = "', '"') if i % 2 else (f"{name}: ", "")
+        words = "-".join(COMMON[(i + k) % len(COMMON)] for k in range(3))
+        for before, run, after, label in (
+            (*around[:1], key, *around[1:], 1.0),
+            ("see ", f"{words}-{i:03d}", " there", 0.0),
+            ("order ", str(int.from_bytes(digest[:6], "big")).zfill(LEAST + 2), " was sent.", 0.0),
+        ):
+            found.append((before + run + after, len(before), len(before) + len(run), None, label))
+    return found
+
+
 def _trained(labelled: DataFrame, train_findings: int):
-    """A forest on a bounded sample of each class, or None if there is but one class."""
+    """A forest on a bounded sample of each class and the fixed findings."""
     known = labelled.where("label is not null").select("features", "label").distinct()
     place = F.xxhash64("features")
     parts = [known.where(F.col("label") == y).orderBy(place, "features").limit(train_findings // 2) for y in (0.0, 1.0)]
-    sample = staged(parts[0].unionByName(parts[1]), "findings")
-    if sample.select("label").distinct().count() < 2:
-        return None
+    fixed = [([float(x) for x in describe(*finding[:4])[0]], finding[4]) for finding in fixed_findings()]
+    fixed = labelled.sparkSession.createDataFrame(fixed, "features array<double>, label double")
+    sample = staged(parts[0].unionByName(parts[1]).unionByName(fixed), "findings")
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2, subsamplingRate=0.8
     )
@@ -179,18 +203,15 @@ def scan_secrets(
     ``findings`` (text, start, end, path, label 0 or 1) are labelled findings; without them
     those of ``docs`` that are sure by themselves teach. Offsets are code points, end
     exclusive. Null and empty texts have no candidates. Rows that repeat a document
-    repeat its findings. With findings of one class only, that class decides those
-    that are sure, and no others are reported. Other columns are not read.
+    repeat its findings. ``fixed_findings`` complete the training set, so every candidate
+    gets a score, with findings of one class only or none too. Other columns are not read.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
     found = staged(rows.mapInArrow(_scan, "doc long, start long, end long, features array<double>, label double"), "candidates")
     model = _trained(found if findings is None else described_findings(findings), train_findings)
-    if model is None:
-        scored = found.where("label = 1").withColumn("probability", F.col("label"))
-    else:
-        judged = model.transform(found.withColumn("vector", array_to_vector("features")))
-        scored = judged.withColumn("probability", F.get(vector_to_array("probability"), 1)).where(F.col("probability") >= threshold)
+    judged = model.transform(found.withColumn("vector", array_to_vector("features")))
+    scored = judged.withColumn("probability", F.get(vector_to_array("probability"), 1)).where(F.col("probability") >= threshold)
     return scored.select(F.col("doc").alias(id_col), "start", "end", "probability")
 
 
