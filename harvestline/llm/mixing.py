@@ -27,6 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 FAN_IN = 64
+# Equal rows that one array numbers.
+NUMBER_RUN = 1 << 16
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -196,8 +198,12 @@ def mix(
         placed["source"].eqNullSafe(ruled["s"]) & placed["id"].eqNullSafe(ruled["i"]) & (placed["size"] == ruled["z"]),
         "left",
     )
-    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number")
-    rows = joined.select("id", "source", "size", "source_size", "target", "base", "sure", "into", "part", number)
+    # Numbers of equal rows in runs, so that no array grows with their count.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / NUMBER_RUN))).alias("run")
+    rows = joined.select("id", "source", "size", "source_size", "target", "base", "sure", "into", "part", "n", run)
+    upto = F.least(F.col("n"), (F.col("run") + 1) * NUMBER_RUN)
+    number = F.explode(F.sequence(F.col("run") * NUMBER_RUN + 1, upto)).alias("number")
+    rows = rows.select("id", "source", "size", "source_size", "target", "base", "sure", "into", "part", number)
     last = F.col("number") == F.col("sure") + 1
     up = (F.col("number") <= F.col("sure")) | (last & F.coalesce("into", F.lit(False)))
     return rows.select(

@@ -234,6 +234,19 @@ def test_values_of_secret_names_are_candidates(text, value):
     assert (start, start + len(value)) in secret_scan.candidates(text)
 
 
+def test_findings_of_no_or_one_class_are_scored(spark):
+    """Values that are not sure by themselves, with no sure finding, or one class of them, beside."""
+    key, plain = "q7XvK2mZ9pLw4RtB8nYc", "page-of-the-index-2024-01"
+    unsure = [(1, f"Build {key}, please."), (2, f"It is in {plain} now.")]
+    assert all(secret_scan.describe(t, *secret_scan.candidates(t)[0], None)[1] is None for _, t in unsure[:1])
+    for more in ([], [(3, "see example-page-number-7.")], [(3, f'token = "{key[::-1]}"')]):
+        docs = spark.createDataFrame(unsure + more, "doc_id long, text string")
+        scored = secret_scan.scan_secrets(docs, path_col=None, threshold=0.0).collect()
+        assert {r["doc_id"] for r in scored} >= {1, 2}
+        by_doc = {r["doc_id"]: r["probability"] for r in scored}
+        assert by_doc[1] > 0.5 > by_doc[2], by_doc
+
+
 def test_long_runs_are_read_whole():
     run = "ab" * 3000 + "1"
     assert secret_scan.candidates(f"see {run} here") == [(4, 4 + len(run))]
@@ -318,6 +331,18 @@ def test_pivotal_rounding_keeps_probabilities(spark):
     assert all(abs(r["mean"] - 0.5) < 0.1 for r in taken.collect())
 
 
+def test_equal_rows_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBER_RUN", 7)
+    docs = spark.createDataFrame([(1, "two words", "a")] * 50 + [(2, "three more words", "b")] * 7, "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1] * 50 + [2] * 7
+    for doc, size in ((1, 2), (2, 3)):
+        own = [r for r in rows if r["doc_id"] == doc]
+        taken = sum(r["copies"] * size + r["extra"] for r in own)
+        assert abs(taken - own[0]["target"]) < size
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+
+
 def test_mix_of_odd_documents(spark):
     found = mixing.mix_report(odd(spark))
     assert found.count() == len(ODD)
