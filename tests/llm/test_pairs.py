@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
 from llm.odd import LONG, ODD, none, odd
@@ -140,6 +141,19 @@ def test_lines_by_brute_force(spark, full_run):
     assert links and not all(found.values())
 
 
+def test_lines_of_a_long_text_come_in_slices(monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "SLICE_BYTES", 1000)
+    text = "\n".join(f"line number {n} of one text" for n in range(500)) + "\n\nline number 3 of one text"
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, None, "Last one."])], ["doc", "text"])
+    slices = list(fuzzy_lines._slices([batch]))
+    assert max(sum(len(line) for line, _, _ in part) for part in slices) < 1100
+    assert sum(len(part) for part in slices) == 502
+    parts = list(fuzzy_lines._scan(True)([batch]))
+    assert len(parts) == len(slices) and sum(pa.Table.from_batches(parts).column("n").to_pylist()) == 502
+    whole = fuzzy_lines.fingerprints_of([b"last one"]).tolist()
+    assert parts[-1].column("fp").to_pylist()[-1:] == whole
+
+
 def test_lines_of_odd_documents(spark):
     report = {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in fuzzy_lines.line_report(odd(spark)).collect()}
     assert report[1] == (1, 1) and report[3] == report[4] == report[5] == report[9] == (0, 0)
