@@ -87,6 +87,13 @@ def keyed_runs(batches, key: str, order: list[str]):
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
+    """A dict that lives as long as the Python worker, across its tasks.
+
+    A worker serves one operator after the other, so it keeps what one of them needs:
+    asking for a dict empties those of other names.
+    """
     module = sys.modules.setdefault("_harvestline_worker_cache", types.ModuleType("_harvestline_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    kept = module.__dict__.setdefault("kept", {})
+    for other in kept.keys() - {name}:
+        del kept[other]
+    return kept.setdefault(name, {})
