@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +115,10 @@ def test_lines_by_brute_force(spark, full_run):
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)]
     lines = []
     for _ in range(12):
-        base = list(rng.choice(words, 30))
+        base = list(rng.choice(words, 24))
         for _ in range(6):
             line = list(base)
-            for at in rng.choice(30, int(rng.integers(0, 3)), replace=False):
+            for at in rng.choice(24, int(rng.integers(0, 3)), replace=False):
                 line[at] = line[at][:-1] + "x"
             lines.append(" ".join(line))
     lines += ["Only once here.", "", "!!", lines[0].upper() + "!"]
@@ -127,12 +128,19 @@ def test_lines_by_brute_force(spark, full_run):
     every = {(d, n): line for d, text in docs for n, line in enumerate(fuzzy_lines.normal_lines(text)) if line}
     distinct = sorted(set(every.values()))
     marks = dict(zip(distinct, fuzzy_lines.fingerprints_of(distinct).tolist()))
-    links = [
-        (a, b)
-        for i, a in enumerate(distinct)
-        for b in distinct[i + 1 :]
-        if ((marks[a] ^ marks[b]) % (1 << 64)).bit_count() <= 3 and distance(a, b) <= 0.2 * max(len(a), len(b))
+    blocks = {line: {tuple(line.split()[i : i + 3]) for i in range(len(line.split()) - 2)} for line in distinct}
+    held = Counter(block for line in distinct for block in blocks[line])
+
+    def meet(a, b):
+        """All lines of up to 24 words; on crowded blocks only those within three bits."""
+        few = any(held[block] <= full_run for block in blocks[a] & blocks[b])
+        return few or (blocks[a] & blocks[b] and ((marks[a] ^ marks[b]) % (1 << 64)).bit_count() <= 3)
+
+    near = [
+        (a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if distance(a, b) <= 0.2 * max(len(a), len(b))
     ]
+    links = [(a, b) for a, b in near if meet(a, b)]
+    assert full_run == 2 or links == near
     roots = closure(distinct, links)
     firsts = {}
     for place in sorted(every):
@@ -141,6 +149,36 @@ def test_lines_by_brute_force(spark, full_run):
     assert links and not all(found.values())
 
 
+@pytest.mark.parametrize("fewest,most", [(1, 12), (13, 60), (61, 120)])
+def test_recall_of_similar_lines(spark, fewest, most):
+    """Lines edited anywhere, letters and whole words, against edit similarity alone."""
+    rng = np.random.default_rng(fewest)
+    pool = ["".join(rng.choice(list("abcdefghijklmnoprstu"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    lines, pairs = [], []
+    while len(pairs) < 80:
+        words = rng.choice(pool, int(rng.integers(fewest, most + 1))).tolist()
+        other = list(words)
+        for _ in range(1 + int(len(words) * rng.uniform(0, 0.12))):
+            at = int(rng.integers(len(other)))
+            change = rng.integers(4)
+            if change == 0:
+                letter = int(rng.integers(len(other[at])))
+                other[at] = other[at][:letter] + "z" + other[at][letter + 1 :]
+            elif change == 1:
+                other[at] = str(rng.choice(pool))
+            elif change == 2:
+                other.insert(at, str(rng.choice(pool)))
+            elif len(other) > 1:
+                del other[at]
+        a, b = " ".join(words), " ".join(other)
+        if a != b and distance(a, b) <= 0.2 * max(len(a), len(b)):
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [a, b]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keep = {r["doc"]: r["keep"] for r in fuzzy_lines.mark_lines(docs).collect()}
+    assert sum(not keep[b] for _, b in pairs) >= 0.95 * len(pairs)
+
+
 def test_lines_of_a_long_text_come_in_slices(monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "SLICE_BYTES", 1000)
     text = "\n".join(f"line number {n} of one text" for n in range(500)) + "\n\nline number 3 of one text"
