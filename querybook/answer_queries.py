@@ -68,13 +68,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User messages as a stream over the conversations file."""
+    """User messages as a stream over the conversations table, one file or a folder of files.
+
+    A stream takes a single file by a pattern only.
+    """
     schema = V.table(spark, sf_dir, "conversations").schema
-    messages = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    messages = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations[.]parquet")
     return messages.where(F.col("role") == "user").select(
         V.qid().alias("qid"), V.indic(F.col("text")).alias("question")
     )
