@@ -8,11 +8,15 @@ Two ways, chosen by the measured size of the index; both give the same rows.
   join in the manner of Lu et al., PVLDB 2012). A question first searches the
   cell of its nearest pivot; the k-th distance found there rules out every cell
   that the triangle or bisector inequality puts farther away, and only the
-  remaining cells are searched. Cells and the questions that visit them are both
+  remaining cells are searched. Cells near each other are packed into bins of a
+  bounded size, and a question is sent once to each bin that holds a cell it has
+  to search, so it is not copied once per cell where the bounds rule out few; in
+  the bin, questions of one cell and its neighbours meet the cells that any of
+  them has to search. Bins and the questions that visit them are both
   split into blocks of bounded size, so a hot cell spreads over many tasks, and
   a block passes on k rows per question, never its pairs. Of copies of one
   vector only the k lowest ids can be an answer, so the others are left out
-  before the search.
+  before the search; equal questions are searched once.
 
 Distances are squared L2, summed in component order in doubles; ties go to the
 lower chunk id.
@@ -45,8 +49,13 @@ MAX_PIVOTS = 1024
 PIVOT_BYTES = 8 << 20
 # Equal vectors that an opened index keeps; a search for more hits cuts it anew.
 COPIES = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SCRATCH_BYTES = 64 << 20
+# Visits that a task hands on at a time, and questions that meet a bin's cells together.
+VISIT_BYTES = 8 << 20
+TOGETHER = 256
+# Shuffle partitions of a search; it takes no more tasks than that.
+MAX_TASKS = 2048
 # An index row takes at least this much, so more rows than bytes allow are too many.
 MIN_ROW_BYTES = 24
 
@@ -135,7 +144,8 @@ class Cells:
     chunks: DataFrame
     pivots: np.ndarray
     radius: np.ndarray
-    blocks: dict[int, int]
+    rows: np.ndarray
+    bins: np.ndarray
     copies: int
 
 
@@ -301,20 +311,19 @@ def _in_cells(index: DataFrame, pivots: np.ndarray, width: int, id_col: str) ->
     """(id, embedding, cell, reach): the nearest pivot of each chunk."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, vectors = _vectors(batch.column(VECTOR), width)
             if len(rows) < batch.num_rows:
                 raise ValueError(f"index vectors must be {width} finite numbers wide")
             cell, squared, error = _nearest_pivot(vectors, pivots)
             reach = np.sqrt(squared[np.arange(len(cell)), cell] + error)
-            kept = batch
             yield pa.RecordBatch.from_arrays(
                 [
-                    *kept.columns,
+                    *batch.columns,
                     pa.array(cell, pa.int32()),
                     pa.array(reach, pa.float64()),
                 ],
-                [*kept.schema.names, "cell", "reach"],
+                [*batch.schema.names, "cell", "reach"],
             )
 
     wanted = index.select(id_col, VECTOR)
@@ -328,14 +337,26 @@ def _in_cells(index: DataFrame, pivots: np.ndarray, width: int, id_col: str) ->
     return wanted.mapInArrow(assign, out)
 
 
-def _visits(
-    questions: DataFrame, pivots: np.ndarray, radius: np.ndarray, width: int, home: bool
-) -> DataFrame:
-    """(qid, embedding, cell): the cells a question has to search.
-
-    ``home`` gives the nearest cell only. Otherwise all other cells that may
-    hold a vector within the question's ``bound`` (NULL: no bound yet).
-    """
+def _packed(pivots: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray:
+    """The bin of each cell: cells are halved along the widest component of their pivots
+    until ``limit`` rows hold a half. A larger cell is a bin by itself, an empty one in none (-1)."""
+    bins = np.full(len(pivots), -1, dtype=np.int64)
+    todo, n = [np.flatnonzero(rows > 0)], 0
+    while todo:
+        cells = todo.pop()
+        if len(cells) > 1 and rows[cells].sum() > limit:
+            cells = cells[np.argsort(pivots[cells, pivots[cells].var(axis=0).argmax()], kind="stable")]
+            upto = np.cumsum(rows[cells])
+            half = min(max(int(np.searchsorted(upto, upto[-1] / 2)), 1), len(cells) - 1)
+            todo += [cells[half:], cells[:half]]
+        elif len(cells):
+            bins[cells] = n
+            n += 1
+    return bins
+
+
+def _to_search(pivots: np.ndarray, radius: np.ndarray):
+    """A function from vectors and their bounds to (own cell, which cells each has to search)."""
     _, between, apart_error = _nearest_pivot(pivots, pivots)
     between = np.sqrt(between + apart_error[:, None])
     # The largest error with which a chunk may have been put into its cell.
@@ -344,55 +365,103 @@ def _visits(
     placed = _rounding(reach.max(), pivots - centre, centre)
     occupied = radius >= 0.0
 
+    def cells(vectors: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, squared, error = _nearest_pivot(vectors, pivots)
+        limit = np.sqrt(bound)
+        # Lower bounds, each lessened by what rounding may have added. A chunk
+        # may also stand in a cell that is nearest only up to its own error.
+        own_gap = squared[np.arange(len(own)), own]
+        ball = np.sqrt(np.maximum(squared - error[:, None], 0.0)) - radius[None, :]
+        least_gap = squared - own_gap[:, None] - 2 * (error + placed)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = least_gap / (2.0 * between[own])
+        least = np.maximum(ball, np.where(np.isfinite(plane), plane, 0.0))
+        open_ = (least <= limit[:, None] * (1 + 1e-9)) & occupied[None, :]
+        open_[np.arange(len(own)), own] = occupied[own]
+        return own, open_
+
+    return cells
+
+
+def _bound(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, math.inf).to_numpy(zero_copy_only=False)
+
+
+def _visits(
+    questions: DataFrame,
+    pivots: np.ndarray,
+    radius: np.ndarray,
+    width: int,
+    home: bool,
+    bins: np.ndarray | None = None,
+) -> DataFrame:
+    """(qid, embedding, bound, own, bin): the bins a question has to search; ``own`` is its nearest cell.
+
+    ``home`` gives the nearest cell only, as a bin. Otherwise all bins with a cell that
+    may hold a vector within the question's ``bound`` (NULL: no bound yet); without
+    ``bins`` each cell is one.
+    """
+    to_search = None if home else _to_search(pivots, radius)
+    bins = np.where(radius >= 0.0, np.arange(len(pivots)), -1) if bins is None else bins
+    n_bins = int(bins.max()) + 1
+    # One column per bin: whether it holds the cell.
+    holds = (bins[:, None] == np.arange(n_bins)[None, :]).astype(np.float32)
+    step = max(1, VISIT_BYTES // (8 * width))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows, vectors = _vectors(batch.column(VECTOR), width)
-            own, squared, error = _nearest_pivot(vectors, pivots)
             if home:
-                row, cell = np.arange(len(own)), own
+                own = _nearest_pivot(vectors, pivots)[0]
+                row, bin_ = np.arange(len(own)), own
+                bound = np.full(len(own), math.inf)
             else:
-                bound = pc.fill_null(batch.column("bound"), math.inf).to_numpy(zero_copy_only=False)
-                limit = np.sqrt(bound[rows])
-                # Lower bounds, each lessened by what rounding may have added. A chunk
-                # may also stand in a cell that is nearest only up to its own error.
-                own_gap = squared[np.arange(len(own)), own]
-                ball = np.sqrt(np.maximum(squared - error[:, None], 0.0)) - radius[None, :]
-                least_gap = squared - own_gap[:, None] - 2 * (error + placed)[:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = least_gap / (2.0 * between[own])
-                least = np.maximum(ball, np.where(np.isfinite(plane), plane, 0.0))
-                open_ = (least <= limit[:, None] * (1 + 1e-9)) & occupied[None, :]
-                open_[np.arange(len(own)), own] = False
-                row, cell = np.nonzero(open_)
-            taken = batch.select(["qid", VECTOR]).take(pa.array(rows[row]))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cell, pa.int32())], ["qid", VECTOR, "cell"]
-            )
+                bound = _bound(batch.column("bound"))[rows]
+                own, open_ = to_search(vectors, bound)
+                row, bin_ = np.nonzero(open_.astype(np.float32) @ holds)
+            for low in range(0, len(row), step):
+                part = row[low : low + step]
+                taken = batch.select(["qid", VECTOR]).take(pa.array(rows[part]))
+                more = [
+                    pa.array(bound[part], pa.float64()),
+                    pa.array(own[part], pa.int32()),
+                    pa.array(bin_[low : low + step], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *more], ["qid", VECTOR, "bound", "own", "bin"])
 
     schema = questions.select("qid", VECTOR).schema
-    out = T.StructType([*schema.fields, T.StructField("cell", T.IntegerType())])
+    out = T.StructType(
+        [
+            *schema.fields,
+            T.StructField("bound", T.DoubleType()),
+            T.StructField("own", T.IntegerType()),
+            T.StructField("bin", T.IntegerType()),
+        ]
+    )
     return questions.mapInArrow(visit, out)
 
 
-def _blocks_per_cell(rows: DataFrame, block_rows: int) -> dict[int, int]:
-    """Number of blocks each cell is cut into; at most one entry per pivot."""
-    counted = rows.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    return {row["cell"]: math.ceil(row["n"] / block_rows) for row in counted}
+def _blocks_per_bin(visits: DataFrame, block_rows: int) -> dict[int, int]:
+    """Number of blocks the visits of each bin are cut into; at most one entry per pivot."""
+    counted = visits.groupBy("bin").agg(F.count("*").alias("n")).collect()
+    return {row["bin"]: math.ceil(row["n"] / block_rows) for row in counted}
 
 
-def _per_cell(blocks: dict[int, int]) -> Column:
-    """Blocks of ``cell`` as a column; cells without rows get none."""
-    table = [blocks.get(cell, 0) for cell in range(max(blocks, default=0) + 1)]
-    return F.coalesce(F.get(F.lit(table), F.col("cell")), F.lit(0))
+def _per_bin(blocks: dict[int, int]) -> Column:
+    """Blocks of ``bin`` as a column; bins without rows get none."""
+    table = [blocks.get(b, 0) for b in range(max(blocks, default=0) + 1)]
+    return F.coalesce(F.get(F.lit(table), F.col("bin")), F.lit(0))
 
 
-def _search_cells(
-    visits: DataFrame, chunks: DataFrame, chunk_blocks: dict[int, int], k: int, width: int,
-    id_col: str,
+def _search_bins(
+    visits: DataFrame, cells: Cells, bins: np.ndarray, k: int, width: int, id_col: str, home: bool
 ) -> DataFrame:
-    """(qid, id, distance): up to k rows per question and block it meets."""
+    """(qid, id, distance): up to k rows within its bound per question and block it meets."""
     block_rows = max(1, BLOCK_BYTES // (8 * width))
-    visit_blocks = _blocks_per_cell(visits, block_rows)
+    visit_blocks = _blocks_per_bin(visits, block_rows)
+    held = np.zeros(len(bins) + 1, dtype=np.int64)  # what is in no bin is counted last
+    np.add.at(held, bins, cells.rows)
+    chunk_blocks = {b: math.ceil(n / block_rows) for b, n in enumerate(held[:-1].tolist()) if n}
 
     def spread(df: DataFrame, key: str, own: str, n_own, other: str, n_other) -> DataFrame:
         """Pin a row to one of its own blocks, and copy it to all of the other's."""
@@ -402,20 +471,31 @@ def _search_cells(
             .withColumn(other, F.explode(F.sequence(F.lit(0), n_other - 1)))
         )
 
-    n_chunk, n_visit = _per_cell(chunk_blocks), _per_cell(visit_blocks)
+    n_chunk, n_visit = _per_bin(chunk_blocks), _per_bin(visit_blocks)
     left = spread(visits, "qid", "visit_block", n_visit, "chunk_block", n_chunk)
-    right = spread(
-        chunks.select(id_col, VECTOR, "cell"), id_col, "chunk_block", n_chunk, "visit_block", n_visit
-    )
+    chunks = cells.chunks.select(id_col, VECTOR, "cell").withColumn("bin", F.get(F.lit(bins.tolist()), F.col("cell")).cast("int"))
+    right = spread(chunks, id_col, "chunk_block", n_chunk, "visit_block", n_visit)
     qid_type = visits.schema["qid"].dataType
     id_type = chunks.schema[id_col].dataType
     names = ["qid", id_col, "distance"]
+    to_search = None if home else _to_search(cells.pivots, cells.radius)
 
     def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        asked = asked.take(pc.sort_indices(asked, sort_keys=[("own", "ascending")]))
         stored = stored.take(pc.sort_indices(stored, sort_keys=[(id_col, "ascending")]))
         q_rows, questions = _vectors(_column(asked, VECTOR), width)
         c_rows, vectors = _vectors(_column(stored, VECTOR), width)
-        row, hit, distance = _best(questions, vectors, k)
+        bound = _bound(_column(asked, "bound"))[q_rows]
+        cell = _column(stored, "cell").to_numpy()[c_rows]
+        found = []
+        for low in range(0, len(questions), len(questions) if home else TOGETHER):
+            part = slice(low, low + (len(questions) if home else TOGETHER))
+            # All cells of a home are the question's own.
+            met = np.arange(len(cell)) if home else np.flatnonzero(to_search(questions[part], bound[part])[1].any(axis=0)[cell])
+            row, hit, distance = _best(questions[part], vectors if len(met) == len(cell) else vectors[met], k)
+            near = distance <= bound[part][row]
+            found.append((row[near] + low, met[hit[near]], distance[near]))
+        row, hit, distance = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
         return pa.Table.from_arrays(
             [
                 _column(asked, "qid").take(pa.array(q_rows[row])),
@@ -432,7 +512,10 @@ def _search_cells(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    keys = ["cell", "visit_block", "chunk_block"]
+    keys = ["bin", "visit_block", "chunk_block"]
+    if not home:  # few blocks with much work each, which sizes don't show: they aren't to be put together
+        tasks = min(MAX_TASKS, 3 * sum(visit_blocks.get(b, 0) * n for b, n in chunk_blocks.items()) + 1)
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, out)
 
 
@@ -463,14 +546,12 @@ def _cut(index: DataFrame, size: IndexSize, id_col: str, copies: int = COPIES) -
     kept = stage(_without_spare_copies(index, copies, id_col), "vectors")
     pivots = _pivots(kept, size, id_col)
     chunks = stage(_in_cells(kept, pivots, width, id_col), "cells")
-    block_rows = max(1, BLOCK_BYTES // (8 * width))
-    radius = np.full(len(pivots), -1.0)
-    blocks: dict[int, int] = {}
+    radius, rows = np.full(len(pivots), -1.0), np.zeros(len(pivots), dtype=np.int64)
     cells = chunks.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"))
     for row in cells.collect():  # at most MAX_PIVOTS rows
-        radius[row["cell"]] = row["reach"]
-        blocks[row["cell"]] = math.ceil(row["n"] / block_rows)
-    return Cells(chunks, pivots, radius, blocks, copies)
+        radius[row["cell"]], rows[row["cell"]] = row["reach"], row["n"]
+    bins = _packed(pivots, rows, max(1, BLOCK_BYTES // (8 * width)))
+    return Cells(chunks, pivots, radius, rows, bins, copies)
 
 
 def nearest_by_cells(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
@@ -480,37 +561,41 @@ def nearest_by_cells(questions: DataFrame, opened: OpenIndex, k: int) -> DataFra
     if cells is None or k > cells.copies:
         cells = _cut(opened.table, opened.size, id_col, max(k, COPIES))
     asked = stage(questions.select("qid", VECTOR), "asked")
-    visits = _visits(asked, cells.pivots, cells.radius, width, home=True)
-    home = stage(_search_cells(visits, cells.chunks, cells.blocks, k, width, id_col), "home-hits")
-    bounds = (
-        _ranked(home, k, id_col).where(F.col("rank") == k).select("qid", F.col("distance").alias("bound"))
-    )
+    single = np.where(cells.rows > 0, np.arange(len(cells.rows)), -1)
+    visits = stage(_visits(asked, cells.pivots, cells.radius, width, home=True), "homes")
+    home = _ranked(_search_bins(visits, cells, single, k, width, id_col, home=True), k, id_col)
+    bounds = home.where(F.col("rank") == k).select("qid", F.col("distance").alias("bound"))
     bounded = asked.join(bounds, "qid", "left")
-    rest = stage(_visits(bounded, cells.pivots, cells.radius, width, home=False), "visits")
-    others = _search_cells(rest, cells.chunks, cells.blocks, k, width, id_col)
-    return _ranked(home.unionByName(others), k, id_col)
+    rest = stage(_visits(bounded, cells.pivots, cells.radius, width, home=False, bins=cells.bins), "visits")
+    return _ranked(_search_bins(rest, cells, cells.bins, k, width, id_col, home=False), k, id_col)
 
 
 def _retrieve_large(questions: DataFrame, opened: OpenIndex, k: int) -> DataFrame:
-    """As the small way: every row has its own hits, whatever its ``qid``."""
-    index, id_col = opened.table, opened.id_col
+    """As the small way: every row has its own hits, whatever its ``qid``.
+
+    Equal vectors are searched once; rows without a usable vector are not.
+    """
+    index, id_col, width = opened.table, opened.id_col, opened.size.width
     payload = _payload(index)
-    numbered = stage(questions.withColumn("_row", F.monotonically_increasing_id()), "questions")
-    found = nearest_by_cells(numbered.select(F.col("_row").alias("qid"), VECTOR), opened, k)
+    kept = stage(questions, "questions")
+    searchable = F.coalesce(usable(F.col(VECTOR)) & (F.size(VECTOR) == width), F.lit(False))
+    row, taken = "_row", {c.lower() for c in kept.columns}
+    while row in taken:
+        row += "_"
+    number = F.monotonically_increasing_id()
+    vectors = stage(kept.where(searchable).select(VECTOR).distinct().withColumn("qid", number), "question-vectors")
+    found = nearest_by_cells(vectors, opened, k)
     # A chunk near many questions is a hot key of this join; AQE splits it.
     hits = (
-        found.withColumnRenamed("qid", "_row")
+        found.withColumnRenamed("qid", row)
         .join(index.select(*payload), id_col)
-        .groupBy("_row")
+        .groupBy(row)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "distance", *payload))).alias("hits"))
     )
     none = F.array().cast(_hits_type(index))
-    return (
-        numbered.drop(VECTOR)
-        .join(hits, "_row", "left")
-        .withColumn("hits", F.coalesce("hits", none))
-        .drop("_row")
-    )
+    numbered = kept.where(searchable).join(vectors.withColumnRenamed("qid", row), VECTOR).drop(VECTOR)
+    answered = numbered.join(hits, row, "left").withColumn("hits", F.coalesce("hits", none)).drop(row)
+    return answered.unionByName(kept.where(~searchable).drop(VECTOR).withColumn("hits", none))
 
 
 # --- entry points ---------------------------------------------------------
