@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harvestline.functions import render
 from harvestline.plans import answers as A
-from harvestline.session import new_folder
+from harvestline.session import new_folder, stage
 from harvestline.sources import conversations as G
 from harvestline.sources import prices as L
 from harvestline.sources import questions as I
@@ -103,7 +103,9 @@ def answer_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two micro-batches around a load: each answers from the price table as it was when it began."""
-    prices, out, table = V.prices_star(spark, sf_dir), new_folder(spark, "batch-answers"), new_folder(spark, "prices")
+    # Joined once for both loads.
+    prices = stage(V.prices_star(spark, sf_dir), "star")
+    out, table = new_folder(spark, "batch-answers"), new_folder(spark, "prices")
     batches = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     asked = batches.select("conv_id", V.qid().alias("qid"), V.indic(F.col("text")).alias("question"))
     answerer = R.batch_answerer(out, prices=table, vocabulary=V.SAMPLE)
