@@ -526,14 +526,50 @@ def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
     )
 
 
-def _without_spare_copies(index: DataFrame, k: int, id_col: str) -> DataFrame:
+def _fewer_copies(index: DataFrame, k: int, width: int, id_col: str) -> DataFrame:
+    """``index`` less rows of whose vector the same task has k lower ids; some such rows stay."""
+    enough = max(1, BLOCK_BYTES // (8 * width))
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def lowest() -> pa.Table:
+            table = pa.Table.from_batches(held)
+            table = table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending")]))
+            rows, vectors = _vectors(_column(table, VECTOR), width)
+            whole = np.ascontiguousarray(vectors).view(f"V{8 * width}").ravel()
+            of = np.unique(whole, return_inverse=True)[1].ravel()
+            order = np.argsort(of, kind="stable")
+            place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+            return table.take(pa.array(rows[np.sort(order[place < k])]))
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= enough:
+                left = lowest().combine_chunks().to_batches()
+                n = sum(b.num_rows for b in left)
+                # Where most vectors differ nothing is gained by holding them.
+                if n > enough // 2:
+                    yield from left
+                    left, n = [], 0
+                held = left
+        if n:
+            yield from lowest().combine_chunks().to_batches()
+
+    return index.mapInArrow(drop, index.schema)
+
+
+def _without_spare_copies(index: DataFrame, k: int, width: int, id_col: str) -> DataFrame:
     """The k lowest ids of each distinct vector.
 
-    The limit is applied before the shuffle too, so a vector that a third of
+    Most copies are dropped before rows are sorted, so a vector that a third of
     all rows share sends k rows per task.
     """
     copies = W.partitionBy(VECTOR).orderBy(id_col)
-    numbered = index.select(id_col, VECTOR).withColumn("_copy", F.row_number().over(copies))
+    fewer = _fewer_copies(index.select(id_col, VECTOR), k, width, id_col)
+    numbered = fewer.withColumn("_copy", F.row_number().over(copies))
     return numbered.where(F.col("_copy") <= k).drop("_copy")
 
 
@@ -543,7 +579,7 @@ def _cut(index: DataFrame, size: IndexSize, id_col: str, copies: int = COPIES) -
     Of equal vectors the ``copies`` lowest ids are kept, enough for as many hits.
     """
     width = size.width
-    kept = stage(_without_spare_copies(index, copies, id_col), "vectors")
+    kept = stage(_without_spare_copies(index, copies, width, id_col), "vectors")
     pivots = _pivots(kept, size, id_col)
     chunks = stage(_in_cells(kept, pivots, width, id_col), "cells")
     radius, rows = np.full(len(pivots), -1.0), np.zeros(len(pivots), dtype=np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import versions
 from .versions import Version
 
@@ -39,10 +40,12 @@ def build_index(
 ) -> DataFrame:
     """Replace the whole index with chunks ⋈ vectors.
 
-    Fails before anything is written if an id repeats on either side or the
+    Fails before any of the index is written if an id repeats on either side or the
     vectors differ in width. Readers keep the earlier index until the new one
     is whole.
     """
+    # Both sides are read several times, and may take long to compute.
+    chunks, vectors = stage(chunks, "index-chunks"), stage(vectors, "index-vectors")
     for side, name in ((chunks, "chunk"), (vectors, "vector")):
         repeated = [row[0] for row in duplicate_ids(side, id_col).limit(5).collect()]
         if repeated:

@@ -10,7 +10,7 @@ from harvestline.functions import text as X
 from harvestline.operators import chunking as K
 from harvestline.operators import context as C
 from harvestline.operators import nearest as N
-from harvestline.session import new_folder
+from harvestline.session import new_folder, stage
 from harvestline.sources import documents as D
 
 from . import Query
@@ -82,6 +82,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks, joined with vectors, written as an index, opened and searched."""
     chunks = K.chunk_documents(V.table(spark, sf_dir, "documents"), paragraph_break="\n")
+    chunks = stage(chunks.select("chunk_id", "doc_id", "ordinal", "scheme", "text"), "chunks")
     vectors = V.table(spark, sf_dir, "embeddings")
     of = (F.col("doc_id") * 7 + F.col("ordinal")) % 400
     given = chunks.select("chunk_id", of.alias("vec_id")).join(vectors, "vec_id").select("chunk_id", "embedding")
