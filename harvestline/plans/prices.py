@@ -2,7 +2,9 @@
 
 Terms and locations are matched against the catalogue of dimension values only,
 which is stored beside the facts when they are loaded. The result is a small map
-from (commodity, market, state) to the result lines a fact row belongs to. One scan
+from (commodity, market, state) to the result lines a fact row belongs to; where few
+places are asked for, from the commodity and the asked places that a row matches, as
+lines times markets may be more than the facts. One scan
 of the facts, without commodities that nobody asks for, then adds them up per line
 and date: each task sends a line's dates, so no fact row is shuffled. Series,
 statistics and headline averages are all read from these daily sums.
@@ -27,6 +29,8 @@ from ..sources.prices import catalogue
 DIMS = ["commodity", "market", "state"]
 PAIR = ["term", "loc"]
 SERIES = ["term", "series_loc"]
+# The asked places that a row's market or state matches.
+PLACES = "_places"
 LOCATED, ALL = "located", "all"
 MAX_LINES = 10_000
 # Asked pairs and distinct names up to which the match is one projection.
@@ -50,7 +54,9 @@ class PairMap:
     that no fact matches reads the all-region series of its term.
     ``lines``: (line, term, series_loc, commodity, shown market and state) per
     stored commodity of a series; ``line`` is a number.
-    ``members``: (commodity, market, state, line): the lines a fact adds to.
+    ``members``: (commodity, market, state, line): the lines a fact adds to. With
+    ``places``, the asked locations if they are few, (commodity, _places, cell, line)
+    instead; all facts of a ``cell`` add to the same lines.
     ``commodities``: the stored commodities in question, if they are few; facts of
     others are not read.
     """
@@ -60,6 +66,8 @@ class PairMap:
     members: DataFrame
     members_small: bool
     commodities: list[str] | None
+    places: list[str] | None = None
+    sum_cells: bool = False
 
 
 def _match_dims(pairs: DataFrame, dims: DataFrame) -> DataFrame:
@@ -85,23 +93,35 @@ def _match_dims(pairs: DataFrame, dims: DataFrame) -> DataFrame:
     )
 
 
-def _match_folded(pairs: list, dims: DataFrame) -> DataFrame:
-    """The same rows as :func:`_match_dims` for few pairs: a projection of the dimensions."""
+def _hits(values: list[str], hit) -> Column:
+    """Those of ``values`` that hit, in order."""
+    return F.array_compact(F.array(*(F.when(hit(v), F.lit(v)) for v in values)).cast("array<string>"))
+
+
+def _at_places(places: list[str]) -> Column:
+    return _hits(places, lambda loc: S.matches("market", loc) | S.matches("state", loc))
+
+
+def _match_folded(pairs: list, dims: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The series and commodities of :func:`_match_dims` for few pairs, by a projection of the dimensions.
+
+    (term, series_loc, commodity, _places, _place, _state), with the smallest place of
+    the dimensions that match the same asked places, and the list of all asked places.
+    """
     asked: dict[str, list[str]] = {}
     for row in pairs:
         asked.setdefault(row["term"], []).extend([] if row["loc"] is None else [row["loc"]])
-    texts = "array<string>"
-
-    def listed(values: list[str], hit) -> Column:
-        return F.array_compact(F.array(*(F.when(hit(v), F.lit(v)) for v in values)).cast(texts))
-
     places = list(dict.fromkeys(loc for locs in asked.values() for loc in locs))
-    at_place = listed(places, lambda loc: S.matches("market", loc) | S.matches("state", loc))
+    terms = _hits(list(asked), lambda t: S.matches("commodity", t))
+    sets = dims.where(F.size(terms) > 0).groupBy("commodity", _at_places(places).alias(PLACES)).agg(
+        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state")
+    )
+    texts = "array<string>"
     wanted = F.coalesce(*(F.when(F.col("term") == t, F.lit(locs).cast(texts)) for t, locs in asked.items()))
-    termed = dims.select(*DIMS, at_place.alias("_places"), F.explode(listed(list(asked), lambda t: S.matches("commodity", t))).alias("term"))
+    termed = stage(sets, "places").withColumn("term", F.explode(terms))
     nowhere = F.array(F.lit(None).cast("string"))
-    located = F.explode(F.concat(nowhere, F.array_intersect("_places", wanted))).alias("series_loc")
-    return termed.select("term", located, *DIMS)
+    located = F.explode(F.concat(nowhere, F.array_intersect(PLACES, wanted))).alias("series_loc")
+    return termed.select("term", located, "commodity", PLACES, "_place", "_state"), places
 
 
 def _foldable(pairs: list | None) -> bool:
@@ -153,17 +173,21 @@ def resolve_pairs(asked: DataFrame, facts: DataFrame, dims: DataFrame | None = N
     pairs = pairs.where(F.col("term").isNotNull())
     listed = small_rows(pairs, MAX_FOLDED_PAIRS)
     dims = stage(catalogue(facts), "dims") if dims is None else dims
+    places = None
     if _foldable(listed):
-        matched = _match_folded(listed, dims)
+        matched, places = _match_folded(listed, dims)
+        shown = [F.octet_length(F.array_join(PLACES, ",")), *map(F.octet_length, ("commodity", *SERIES))]
     else:
         pairs = stage(pairs, "pairs")
         matched = stage(_match_dims(pairs, dims), "matched")
+        shown = [F.octet_length(c) for c in (*DIMS, *SERIES)]
+        matched = matched.withColumns({"_place": F.struct("market", "state"), "_state": F.col("state")})
 
     # The shown place is the smallest pair (or state), as no row is preferred.
     is_located = F.col("series_loc").isNotNull()
-    octets = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in (*DIMS, *SERIES))
+    octets = sum(F.coalesce(size, F.lit(0)) for size in shown)
     smallest = matched.groupBy(*SERIES, "commodity").agg(
-        F.min(F.struct("market", "state")).alias("_place"), F.min("state").alias("_state"),
+        F.min("_place").alias("_place"), F.min("_state").alias("_state"),
         F.count("*").alias("_rows"), F.sum(octets).alias("_octets"),
     )
     lines, known = _numbered(
@@ -177,7 +201,7 @@ def resolve_pairs(asked: DataFrame, facts: DataFrame, dims: DataFrame | None = N
         )
     )
     if known is None:
-        small = is_small(stage(matched, "matched"))
+        small = is_small(stage(matched.drop("_place", "_state"), "matched"))
         commodities = small_rows(lines.select("commodity").distinct(), MAX_LINES)
     else:
         rows, size = (sum(line[c] for line in known) for c in ("_rows", "_octets"))
@@ -187,7 +211,14 @@ def resolve_pairs(asked: DataFrame, facts: DataFrame, dims: DataFrame | None = N
     lines = lines.drop("_rows", "_octets")
     scopes = _scopes(pairs, listed, lines, known)
     members = join_same(matched, lines.select("line", *SERIES, "commodity"), [*SERIES, "commodity"])
-    return PairMap(scopes, lines, members.select(*DIMS, "line"), small, named)
+    if places is None:
+        return PairMap(scopes, lines, members.select(*DIMS, "line"), small, named)
+    cells = members.groupBy("commodity", PLACES).agg(F.collect_list("line").alias("line"))
+    cells = stage(cells.withColumn("cell", F.monotonically_increasing_id()), "price-cells")
+    held, copies = cells.agg(F.count("*"), F.sum(F.size("line"))).first()
+    members = cells.select("commodity", PLACES, "cell", F.explode("line").alias("line"))
+    # Facts that would be copied to several lines each are summed before that.
+    return PairMap(scopes, lines, members, small, named, places, bool(held) and copies > 2 * held)
 
 
 def daily_cube(prices: DataFrame) -> DataFrame:
@@ -213,6 +244,17 @@ def daily_sums(facts: DataFrame, pair_map: PairMap) -> DataFrame:
         )
     if pair_map.commodities is not None:
         facts = facts.where(F.col("commodity").isin(pair_map.commodities))
+    if pair_map.places is not None:
+        facts = facts.select("commodity", _at_places(pair_map.places).alias(PLACES), "date", "_sum", "_n")
+        keys, members = ["commodity", PLACES], pair_map.members
+        if pair_map.sum_cells:
+            cells = members.select(*keys, "cell").distinct()
+            facts = join_same(facts, cells, keys, small=pair_map.members_small).groupBy("cell", "date").agg(
+                F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")
+            )
+            keys = ["cell"]
+        joined = join_same(facts, members.select(*keys, "line"), keys, small=pair_map.members_small)
+        return joined.groupBy("line", "date").agg(F.sum("_sum").alias("price_sum"), F.sum("_n").alias("price_n"))
     if not pair_map.members_small:  # the facts are shuffled then, so they are summed first
         facts = facts.groupBy(*DIMS, "date").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     joined = join_same(facts, pair_map.members, DIMS, small=pair_map.members_small)
@@ -319,6 +361,8 @@ def price_records(
     true size and can be reused by batches and streams.
     """
     facts = prices if cube is None else cube
+    if cube is None and dims is None:  # read twice: for their dimensions and for their sums
+        facts = stage(prices.select(*DIMS, "date", "modal_price"), "facts")
     pair_map = resolve_pairs(asked, facts, dims)
     daily = stage(daily_sums(facts, pair_map), "daily")
     stats = S.stats_record(

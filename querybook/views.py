@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prices_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit prices of line items: part type, supplier, nation, ship date."""
-    line = table(spark, sf_dir, "lineitem")
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).alias("modal_price")
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", price)
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -34,7 +35,7 @@ def prices_star(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_type").alias("commodity"),
             F.col("s_name").alias("market"),
             F.col("n_name").alias("state"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("modal_price"),
+            "modal_price",
         )
     )
 
