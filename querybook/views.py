@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.plans.answers import Vocabulary
+from harvestline.session import MAX_BROADCAST_BYTES, is_small, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -349,7 +350,16 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_chunks(spark, sf_dir).join(chunk_vectors(spark, sf_dir), "chunk_id")
+    """Chunks with their vectors, stored, as a search reads them more than once.
+
+    Only documents that have a vector are shuffled, if the ids of these can be broadcast.
+    """
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    chunks = document_chunks(spark, sf_dir)
+    if is_small(ids, MAX_BROADCAST_BYTES):  # bounded in bytes
+        named = ids.select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("chunk_id"))
+        chunks = chunks.join(F.broadcast(named), "chunk_id", "left_semi")
+    return stage(chunks.join(chunk_vectors(spark, sf_dir), "chunk_id"), "index")
 
 
 def sql_string(text: str) -> str:

@@ -235,6 +235,21 @@ def test_asked_pairs_folded_or_joined(spark, prices, monkeypatch, names):
     assert plans[0][0] == plans[1][0] and "BroadcastHashJoin" in plans[0][1]
 
 
+def test_members_grow_with_asked_places_only(spark, monkeypatch):
+    """Many markets of one state are one place, and facts without a catalogue are stored once."""
+    facts = [(day(n % 3), f"Wheat {n % 2}", f"m{n:03}", "MP" if n % 4 else "UP", float(n)) for n in range(200)]
+    prices = spark.createDataFrame(facts, "date date, commodity string, market string, state string, modal_price double")
+    asked = spark.createDataFrame([("wheat", None), ("wheat", "mp"), ("1", "m00")], "term string, loc string")
+    pair_map = P.resolve_pairs(asked, prices)
+    assert pair_map.members.count() <= 20
+    folded = rows(P.price_records(prices, asked))
+    staged, original = [], P.stage
+    monkeypatch.setattr(P, "stage", lambda df, name: staged.append(name) or original(df, name))
+    monkeypatch.setattr(P, "MAX_FOLDED_NAMES", 0)
+    assert rows(P.price_records(prices, asked)) == folded
+    assert staged.count("facts") == 1
+
+
 def test_facts_are_read_once_and_pruned(spark, prices, monkeypatch):
     """One plan reads the stored facts: of asked commodities, without unused columns, and shuffled as daily sums only."""
     table = new_folder(spark, "prices")
