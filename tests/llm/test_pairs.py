@@ -132,15 +132,16 @@ def test_lines_by_brute_force(spark, full_run):
     held = Counter(block for line in distinct for block in blocks[line])
 
     def meet(a, b):
-        """All lines of up to 24 words; on crowded blocks only those within three bits."""
-        few = any(held[block] <= full_run for block in blocks[a] & blocks[b])
-        return few or (blocks[a] & blocks[b] and ((marks[a] ^ marks[b]) % (1 << 64)).bit_count() <= 3)
+        """Lines of up to 24 words with a common block, on crowded blocks too."""
+        return blocks[a] & blocks[b]
 
     near = [
         (a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if distance(a, b) <= 0.2 * max(len(a), len(b))
     ]
     links = [(a, b) for a, b in near if meet(a, b)]
-    assert full_run == 2 or links == near
+    assert links == near
+    crowded = [(a, b) for a, b in near if all(held[block] > full_run for block in blocks[a] & blocks[b])]
+    assert full_run > 2 or any(((marks[a] ^ marks[b]) % (1 << 64)).bit_count() > 3 for a, b in crowded)
     roots = closure(distinct, links)
     firsts = {}
     for place in sorted(every):
@@ -179,6 +180,27 @@ def test_recall_of_similar_lines(spark, fewest, most):
     assert sum(not keep[b] for _, b in pairs) >= 0.95 * len(pairs)
 
 
+def test_edit_distance_within(spark):
+    rng = np.random.default_rng(7)
+    for n in range(400):
+        a, b = ("".join(rng.choice(list("abc"[: 2 + n % 2]), int(rng.integers(0, 14)))) for _ in range(2))
+        b = a[: len(a) // 2] + b if n % 3 else b
+        apart = distance(a, b)
+        assert [fuzzy_lines.within(a, b, most) for most in range(15)] == [apart <= most for most in range(15)]
+
+
+def test_slices_of_a_crowded_block_meet_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "SLICE_LINES", 3)
+    rows = [(n, n % 4, 10, [5]) for n in range(20)] + [(n, 0, 10, [6, 7]) for n in range(20, 24)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, size int, blocks array<long>")
+    roots = spark.createDataFrame([(n, 0) for n in range(6)], "node long, root long")
+    hot = fuzzy_lines.crowded_blocks(nodes, 3)
+    assert {tuple(r) for r in hot.collect()} == {(5, 20), (6, 4), (7, 4)}
+    found = [tuple(r) for r in fuzzy_lines.crowded_pairs(nodes, hot, roots).collect()]
+    together = [(a, b) for low, high in ((0, 20), (20, 24)) for a in range(low, high) for b in range(a + 1, high) if b >= 6]
+    assert sorted(found) == together
+
+
 def test_lines_of_a_long_text_come_in_slices(monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "SLICE_BYTES", 1000)
     text = "\n".join(f"line number {n} of one text" for n in range(500)) + "\n\nline number 3 of one text"
