@@ -201,6 +201,50 @@ def test_slices_of_a_crowded_block_meet_in_pairs(spark, monkeypatch):
     assert sorted(found) == together
 
 
+def test_edit_distances_of_many_pairs_at_once():
+    rng = np.random.default_rng(11)
+    xs, ys = [], []
+    for n in range(600):
+        x = rng.choice(list("abcde é漢"), int(rng.integers(0, 260)))
+        y = np.where(rng.random(len(x)) < rng.uniform(0, 0.3), "q", x)[int(rng.integers(0, 20)) :]
+        xs.append("".join(x))
+        ys.append("".join(y) + "ab"[: n % 3])
+    most = [int(rng.integers(0, 1 + max(len(x), len(y)) // 3)) for x, y in zip(xs, ys)]
+    expected = [fuzzy_lines.within(x, y, n) for x, y, n in zip(xs, ys, most)]
+    assert fuzzy_lines.all_within(xs, ys, most).tolist() == expected and 100 < sum(expected) < 500
+    assert fuzzy_lines.all_within([], [], []).tolist() == []
+
+
+@pytest.mark.parametrize("full_run", [2, 128])
+def test_pairs_share_enough_blocks_without_meeting_them_again(spark, full_run):
+    """Only keys that lines share are dealt with the lines, and crowded blocks count for a pair's share."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in range(60):
+        blocks = np.unique(np.concatenate((rng.integers(0, 15, int(rng.integers(1, 4))), 1000 * (n + 1) + np.arange(n % 14))))
+        rows.append((n, int(rng.integers(0, 4)), 70 if n % 9 == 0 else 100 + n % 5, blocks.tolist()))
+    nodes = spark.createDataFrame(rows, "node long, fp long, size int, blocks array<long>").repartition(3)
+    held = Counter(key for *_, blocks in rows for key in blocks)
+    shared = fuzzy_lines.shared_blocks(nodes, full_run)
+    found = {(r["key"], r["node"]) for r in shared.where("node is not null").collect()}
+    assert found == {(key, n) for n, _, _, blocks in rows for key in blocks if 1 < held[key] <= full_run}
+    hot = fuzzy_lines.crowded_blocks(nodes, full_run, shared)
+    assert {tuple(r) for r in hot.collect()} == {(key, n) for key, n in held.items() if n > full_run}
+    crowded = fuzzy_lines.crowded_lines(nodes, hot)
+    met = fuzzy_lines._sharing(fuzzy_lines.candidate_pairs(nodes, shared, crowded, full_run=full_run), crowded)
+    roots = spark.createDataFrame([], "node long, root long")
+    pairs = {(r["a"], r["b"]) for r in met.where("run is null").collect()}
+    pairs |= {tuple(r) for r in fuzzy_lines.crowded_pairs(nodes, hot, roots, crowded=crowded).collect()}
+    expected = set()
+    for a, _, x, blocks in rows:
+        for b, _, y, others in rows[a + 1 :]:
+            common = len(set(blocks) & set(others))
+            enough = max(x, y) < 80 or common >= 0.1 * max(len(blocks), len(others))
+            if common and enough and abs(x - y) <= 0.2 * max(x, y):
+                expected.add((a, b))
+    assert pairs == expected and len(pairs) > 20
+
+
 def test_lines_of_a_long_text_come_in_slices(monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "SLICE_BYTES", 1000)
     text = "\n".join(f"line number {n} of one text" for n in range(500)) + "\n\nline number 3 of one text"
