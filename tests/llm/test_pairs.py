@@ -180,6 +180,42 @@ def test_recall_of_similar_lines(spark, fewest, most):
     assert sum(not keep[b] for _, b in pairs) >= 0.95 * len(pairs)
 
 
+def _edited(rng, pool, words, every):
+    """A line, and the same with a letter of each ``every``-th word changed."""
+    line = rng.choice(pool, words).tolist()
+    other = [word[:-1] + "z" if n % every == every - 1 else word for n, word in enumerate(line)]
+    return " ".join(line).encode(), " ".join(other).encode()
+
+
+def test_all_windows_of_long_lines_are_blocks():
+    rng = np.random.default_rng(21)
+    pool = ["".join(rng.choice(list("abcdefghijklmnoprstu"), int(rng.integers(4, 9)))) for _ in range(3000)]
+    for words in (3, 9, 24, 25, 40, 200):
+        lines = [line for _ in range(20) for line in _edited(rng, pool, words, 4)]
+        found = fuzzy_lines.blocks_of(lines, *fuzzy_lines._word_hashes(lines)).to_pylist()
+        for line, blocks in zip(lines, found):
+            held = line.split()
+            windows = {tuple(held[i : i + 3]) for i in range(words - 2)}
+            assert len(set(blocks)) == len(blocks) and len(blocks) >= len(windows)
+            assert words <= 8 or len(blocks) == len(windows)
+        assert all(set(found[i]) & set(found[i + 1]) for i in range(0, len(lines), 2))
+
+
+def test_long_lines_with_few_words_alike_in_a_row_are_found(spark):
+    """Lines of more than 24 words with a changed letter in every fourth word share a few blocks of three words."""
+    rng = np.random.default_rng(22)
+    pool = ["".join(rng.choice(list("abcdefghijklmnoprstu"), int(rng.integers(4, 9)))) for _ in range(3000)]
+    pairs = [_edited(rng, pool, int(rng.integers(25, 34)), 4) for _ in range(150)]
+    marks = fuzzy_lines.fingerprints_of([line for pair in pairs for line in pair]).view(np.uint64)
+    pairs = [pair for pair, near in zip(pairs, np.bitwise_count(marks[::2] ^ marks[1::2]) <= fuzzy_lines.FAR) if near]
+    assert len(pairs) > 60 and all(distance(a, b) <= 0.2 * len(a) for a, b in pairs)
+    docs = spark.createDataFrame(
+        [(2 * n + i, line.decode()) for n, pair in enumerate(pairs) for i, line in enumerate(pair)], "doc_id long, text string"
+    )
+    keep = {r["doc"]: r["keep"] for r in fuzzy_lines.mark_lines(docs).collect()}
+    assert all(keep[2 * n] and not keep[2 * n + 1] for n in range(len(pairs)))
+
+
 def test_edit_distance_within(spark):
     rng = np.random.default_rng(7)
     for n in range(400):
