@@ -237,6 +237,19 @@ def test_slices_of_a_crowded_block_meet_in_pairs(spark, monkeypatch):
     assert sorted(found) == together
 
 
+def test_short_lines_of_a_crowded_block_meet_once_and_only_with_about_the_same_letters(spark):
+    lines = ["one two three red fox", "one two three red fix", "one two three rod foxes", "one two three blau kuh", "zzz yyy xxx www vvv uuu"]
+    letters = [fuzzy_lines._letters(line.encode()) for line in lines]
+    rows = [(key, 5, n, 0, len(line), 8, letters[n]) for n, line in enumerate(lines) for key in (5, 6, 7) if key != 5 + n]
+    crowded = spark.createDataFrame(rows, "key long, held long, node long, fp long, size int, blocks int, letters binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    found = [tuple(r) for r in fuzzy_lines.crowded_pairs(None, None, roots, crowded=crowded).collect()]
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    similar = {(a, b) for a, b in pairs if distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))}
+    assert len(found) == len(set(found)) and similar and similar <= set(found) and not {(0, 3), (0, 4), (3, 4)} & set(found)
+    assert fuzzy_lines._letters(b"x" * 80) is None
+
+
 def test_edit_distances_of_many_pairs_at_once():
     rng = np.random.default_rng(11)
     xs, ys = [], []
